@@ -1,0 +1,175 @@
+"""DuckDB oracle SQL: the same results computed independently over the flat fixtures.
+
+Spark builds nested records and folds over arrays; the oracle scores from the long tables with
+pair joins (one-to-one by construction of the fixtures), so the two paths share only the
+fixture text. Helpers return SQL text fragments; ``with_ctes`` prepends the fixture CTEs.
+"""
+from __future__ import annotations
+
+from .constants import DEFAULT_MODEL, FIELD_LABELS, MODEL_SHORT, PRICES, SCORED_FIELDS
+from .functions.text import CASEFOLD_EXTRA
+from .sources.fixtures import duckdb_ctes
+
+NUM_RE = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def casefold(x: str) -> str:
+    out = f"lower({x})"
+    for a, b in CASEFOLD_EXTRA:
+        out = f"replace({out}, {q(a)}, {q(b)})"
+    return out
+
+
+def norm(x: str) -> str:
+    return f"trim(regexp_replace({casefold(f"coalesce({x}, '')")}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def num(x: str) -> str:
+    """Trimmed plain number to DOUBLE, else NULL."""
+    return f"(CASE WHEN regexp_full_match(trim({x}), '{NUM_RE}') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+
+
+def score_num(x: str) -> str:
+    return num(f"regexp_replace({x}, '[,$]', '', 'g')")
+
+
+def price(model: str, which: int) -> str:
+    whens = " ".join(f"WHEN {q(m)} THEN {p[which]}" for m, p in PRICES.items())
+    return f"(CASE {model} {whens} ELSE {PRICES[DEFAULT_MODEL][which]} END)"
+
+
+def model_short(model: str) -> str:
+    whens = " ".join(f"WHEN {q(m)} THEN {q(s)}" for m, s in MODEL_SHORT.items())
+    return f"(CASE {model} {whens} ELSE {model} END)"
+
+
+def field_label(field: str) -> str:
+    whens = " ".join(f"WHEN {q(f)} THEN {q(lab)}" for f, lab in FIELD_LABELS.items())
+    return f"(CASE {field} {whens} ELSE {field} END)"
+
+
+def b2d(cond: str) -> str:
+    return f"(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END)"
+
+
+def r9(x: str) -> str:
+    return f"CAST(round({x}, 9) AS DOUBLE)"
+
+
+def pct(x: str) -> str:
+    return (f"(CASE WHEN abs({x} * 100 - round({x} * 100)) < 0.05 THEN printf('%.0f%%', {x} * 100) "
+            f"ELSE printf('%.1f%%', {x} * 100) END)")
+
+
+def field_score_sql(f: str, p: str, t: str) -> str:
+    if f in ("subtotal", "tax", "total"):
+        return b2d(f"coalesce({score_num(p)} IS NOT NULL AND abs({score_num(p)} - CAST({t} AS DOUBLE)) < 0.011, false)")
+    if f in ("invoice_date", "due_date"):
+        return b2d(f"coalesce(substr(coalesce({p}, ''), 1, 10) = {t}, false)")
+    if f == "currency":
+        return b2d(f"coalesce(trim(upper(coalesce({p}, ''))) = {t}, false)")
+    return b2d(f"{norm(p)} = {norm(t)}")
+
+
+# Scored rows of the fixture runs: o_scored(run_id, dataset, file, k, layout, format, meta,
+# prediction columns, tokens, cost_usd, seconds, model, note, error, s_<field>..., overall)
+SCORED_CTES = f"""
+o_pcount AS (SELECT run_id, file, count(*) AS n_pred FROM run_items GROUP BY run_id, file),
+o_tcount AS (SELECT k, count(*) AS n_true FROM inv_lines GROUP BY k),
+o_match AS (
+  SELECT i.run_id, i.file, count(*) AS n_match
+  FROM run_items i
+  JOIN run_calls c ON c.run_id = i.run_id AND c.file = i.file
+  JOIN inv_lines l ON l.k = c.k
+  WHERE {score_num('i.quantity')} = l.quantity
+    AND abs({score_num('i.amount')} - CAST(l.amount AS DOUBLE)) < 0.011
+  GROUP BY i.run_id, i.file
+),
+o_base AS (
+  SELECT r.run_id, t.dataset, t.file, t.k, t.layout, t.format, t.due_date_from_terms_only,
+         coalesce(c.has_fields, false) AS has_fields,
+         c.vendor_name AS p_vendor_name, c.invoice_number AS p_invoice_number, c.invoice_date AS p_invoice_date,
+         c.due_date AS p_due_date, c.bill_to AS p_bill_to, c.currency AS p_currency,
+         c.subtotal AS p_subtotal, c.tax AS p_tax, c.total AS p_total,
+         c.needs_review, c.review_reason, c.model, c.note, c.error,
+         CAST(coalesce(c.input_tokens, 0) AS BIGINT) AS input_tokens,
+         CAST(coalesce(c.output_tokens, 0) AS BIGINT) AS output_tokens,
+         coalesce(c.seconds, 0.0) AS seconds,
+         t.vendor_name AS t_vendor_name, t.invoice_number AS t_invoice_number, t.invoice_date AS t_invoice_date,
+         t.due_date AS t_due_date, t.bill_to AS t_bill_to, t.currency AS t_currency,
+         CAST(t.subtotal AS DOUBLE) AS t_subtotal, CAST(t.tax AS DOUBLE) AS t_tax, CAST(t.total AS DOUBLE) AS t_total,
+         coalesce(tc.n_true, 0) AS n_true,
+         CASE WHEN c.has_items THEN coalesce(pc.n_pred, 0) ELSE 0 END AS n_pred,
+         coalesce(m.n_match, 0) AS n_match
+  FROM inv_truth t
+  JOIN runs r ON r.dataset = t.dataset
+  LEFT JOIN run_calls c ON c.run_id = r.run_id AND c.file = t.file
+  LEFT JOIN o_pcount pc ON pc.run_id = r.run_id AND pc.file = t.file
+  LEFT JOIN o_match m ON m.run_id = r.run_id AND m.file = t.file
+  LEFT JOIN o_tcount tc ON tc.k = t.k
+),
+o_scored0 AS (
+  SELECT *,
+    (CAST(input_tokens AS DOUBLE) / 1000000.0 * {price('model', 0)}
+     + CAST(output_tokens AS DOUBLE) / 1000000.0 * {price('model', 1)}) AS cost_usd,
+    {field_score_sql('vendor_name', 'p_vendor_name', 't_vendor_name')} AS s_vendor_name,
+    {field_score_sql('invoice_number', 'p_invoice_number', 't_invoice_number')} AS s_invoice_number,
+    {field_score_sql('invoice_date', 'p_invoice_date', 't_invoice_date')} AS s_invoice_date,
+    {field_score_sql('due_date', 'p_due_date', 't_due_date')} AS s_due_date,
+    {field_score_sql('bill_to', 'p_bill_to', 't_bill_to')} AS s_bill_to,
+    {field_score_sql('currency', 'p_currency', 't_currency')} AS s_currency,
+    {field_score_sql('subtotal', 'p_subtotal', 't_subtotal')} AS s_subtotal,
+    {field_score_sql('tax', 'p_tax', 't_tax')} AS s_tax,
+    {field_score_sql('total', 'p_total', 't_total')} AS s_total,
+    CASE WHEN n_true = 0 THEN CASE WHEN n_pred = 0 THEN 1.0 ELSE 0.0 END
+         ELSE CAST(n_match AS DOUBLE) / CAST(greatest(n_true, n_pred) AS DOUBLE) END AS s_line_items
+  FROM o_base
+),
+o_scored AS (
+  SELECT *,
+    (s_vendor_name + s_invoice_number + s_invoice_date + s_due_date + s_bill_to + s_currency
+     + s_subtotal + s_tax + s_total + s_line_items) / 10.0 AS overall,
+    coalesce(needs_review, false) AS is_flagged,
+    coalesce(error, '') <> '' AS is_failed
+  FROM o_scored0
+)"""
+
+SUMMARY_CTE = """
+o_summary AS (
+  SELECT run_id,
+    count(*) AS documents,
+    sum(overall) / greatest(count(*), 1) AS overall_accuracy,
+    count(*) FILTER (WHERE overall = 1.0) AS perfect_documents,
+""" + ",\n".join(f"    sum(s_{f}) / greatest(count(*), 1) AS acc_{f}" for f in SCORED_FIELDS) + """,
+    count(*) FILTER (WHERE is_flagged) AS flagged_for_review,
+    count(*) FILTER (WHERE is_failed) AS errors,
+    coalesce(sum(cost_usd), 0.0) AS total_cost_usd,
+    coalesce(sum(cost_usd), 0.0) / greatest(count(*), 1) AS avg_cost_usd,
+    coalesce(max(cost_usd), 0.0) AS max_cost_usd,
+    sum(seconds) / greatest(count(*), 1) AS avg_seconds,
+    sum(input_tokens) AS input_tokens,
+    sum(output_tokens) AS output_tokens,
+    count(*) FILTER (WHERE overall < 1.0 AND NOT is_flagged AND NOT is_failed) AS silent,
+    count(*) FILTER (WHERE is_flagged AND overall = 1.0) AS false_alarms
+  FROM o_scored GROUP BY run_id
+)"""
+
+
+def with_ctes(fixtures: list[str], extra_ctes: list[str], select: str) -> str:
+    parts = [duckdb_ctes(fixtures)] + [c.strip() for c in extra_ctes]
+    return "WITH " + ",\n".join(p for p in parts if p) + "\n" + select
+
+
+SCORED_FIXTURES = ["inv_truth", "inv_lines", "runs", "run_calls", "run_items"]
+
+
+def scored_query(select: str, extra: list[str] | None = None) -> str:
+    return with_ctes(SCORED_FIXTURES, [SCORED_CTES] + (extra or []), select)
+
+
+def summary_query(select: str, extra: list[str] | None = None) -> str:
+    return with_ctes(SCORED_FIXTURES, [SCORED_CTES, SUMMARY_CTE] + (extra or []), select)

@@ -1,0 +1,63 @@
+"""Registered queries (Spark) and their DuckDB oracles, keyed by operator id."""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+from . import oracle as O
+from .constants import SCORED_FIELDS
+from .operators import metrics as M
+from .plans import evaluation as EV
+from .sources.tables import Fixtures
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, QueryFn] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle_sql: str | None = None):
+    def deco(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return rounded(fn(Fixtures(spark, sf_dir)))
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
+        if oracle_sql is not None:
+            ORACLES[name] = oracle_sql
+        return fn
+    return deco
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded to 9 places: sums over rows differ in the last bits with row order."""
+    return df.select(*[F.round(F.col(f.name), 9).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+SUMMARY_COLS = (["run_id", "documents", "overall_accuracy", "perfect_documents"]
+                + [f"acc_{f}" for f in SCORED_FIELDS]
+                + ["flagged_for_review", "errors", "total_cost_usd", "avg_cost_usd", "max_cost_usd",
+                   "avg_seconds", "input_tokens", "output_tokens", "silent", "false_alarms"])
+
+
+def _summary_select(prefix: str = "") -> str:
+    out = []
+    for c in SUMMARY_COLS:
+        if c in ("run_id",):
+            out.append(f"{prefix}{c}")
+        elif c in ("documents", "perfect_documents", "flagged_for_review", "errors", "input_tokens",
+                   "output_tokens", "silent", "false_alarms"):
+            out.append(f"CAST({prefix}{c} AS BIGINT) AS {c}")
+        else:
+            out.append(f"{O.r9(prefix + c)} AS {c}")
+    return ", ".join(out)
+
+
+# ---------------------------------------------------------------- A1: run summary
+@register("a1_run_summary", O.summary_query(f"SELECT {_summary_select()} FROM o_summary"))
+def a1_run_summary(fx: Fixtures) -> DataFrame:
+    """A1 (+ J1, C1-C6, E13, J8, J11, P1-P5, D1): summary of every fixture run."""
+    return M.summarize(EV.scored(fx)).select(*SUMMARY_COLS)
