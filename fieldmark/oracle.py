@@ -61,8 +61,12 @@ def r9(x: str) -> str:
 
 
 def pct(x: str) -> str:
-    return (f"(CASE WHEN abs({x} * 100 - round({x} * 100)) < 0.05 THEN printf('%.0f%%', {x} * 100) "
-            f"ELSE printf('%.1f%%', {x} * 100) END)")
+    return (f"(CASE WHEN abs({x} * 100 - round_even({x} * 100, 0)) < 0.05 THEN printf('%.0f%%', round_even({x} * 100, 0)) "
+            f"ELSE printf('%.1f%%', round_even({x} * 100, 1)) END)")
+
+
+def fixed(x: str, places: int) -> str:
+    return f"printf('%.{places}f', round_even({x}, {places}))"
 
 
 def field_score_sql(f: str, p: str, t: str) -> str:
@@ -173,3 +177,48 @@ def scored_query(select: str, extra: list[str] | None = None) -> str:
 
 def summary_query(select: str, extra: list[str] | None = None) -> str:
     return with_ctes(SCORED_FIXTURES, [SCORED_CTES, SUMMARY_CTE] + (extra or []), select)
+
+
+# Gate: consecutive model runs per dataset, paired metrics and headers.
+GATE_CTES = """
+o_pairs AS (
+  SELECT before_run_id || ' -> ' || run_id AS pair_id, before_run_id, run_id AS after_run_id, dataset
+  FROM (SELECT run_id, dataset, lag(run_id) OVER (PARTITION BY dataset ORDER BY run_at, run_id) AS before_run_id
+        FROM runs WHERE method = 'claude') x
+  WHERE before_run_id IS NOT NULL
+),
+o_pm AS (
+  SELECT p.pair_id, p.before_run_id, p.after_run_id,
+    b.overall_accuracy AS b_accuracy, a.overall_accuracy AS a_accuracy,
+    b.perfect_documents AS b_perfect, a.perfect_documents AS a_perfect,
+    b.documents AS b_documents, a.documents AS a_documents,
+    b.silent AS b_silent, a.silent AS a_silent,
+    b.flagged_for_review AS b_flagged, a.flagged_for_review AS a_flagged,
+    b.false_alarms AS b_false_alarms, a.false_alarms AS a_false_alarms,
+    b.avg_cost_usd AS b_cost, a.avg_cost_usd AS a_cost,
+    b.total_cost_usd AS b_total_cost, a.total_cost_usd AS a_total_cost,
+    b.avg_seconds AS b_seconds, a.avg_seconds AS a_seconds,
+    b.errors AS b_failed, a.errors AS a_failed,
+""" + ",\n".join(f"    b.acc_{f} AS b_acc_{f}, a.acc_{f} AS a_acc_{f}" for f in SCORED_FIELDS) + """,
+    rb.model AS b_model, ra.model AS a_model, rb.prompt AS b_prompt, ra.prompt AS a_prompt,
+    rb.prompt_version AS b_prompt_version, ra.prompt_version AS a_prompt_version,
+    rb.schema_hash AS b_schema_hash, ra.schema_hash AS a_schema_hash, ra.dataset AS a_dataset
+  FROM o_pairs p
+  JOIN o_summary b ON b.run_id = p.before_run_id JOIN o_summary a ON a.run_id = p.after_run_id
+  JOIN runs rb ON rb.run_id = p.before_run_id JOIN runs ra ON ra.run_id = p.after_run_id
+),
+o_changes AS (
+  SELECT p.pair_id, sa.file,
+    CASE WHEN sb.overall < 1.0 AND sa.overall >= 1.0 THEN 'fixed'
+         WHEN sb.overall = 1.0 AND sa.overall < 1.0 THEN 'newly broken' END AS change,
+    sa.missed AS missed
+  FROM o_pairs p
+  JOIN o_scored sb ON sb.run_id = p.before_run_id
+  JOIN (SELECT *, """ + "array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN s_{f} < 1.0 THEN {q(FIELD_LABELS[f])} END" for f in SCORED_FIELDS) + """], lambda x: x IS NOT NULL), ', ') AS missed
+        FROM o_scored) sa ON sa.run_id = p.after_run_id AND sa.file = sb.file
+)"""
+
+
+def gate_query(select: str) -> str:
+    return with_ctes(SCORED_FIXTURES, [SCORED_CTES, SUMMARY_CTE, GATE_CTES], select)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from . import oracle as O
-from .constants import SCORED_FIELDS
+from .constants import FIELD_LABELS, SCORED_FIELDS
+from .operators import gate as G
 from .operators import metrics as M
 from .plans import evaluation as EV
 from .sources.tables import Fixtures
@@ -61,3 +62,195 @@ def _summary_select(prefix: str = "") -> str:
 def a1_run_summary(fx: Fixtures) -> DataFrame:
     """A1 (+ J1, C1-C6, E13, J8, J11, P1-P5, D1): summary of every fixture run."""
     return M.summarize(EV.scored(fx)).select(*SUMMARY_COLS)
+
+
+# ---------------------------------------------------------------- A2, A3, A8, A10, F1
+GATE_COLS = ["accuracy", "perfect", "documents", "silent", "flagged", "false_alarms", "cost", "total_cost",
+             "seconds", "failed"]
+
+
+@register("a2_gate_metrics", O.summary_query(
+    "SELECT run_id, " + ", ".join([
+        f"{O.r9('overall_accuracy')} AS accuracy", "CAST(perfect_documents AS BIGINT) AS perfect",
+        "CAST(documents AS BIGINT) AS documents", "CAST(silent AS BIGINT) AS silent",
+        "CAST(flagged_for_review AS BIGINT) AS flagged", "CAST(false_alarms AS BIGINT) AS false_alarms",
+        f"{O.r9('avg_cost_usd')} AS cost", f"{O.r9('total_cost_usd')} AS total_cost",
+        f"{O.r9('avg_seconds')} AS seconds", "CAST(errors AS BIGINT) AS failed"]) + " FROM o_summary"))
+def a2_gate_metrics(fx: Fixtures) -> DataFrame:
+    """A2 (+ P4 silent errors, P5 false alarms): the gate's metrics per run."""
+    return M.gate_metrics(M.summarize(EV.scored(fx))).select("run_id", *GATE_COLS)
+
+
+@register("a3_accuracy_by_layout", O.scored_query(
+    f"SELECT run_id, layout, {O.r9('avg(overall) * 100')} AS accuracy FROM o_scored GROUP BY run_id, layout"))
+def a3_accuracy_by_layout(fx: Fixtures) -> DataFrame:
+    """A3: mean accuracy by layout for every run (ordered ascending by the caller)."""
+    return M.accuracy_by_layout(EV.scored(fx))
+
+
+@register("a8_heldout_headline", O.summary_query(
+    "SELECT s.run_id, " + ", ".join([
+        f"{O.r9('s.overall_accuracy')} AS accuracy", "CAST(s.perfect_documents AS BIGINT) AS perfect",
+        "CAST(s.documents AS BIGINT) AS documents", "CAST(s.silent AS BIGINT) AS silent",
+        "CAST(s.flagged_for_review AS BIGINT) AS flagged", f"{O.r9('s.avg_cost_usd')} AS cost",
+        "CAST(s.errors AS BIGINT) AS failed", f"{O.r9('s.total_cost_usd')} AS total_cost"])
+    + " FROM o_summary s JOIN runs r ON r.run_id = s.run_id WHERE r.dataset = 'test' AND r.method = 'claude'"))
+def a8_heldout_headline(fx: Fixtures) -> DataFrame:
+    """Held-out (test set) model runs: headline aggregates only, no document rows."""
+    runs = fx["runs"].where((F.col("dataset") == "test") & (F.col("method") == "claude")).select("run_id")
+    g = M.gate_metrics(M.summarize(EV.scored(fx).join(runs, "run_id")))
+    return g.select("run_id", "accuracy", "perfect", "documents", "silent", "flagged", "cost", "failed",
+                    "total_cost")
+
+
+@register("a10_comparison_table", O.summary_query(
+    "SELECT s.run_id, r.dataset, CASE WHEN r.method = 'baseline' THEN 'Rule-based' ELSE "
+    + O.model_short("r.model") + " END AS method_name, coalesce(r.prompt_version, 'n/a') AS instructions, "
+    + f"{O.r9('s.overall_accuracy * 100')} AS field_accuracy, "
+    "CAST(s.perfect_documents AS VARCHAR) || '/' || CAST(s.documents AS VARCHAR) AS perfect_invoices, "
+    "CAST(s.flagged_for_review AS BIGINT) AS flagged_for_review, "
+    f"{O.r9('s.avg_cost_usd')} AS avg_cost_usd, {O.r9('s.avg_cost_usd * 1000')} AS cost_per_1000, "
+    f"{O.r9('s.avg_seconds')} AS avg_seconds, strftime(r.run_at, '%Y-%m-%d %H:%M') AS run_at_text "
+    "FROM o_summary s JOIN runs r ON r.run_id = s.run_id"))
+def a10_comparison_table(fx: Fixtures) -> DataFrame:
+    """A10 (+ P10 model short names): run comparison table, one row per run."""
+    return M.comparison_table(M.summarize(EV.scored(fx)), fx["runs"]).drop("run_at")
+
+
+@register("f1_per_field_long", O.summary_query(
+    " UNION ALL ".join(f"SELECT run_id, '{f}' AS field, {O.r9(f'acc_{f}')} AS accuracy, "
+                       f"{O.field_label(repr(f))} AS field_label FROM o_summary" for f in SCORED_FIELDS)))
+def f1_per_field_long(fx: Fixtures) -> DataFrame:
+    """per-field accuracy in long form (run x field)."""
+    return M.per_field_long(M.summarize(EV.scored(fx)))
+
+
+# ---------------------------------------------------------------- gate: J2, J3, J12, T4, G1-G6, G8, A9
+def _gate_inputs(fx: Fixtures):
+    scored = EV.scored(fx)
+    summary = M.summarize(scored)
+    pairs = G.pair_consecutive(fx["runs"])
+    pm = G.paired(pairs, M.gate_metrics(summary))
+    return scored, summary, pairs, pm
+
+
+def _checks_oracle() -> str:
+    parts = []
+    for ord_, label, key, kind in G.CHECKS:
+        a, b = f"a_{key}", f"b_{key}"
+        if kind == "fail_lower_tol":
+            st = f"CASE WHEN {a} < {b} - 0.005 THEN '❌' ELSE '✅' END"
+        elif kind == "fail_lower":
+            st = f"CASE WHEN {a} < {b} THEN '❌' ELSE '✅' END"
+        elif kind == "fail_higher":
+            st = f"CASE WHEN {a} > {b} THEN '❌' ELSE '✅' END"
+        elif kind == "warn_higher":
+            st = f"CASE WHEN {a} > {b} THEN '⚠️' ELSE '✅' END"
+        else:
+            lim = 0.20 if key == "cost" else 0.30
+            ch = f"(CASE WHEN {b} <> 0 THEN ({a} - {b}) / {b} ELSE 0.0 END)"
+            st = f"CASE WHEN {ch} > {lim} THEN '⚠️ +' || {O.fixed(ch + ' * 100', 0)} || '%' ELSE '✅' END"
+
+        def fmt(v):
+            if key == "accuracy":
+                return O.pct(v)
+            if key == "perfect":
+                return f"CAST({v} AS VARCHAR) || '/' || CAST(a_documents AS VARCHAR)"
+            if key == "cost":
+                return "'$' || " + O.fixed(v, 4)
+            if key == "seconds":
+                return O.fixed(v, 1)
+            return f"CAST({v} AS VARCHAR)"
+        parts.append(f"SELECT pair_id, {ord_} AS ord, {O.q(label)} AS \"check\", {O.r9(f'CAST({b} AS DOUBLE)')} AS before, "
+                     f"{O.r9(f'CAST({a} AS DOUBLE)')} AS after, {fmt(b)} AS before_text, {fmt(a)} AS after_text, "
+                     f"{st} AS status FROM o_pm")
+    return " UNION ALL ".join(parts)
+
+
+@register("g2_checks_table", O.gate_query(_checks_oracle()))
+def g2_checks_table(fx: Fixtures) -> DataFrame:
+    """G2-G4, G8 (+ J12 pairing, A2): eight checks per consecutive pair of model runs."""
+    _, _, _, pm = _gate_inputs(fx)
+    return G.checks_table(pm).withColumn("ord", F.col("ord").cast("int"))
+
+
+@register("t4_changed_documents", O.gate_query(
+    "SELECT pair_id, file, change, CASE WHEN change = 'newly broken' THEN missed END AS missed_fields "
+    "FROM o_changes WHERE change IS NOT NULL"))
+def t4_changed_documents(fx: Fixtures) -> DataFrame:
+    """T4 + J2 + J3 (+ P9): documents fixed or newly broken between consecutive runs."""
+    scored, _, pairs, _ = _gate_inputs(fx)
+    return G.changed_documents(pairs, scored)
+
+
+@register("g5_field_movers", O.gate_query(" UNION ALL ".join(
+    f"SELECT pair_id, {i} AS ord, '{f}' AS field, {O.q(FIELD_LABELS[f])} AS field_label, "
+    f"{O.r9(f'b_acc_{f}')} AS before, {O.r9(f'a_acc_{f}')} AS after, "
+    f"{O.q(FIELD_LABELS[f])} || ' ' || {O.pct(f'b_acc_{f}')} || ' → ' || {O.pct(f'a_acc_{f}')} AS text "
+    f"FROM o_pm WHERE abs(a_acc_{f} - b_acc_{f}) > 1e-9" for i, f in enumerate(SCORED_FIELDS))))
+def g5_field_movers(fx: Fixtures) -> DataFrame:
+    """G5 (+ G8 percent format): fields whose accuracy moved, per pair."""
+    _, _, _, pm = _gate_inputs(fx)
+    return G.field_movers(pm).withColumn("ord", F.col("ord").cast("int"))
+
+
+def _verdict_oracle() -> str:
+    cost_ch = "(CASE WHEN b_cost <> 0 THEN (a_cost - b_cost) / b_cost ELSE 0.0 END)"
+    sec_ch = "(CASE WHEN b_seconds <> 0 THEN (a_seconds - b_seconds) / b_seconds ELSE 0.0 END)"
+    fails = ("list_filter([CASE WHEN a_accuracy < b_accuracy - 0.005 THEN 'field accuracy went down' END, "
+             "CASE WHEN a_perfect < b_perfect THEN 'fewer perfect invoices' END, "
+             "CASE WHEN a_silent > b_silent THEN 'more silent errors' END, "
+             "CASE WHEN a_failed > b_failed THEN 'more failed requests' END, "
+             "CASE WHEN newly_broken > 0 THEN 'an invoice that used to be fully correct now has a mistake' END], "
+             "lambda x: x IS NOT NULL)")
+    warns = ("list_filter([CASE WHEN a_flagged > b_flagged THEN 'flagged for review went up' END, "
+             "CASE WHEN a_false_alarms > b_false_alarms THEN 'false alarms went up' END, "
+             f"CASE WHEN {cost_ch} > 0.2 THEN 'cost per invoice up ' || {O.fixed(cost_ch + ' * 100', 0)} || '%' END, "
+             f"CASE WHEN {sec_ch} > 0.3 THEN 'avg seconds per invoice up ' || {O.fixed(sec_ch + ' * 100', 0)} || '%' END], "
+             "lambda x: x IS NOT NULL)")
+    ver = ("(CASE WHEN coalesce(nullif({v}, ''), 'original') = 'unsaved' THEN 'edited' "
+           "ELSE coalesce(nullif({v}, ''), 'original') END)")
+    vb, va = ver.format(v="b_prompt_version"), ver.format(v="a_prompt_version")
+    sb, sa = O.model_short("b_model"), O.model_short("a_model")
+    same_model, same_prompt = "(b_model = a_model)", "(trim(coalesce(b_prompt, '')) = trim(coalesce(a_prompt, '')))"
+    diff_schema = "(b_schema_hash IS DISTINCT FROM a_schema_hash)"
+    same = (f"list_filter([CASE WHEN {same_model} THEN {sa} END, "
+            f"CASE WHEN {same_prompt} THEN 'instructions ' || {va} END], lambda x: x IS NOT NULL)")
+    changed0 = (f"list_filter([CASE WHEN NOT {same_model} THEN 'model ' || {sb} || ' → ' || {sa} END, "
+                f"CASE WHEN NOT {same_prompt} THEN 'instructions ' || {vb} || ' → ' || {va} END, "
+                f"CASE WHEN {diff_schema} THEN 'schema changed' END], lambda x: x IS NOT NULL)")
+    ncols = (f"(CASE WHEN NOT {same_model} THEN 1 ELSE 0 END + CASE WHEN NOT {same_prompt} THEN 1 ELSE 0 END "
+             f"+ CASE WHEN {diff_schema} THEN 1 ELSE 0 END)")
+    b_label = (f"CASE WHEN {ncols} = 1 THEN CASE WHEN NOT {same_model} THEN {sb} WHEN NOT {same_prompt} "
+               f"THEN 'instructions ' || {vb} ELSE 'old schema' END ELSE 'main' END")
+    a_label = (f"CASE WHEN {ncols} = 1 THEN CASE WHEN NOT {same_model} THEN {sa} WHEN NOT {same_prompt} "
+               f"THEN 'instructions ' || {va} ELSE 'new schema' END ELSE 'this branch' END")
+    return f"""
+SELECT pair_id, before_run_id, after_run_id, CAST(fixed AS BIGINT) AS fixed, CAST(newly_broken AS BIGINT) AS newly_broken,
+  CASE WHEN len(fails) > 0 THEN 'failed' WHEN len(warns) > 0 THEN 'passed with warnings' ELSE 'passed' END AS verdict,
+  CASE WHEN len(fails) > 0 THEN array_to_string(fails, '; ') ELSE array_to_string(warns, '; ') END AS reasons,
+  len(fails) > 0 AS gate_failed,
+  {O.r9('a_total_cost + 0.0 + b_total_cost')} AS run_cost,
+  'Evaluation: ' || a_dataset || ' set · ' || array_to_string(list_concat(same, changed), ' · ') AS title,
+  array_to_string(same, '; ') AS same, array_to_string(changed, '; ') AS changed,
+  before_label, after_label
+FROM (
+  SELECT *, {fails} AS fails, {warns} AS warns, {same} AS same,
+         CASE WHEN len({changed0}) = 0 THEN ['code change only'] ELSE {changed0} END AS changed,
+         {b_label} AS before_label, {a_label} AS after_label
+  FROM (SELECT pm.*, coalesce(c.fixed, 0) AS fixed, coalesce(c.newly_broken, 0) AS newly_broken
+        FROM o_pm pm LEFT JOIN (SELECT pair_id, count(*) FILTER (WHERE change = 'fixed') AS fixed,
+                                       count(*) FILTER (WHERE change = 'newly broken') AS newly_broken
+                                FROM o_changes GROUP BY pair_id) c ON c.pair_id = pm.pair_id) x
+) y"""
+
+
+@register("g6_verdict", O.gate_query(_verdict_oracle()))
+def g6_verdict(fx: Fixtures) -> DataFrame:
+    """G1 change description + G3/G4 rules + G6 verdict + A9 run cost, per pair of runs."""
+    scored, summary, pairs, pm = _gate_inputs(fx)
+    changes = G.changed_documents(pairs, scored)
+    v = G.verdict(pm, changes)
+    headers = fx["runs"].select("run_id", "model", "prompt", "prompt_version", "schema_hash", "dataset")
+    d = G.describe_change(G.paired(pairs.select("pair_id", "before_run_id", "after_run_id"), headers))
+    return v.join(d, "pair_id")
