@@ -222,3 +222,106 @@ o_changes AS (
 
 def gate_query(select: str) -> str:
     return with_ctes(SCORED_FIXTURES, [SCORED_CTES, SUMMARY_CTE, GATE_CTES], select)
+
+
+def review_norm(x: str) -> str:
+    v = f"trim(replace(coalesce({x}, ''), ',', ''))"
+    return (f"(CASE WHEN regexp_full_match({v}, '{NUM_RE}') THEN 'n:' || CAST(round_even(CAST({v} AS DOUBLE), 2) + 0.0 AS VARCHAR) "
+            f"ELSE 's:' || trim(coalesce({x}, '')) END)")
+
+
+def money_clean(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[,$€]', '', 'g'))"
+
+
+def _item_key(desc, q, u, a):
+    def n(x):
+        return f"(CASE WHEN coalesce({x}, '') = '' THEN 0.0 ELSE TRY_CAST(trim({x}) AS DOUBLE) END)"
+    return (f"struct_pack(d := trim(coalesce({desc}, '')), q := {n(q)} + 0.0, u := round_even({n(u)}, 2) + 0.0, "
+            f"a := round_even({n(a)}, 2) + 0.0)")
+
+
+REVIEW_CTES = f"""
+o_mrows AS (SELECT c.* FROM run_calls c JOIN runs r ON r.run_id = c.run_id WHERE r.method = 'claude'),
+o_un AS (
+  SELECT c.run_id, c.file, md5(strftime(r.run_at, '%Y-%m-%dT%H:%M:%S') || '|' || c.file) AS h
+  FROM o_mrows c JOIN runs r ON r.run_id = c.run_id
+  WHERE NOT (coalesce(c.needs_review, false) OR coalesce(c.error, '') <> '')
+),
+o_n AS (
+  SELECT run_id, count(*) AS unflagged,
+         CASE WHEN count(*) > 0 THEN least(greatest(1, CAST(round_even(count(*) * 10.0 / 100.0, 0) AS BIGINT)), count(*))
+              ELSE 0 END AS n
+  FROM o_un GROUP BY run_id
+),
+o_spot AS (
+  SELECT run_id, file FROM (
+    SELECT u.run_id, u.file, n.n, row_number() OVER (PARTITION BY u.run_id ORDER BY u.h, u.file) AS rn
+    FROM o_un u JOIN o_n n ON n.run_id = u.run_id) x
+  WHERE rn <= n
+),
+o_queue AS (
+  SELECT run_id, file, 'flagged' AS queue FROM o_mrows
+  WHERE coalesce(needs_review, false) OR coalesce(error, '') <> ''
+  UNION ALL
+  SELECT run_id, file, 'spot_check' AS queue FROM o_spot
+),
+o_subs AS (
+  SELECT s.*,
+    {money_clean('in_subtotal')} AS c_subtotal, {money_clean('in_tax')} AS c_tax, {money_clean('in_total')} AS c_total
+  FROM review_submissions s
+),
+o_subs2 AS (
+  SELECT *,
+    action = 'save' AND ((c_subtotal <> '' AND NOT regexp_full_match(c_subtotal, '{NUM_RE}'))
+                      OR (c_tax <> '' AND NOT regexp_full_match(c_tax, '{NUM_RE}'))
+                      OR (c_total <> '' AND NOT regexp_full_match(c_total, '{NUM_RE}'))) AS rejected,
+    CASE WHEN c_subtotal = '' THEN 0.0 ELSE TRY_CAST(c_subtotal AS DOUBLE) END AS f_subtotal,
+    CASE WHEN c_tax = '' THEN 0.0 ELSE TRY_CAST(c_tax AS DOUBLE) END AS f_tax,
+    CASE WHEN c_total = '' THEN 0.0 ELSE TRY_CAST(c_total AS DOUBLE) END AS f_total
+  FROM o_subs
+),
+o_okeys AS (
+  SELECT run_id, file, count(*) AS n_items,
+         list({_item_key('description', 'quantity', 'unit_price', 'amount')} ORDER BY item_no) AS key
+  FROM run_items GROUP BY run_id, file
+),
+o_tkeys AS (
+  SELECT k, count(*) AS n_items,
+         list({_item_key('description', 'CAST(quantity AS VARCHAR)', 'CAST(CAST(unit_price AS DOUBLE) AS VARCHAR)', 'CAST(CAST(amount AS DOUBLE) AS VARCHAR)')} ORDER BY line_no) AS key
+  FROM inv_lines GROUP BY k
+),
+o_events AS (
+  SELECT s.run_id, s.file, s.event_seq, s.reviewed_at, s.queue, s.note, s.action = 'clear' AS deleted,
+    trim(s.in_vendor_name) AS f_vendor_name, trim(s.in_invoice_number) AS f_invoice_number,
+    trim(s.in_invoice_date) AS f_invoice_date, trim(s.in_due_date) AS f_due_date, trim(s.in_bill_to) AS f_bill_to,
+    trim(s.in_currency) AS f_currency, s.f_subtotal, s.f_tax, s.f_total,
+    CASE WHEN s.items_from_truth THEN coalesce(tk.n_items, 0)
+         WHEN c.has_items THEN coalesce(ok.n_items, 0) WHEN c.has_fields THEN 0 ELSE 0 END AS n_items,
+    list_filter([
+""" + ",\n".join(
+    f"      CASE WHEN {review_norm('c.' + f)} <> {review_norm('trim(s.in_' + f + ')')} THEN '{f}' END"
+    for f in ["vendor_name", "invoice_number", "invoice_date", "due_date", "bill_to", "currency"]) + ",\n" + ",\n".join(
+    f"      CASE WHEN {review_norm('c.' + f)} <> {review_norm('CAST(s.f_' + f + ' AS VARCHAR)')} THEN '{f}' END"
+    for f in ["subtotal", "tax", "total"]) + """,
+      CASE WHEN s.items_from_truth AND (CASE WHEN c.has_items THEN coalesce(ok.key, []) ELSE [] END)
+                IS DISTINCT FROM coalesce(tk.key, []) THEN 'line_items' END
+    ], lambda x: x IS NOT NULL) AS changed
+  FROM o_subs2 s
+  LEFT JOIN run_calls c ON c.run_id = s.run_id AND c.file = s.file
+  LEFT JOIN o_okeys ok ON ok.run_id = s.run_id AND ok.file = s.file
+  LEFT JOIN o_tkeys tk ON tk.k = s.k
+  WHERE NOT s.rejected
+),
+o_latest AS (
+  SELECT *, CASE WHEN len(changed) > 0 THEN 'corrected' ELSE 'approved' END AS status
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, file ORDER BY reviewed_at DESC, event_seq DESC) AS rn
+        FROM o_events) x
+  WHERE rn = 1 AND NOT deleted
+)"""
+
+REVIEW_FIXTURES = SCORED_FIXTURES + ["review_submissions"]
+
+
+def review_query(select: str) -> str:
+    return with_ctes(REVIEW_FIXTURES, [REVIEW_CTES], select)

@@ -1,4 +1,7 @@
-"""Evaluation plans: fixture runs -> scored rows -> summaries."""
+"""Evaluation plans: fixture runs -> scored rows -> summaries.
+
+Answer keys, run rows and scored rows are stored once per process (see ``sources.tables``),
+as the reference persists a run and every report reads it back."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -9,13 +12,13 @@ from ..sources.tables import Fixtures
 
 
 def truth(fx: Fixtures) -> DataFrame:
-    return truth_records(fx["inv_truth"], fx["inv_lines"])
+    return fx.derived("truth", lambda: truth_records(fx["inv_truth"], fx["inv_lines"]))
 
 
 def rows(fx: Fixtures) -> DataFrame:
-    return run_rows(fx["run_calls"], fx["run_items"])
+    return fx.derived("run_rows", lambda: run_rows(fx["run_calls"], fx["run_items"]))
 
 
 def scored(fx: Fixtures) -> DataFrame:
     """Every run of the fixture, every document of its dataset, scored (J1 + C6 + E13)."""
-    return score_runs(truth(fx), fx["runs"], rows(fx))
+    return fx.derived("scored", lambda: score_runs(truth(fx), fx["runs"], rows(fx)))

@@ -254,3 +254,105 @@ def g6_verdict(fx: Fixtures) -> DataFrame:
     headers = fx["runs"].select("run_id", "model", "prompt", "prompt_version", "schema_hash", "dataset")
     d = G.describe_change(G.paired(pairs.select("pair_id", "before_run_id", "after_run_id"), headers))
     return v.join(d, "pair_id")
+
+
+# ---------------------------------------------------------------- review: R1-R6, W4, W5, J4-J7, S6, S7, A4, A5
+from .operators import review as R  # noqa: E402
+from .plans import reviewing as RV  # noqa: E402
+
+
+@register("r1_review_queue", O.review_query("SELECT run_id, file, queue FROM o_queue"))
+def r1_review_queue(fx: Fixtures) -> DataFrame:
+    """R1 + T3 + J4 + W4 (+ P6): flagged-or-failed documents and the 10% spot-check sample."""
+    return RV.queue(fx)
+
+
+@register("w4_spot_check_sizes", O.review_query(
+    "SELECT n.run_id, CAST(n.unflagged AS BIGINT) AS unflagged, CAST(n.n AS BIGINT) AS sample_size, "
+    "CAST(count(s.file) AS BIGINT) AS sampled FROM o_n n LEFT JOIN o_spot s ON s.run_id = n.run_id "
+    "GROUP BY n.run_id, n.unflagged, n.n"))
+def w4_spot_check_sizes(fx: Fixtures) -> DataFrame:
+    """Sample size per run (round half-even, at least 1) and the number actually drawn."""
+    rows = RV.model_rows(fx)
+    un = rows.where(~M.to_human()).groupBy("run_id").agg(F.count(F.lit(1)).alias("unflagged")) \
+        .withColumn("sample_size", R.sample_size(F.col("unflagged"), 10.0))
+    drawn = R.spot_check_sample(rows, fx["runs"], 10.0).groupBy("run_id").agg(F.count(F.lit(1)).alias("sampled"))
+    return un.join(drawn, "run_id", "left").select("run_id", "unflagged", "sample_size",
+                                                   F.coalesce("sampled", F.lit(0)).cast("bigint").alias("sampled"))
+
+
+@register("s6_latest_reviews", O.review_query(
+    "SELECT run_id, file, queue, status, array_to_string(changed, ',') AS changed_fields, note, "
+    "strftime(reviewed_at, '%Y-%m-%dT%H:%M:%S') AS reviewed_at, f_bill_to AS final_bill_to, "
+    f"{O.r9('f_subtotal')} AS final_subtotal, {O.r9('f_total')} AS final_total, "
+    "CAST(n_items AS INTEGER) AS line_item_count FROM o_latest"))
+def s6_latest_reviews(fx: Fixtures) -> DataFrame:
+    """S6 + S7 + R2-R6: review events (saves, tombstones), latest wins, rejected input skipped."""
+    r = RV.reviews(fx)
+    return r.select("run_id", "file", "queue", "status", F.array_join("changed_fields", ",").alias("changed_fields"),
+                    "note", R.run_at_text(F.col("reviewed_at")).alias("reviewed_at"),
+                    F.col("final.bill_to").alias("final_bill_to"), F.col("final.subtotal").alias("final_subtotal"),
+                    F.col("final.total").alias("final_total"),
+                    F.coalesce(F.size("final.line_items"), F.lit(0)).alias("line_item_count"))
+
+
+@register("r6_rejected_submissions", O.review_query(
+    "SELECT run_id, file, CAST(event_seq AS INTEGER) AS event_seq FROM o_subs2 WHERE rejected"))
+def r6_rejected_submissions(fx: Fixtures) -> DataFrame:
+    """Submissions rejected whole because an amount does not parse."""
+    return RV.submissions(fx).where("rejected").select("run_id", "file", F.col("event_seq").cast("int"))
+
+
+@register("a4_review_progress", O.review_query(
+    "SELECT q.run_id, CAST(count(*) FILTER (WHERE q.queue = 'flagged' AND l.status IS NOT NULL) AS BIGINT) AS flagged_reviewed, "
+    "CAST(count(*) FILTER (WHERE q.queue = 'flagged') AS BIGINT) AS flagged_total, "
+    "CAST(count(*) FILTER (WHERE q.queue = 'spot_check' AND l.status IS NOT NULL) AS BIGINT) AS spot_reviewed, "
+    "CAST(count(*) FILTER (WHERE q.queue = 'spot_check') AS BIGINT) AS spot_total, "
+    "CAST(coalesce(max(c.corrected), 0) AS BIGINT) AS corrected, "
+    + O.r9("CAST(count(*) FILTER (WHERE q.queue = 'spot_check' AND l.status = 'corrected') AS DOUBLE) / "
+           "nullif(CAST(count(*) FILTER (WHERE q.queue = 'spot_check' AND l.status IS NOT NULL) AS DOUBLE), 0)")
+    + " AS spot_error_rate FROM o_queue q LEFT JOIN o_latest l ON l.run_id = q.run_id AND l.file = q.file "
+    "LEFT JOIN (SELECT run_id, count(*) FILTER (WHERE status = 'corrected') AS corrected FROM o_latest GROUP BY run_id) c "
+    "ON c.run_id = q.run_id GROUP BY q.run_id"))
+def a4_review_progress(fx: Fixtures) -> DataFrame:
+    """A4 + A5 (+ J7): review progress per run and the spot-check error rate."""
+    return R.review_progress(RV.queue(fx), RV.reviews(fx))
+
+
+@register("j6_queue_listing", O.review_query(
+    "SELECT q.run_id, q.queue, q.file, c.layout, coalesce(nullif(c.review_reason, ''), nullif(c.error, ''), '—') AS flag_reason, "
+    "CASE l.status WHEN 'approved' THEN '✅ Approved' WHEN 'corrected' THEN '✏️ Corrected' ELSE '⏳ To review' END AS status "
+    "FROM o_queue q JOIN run_calls c ON c.run_id = q.run_id AND c.file = q.file "
+    "LEFT JOIN o_latest l ON l.run_id = q.run_id AND l.file = q.file"))
+def j6_queue_listing(fx: Fixtures) -> DataFrame:
+    """J6 + P12: queue listing with reason fallback and status label."""
+    return R.queue_listing(RV.queue(fx), RV.model_rows(fx), RV.reviews(fx))
+
+
+@register("w5_next_unreviewed", O.review_query(
+    "SELECT q.run_id, q.queue, coalesce(min(CASE WHEN l.file IS NULL THEN q.file END), min(q.file)) AS next_file "
+    "FROM o_queue q LEFT JOIN o_latest l ON l.run_id = q.run_id AND l.file = q.file GROUP BY q.run_id, q.queue"))
+def w5_next_unreviewed(fx: Fixtures) -> DataFrame:
+    """Next document to review per run and queue (first by name), else the first."""
+    return R.next_unreviewed(RV.queue(fx), RV.reviews(fx))
+
+
+def _export_oracle() -> str:
+    vals = []
+    for f in ["vendor_name", "invoice_number", "invoice_date", "due_date", "bill_to", "currency"]:
+        vals.append(f"CASE WHEN l.file IS NOT NULL THEN l.f_{f} ELSE coalesce(c.{f}, '') END AS {f}")
+    for f in ["subtotal", "tax", "total"]:
+        vals.append(f"CASE WHEN l.file IS NOT NULL THEN CAST(l.f_{f} AS VARCHAR) ELSE coalesce(c.{f}, '') END AS {f}")
+    return ("SELECT c.run_id, c.file, coalesce(l.status, CASE WHEN fq.file IS NOT NULL THEN 'needs review' "
+            "ELSE 'auto-accepted' END) AS status, " + ", ".join(vals) + ", "
+            "CAST(CASE WHEN l.file IS NOT NULL THEN l.n_items WHEN c.has_items THEN coalesce(ok.n_items, 0) ELSE 0 END "
+            "AS INTEGER) AS line_item_count "
+            "FROM o_mrows c LEFT JOIN o_latest l ON l.run_id = c.run_id AND l.file = c.file "
+            "LEFT JOIN (SELECT run_id, file FROM o_queue WHERE queue = 'flagged') fq ON fq.run_id = c.run_id AND fq.file = c.file "
+            "LEFT JOIN o_okeys ok ON ok.run_id = c.run_id AND ok.file = c.file")
+
+
+@register("j5_corrected_export", O.review_query(_export_oracle()))
+def j5_corrected_export(fx: Fixtures) -> DataFrame:
+    """J5 + P13 (+ S9 CSV columns): reviewed values where decided, extracted values elsewhere."""
+    return R.corrected_export(RV.model_rows(fx), RV.queue(fx), RV.reviews(fx))

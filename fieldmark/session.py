@@ -21,6 +21,7 @@ def get_session(app: str = "fieldmark", master: str | None = None, shuffle_parti
     b = (b.config("spark.sql.session.timeZone", "UTC")
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
+          .config("spark.driver.memory", os.environ.get("FIELDMARK_DRIVER_MEMORY", "16g"))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")

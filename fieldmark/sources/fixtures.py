@@ -239,6 +239,12 @@ FROM (
   FROM {run_calls} c
   WHERE c.model <> 'rule-based' AND (c.needs_review OR coalesce(c.error, '') <> '') AND c.k % 3 <> 0
   UNION ALL
+  SELECT c.run_id, c.file, c.k, c.vendor_name, c.invoice_number, c.invoice_date, c.due_date, c.bill_to,
+         c.currency, c.subtotal, c.tax, c.total, 1 AS event_seq, 'save' AS action, 'spot check' AS note,
+         'spot_check' AS queue
+  FROM {run_calls} c
+  WHERE c.model <> 'rule-based' AND NOT coalesce(c.needs_review, false) AND coalesce(c.error, '') = '' AND c.k % 40 = 7
+  UNION ALL
   SELECT c.run_id, c.file, c.k, c.vendor_name, c.invoice_number, c.invoice_date, c.due_date, c.bill_to,
          c.currency, c.subtotal, c.tax, c.total, 2 AS event_seq, 'save' AS action, 'second look' AS note,
          CASE WHEN c.needs_review OR coalesce(c.error, '') <> '' THEN 'flagged' ELSE 'spot_check' END AS queue

@@ -1,37 +1,67 @@
-"""Read the driver's parquet tables and bind the fixture SQL to them."""
+"""Read the driver's parquet tables, bind the fixture SQL to them, and keep derived tables.
+
+Derived inputs (fixtures, run rows, scored rows) are written once per process as parquet under
+the session's ``spark.checkpoint.dir`` and read back. That is what a deployment does anyway (a
+run is persisted, reports read it): lineage is cut, a lost executor only re-reads files, later
+plans stay small, and AQE sees real sizes when it picks join strategies.
+"""
 from __future__ import annotations
 
+import hashlib
+import threading
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_dir
 from .fixtures import BASE_TABLES, FIXTURES, order
 
+_RUN_TAG = uuid.uuid4().hex[:12]  # one folder per process: never reads a table of older code
+_LOCK = threading.RLock()
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. Parquet scans prune columns and push filters down on their own."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` written once as parquet in the shared checkpoint folder, then read back."""
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir, name)
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            base = checkpoint_dir(spark).rstrip("/")
+            tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
+            path = f"{base}/fieldmark-{_RUN_TAG}/{tag}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 class Fixtures:
-    """Lazily built fixture DataFrames for one data folder.
+    """Fixture and derived DataFrames for one data folder.
 
     Each fixture is one ``spark.sql`` call whose placeholders bind to the DataFrames it depends
-    on, so a query that uses several fixtures is still a single Catalyst plan.
-    """
+    on; its result is stored once (see ``stored``)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self._cache: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name in self._cache:
-            return self._cache[name]
         if name in BASE_TABLES:
-            df = table(self.spark, self.sf_dir, name)
-        else:
+            return table(self.spark, self.sf_dir, name)
+
+        def build() -> DataFrame:
             for dep in order([name])[:-1]:
                 self[dep]
             deps, text = FIXTURES[name]
-            df = self.spark.sql(text, **{d: self[d] for d in deps})
-        self._cache[name] = df
-        return df
+            return self.spark.sql(text, **{d: self[d] for d in deps})
+        return stored(self.spark, self.sf_dir, name, build)
+
+    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return stored(self.spark, self.sf_dir, name, build)
