@@ -22,7 +22,7 @@ DATE_STYLES = {
 def parse_reader_date(s: Column) -> Column:
     """First of the reader's six formats that parses the trimmed text; null when none does."""
     t = F.trim(s)
-    return F.coalesce(*[F.try_to_date(t, F.lit(fmt)) for fmt in READER_DATE_FORMATS])
+    return F.coalesce(*[F.try_to_date(t, fmt) for fmt in READER_DATE_FORMATS])
 
 
 def iso(d: Column) -> Column:

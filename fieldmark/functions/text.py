@@ -66,7 +66,12 @@ def money_input_invalid(c: Column) -> Column:
     return (s != "") & parse_number(s).isNull()
 
 
+def strip(c: Column) -> Column:
+    """Leading and trailing whitespace removed (any Unicode white space, not only blanks)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def first_group(text: Column, pattern: str, case_insensitive: bool = True) -> Column:
-    """First capture group of the first match, trimmed; null when there is no match."""
+    """First capture group of the first match, stripped; null when there is no match."""
     flags = "(?iUd)" if case_insensitive else "(?Ud)"
-    return F.nullif(F.trim(F.regexp_extract(text, flags + pattern, 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(text, flags + pattern, 1)), F.lit(""))

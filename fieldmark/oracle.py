@@ -325,3 +325,95 @@ REVIEW_FIXTURES = SCORED_FIXTURES + ["review_submissions"]
 
 def review_query(select: str) -> str:
     return with_ctes(REVIEW_FIXTURES, [REVIEW_CTES], select)
+
+
+# Document text (D7) and the rule-based reader (E1) in DuckDB.
+def _doc_ctes() -> str:
+    from .constants import LAYOUTS
+    from .operators.documents import render_sql
+    item_cases, text_cases = [], []
+    for lay in LAYOUTS:
+        item_expr, text_expr = render_sql(lay)
+        item_cases.append(f"WHEN '{lay}' THEN {item_expr}")
+        text_cases.append(f"WHEN '{lay}' THEN {text_expr}")
+    return f"""
+o_items_text AS (
+  SELECT l.k, string_agg(CASE t.layout {' '.join(item_cases)} END, chr(10) ORDER BY l.line_no) AS items_text
+  FROM inv_lines l JOIN inv_truth t ON t.k = l.k GROUP BY l.k
+),
+o_doctext AS (
+  SELECT t.dataset, t.file, t.k, t.layout, t.format,
+         CASE WHEN t.format = 'digital PDF' THEN CASE t.layout {' '.join(text_cases)} END ELSE '' END AS text
+  FROM inv_truth t LEFT JOIN o_items_text it ON it.k = t.k
+)"""
+
+
+def _fg(pattern: str, ci: bool = True) -> str:
+    opt = ", 'i'" if ci else ""
+    return f"nullif(trim(regexp_extract(text, {q(pattern)}, 1{opt})), '')"
+
+
+def _date(x: str) -> str:
+    fmts = ["%m/%d/%Y", "%Y-%m-%d", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d.%m.%Y"]
+    return "CAST(coalesce(" + ", ".join(f"try_strptime(trim({x}), '{f_}')" for f_ in fmts) + ") AS DATE)"
+
+
+def _e1_ctes() -> str:
+    from . import constants as K
+    split_pat = r"^(.+?(?:" + "|".join(K.COMPANY_SUFFIXES) + r"))\s"
+    return f"""
+o_e1a AS (
+  SELECT dataset, file, k, layout, format, text,
+    lower(file) LIKE '%.pdf' AND regexp_matches(coalesce(text, ''), '\\S') AS readable,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
+                lambda x: x <> '' AND upper(x) NOT IN ('INVOICE', 'RECEIPT'))[1] AS vendor_name,
+    {_fg(K.PAT_INVOICE_NUMBER)} AS invoice_number,
+    {_date(_fg(K.PAT_INVOICE_DATE))} AS inv_d,
+    {_date(_fg(K.PAT_DUE_DATE))} AS due_d,
+    TRY_CAST({_fg(K.PAT_NET_DAYS)} AS INTEGER) AS net,
+    {_fg(K.PAT_BILL_TO)} AS bill_lab,
+    nullif(regexp_extract(text, {q(K.PAT_BILL_SHIP_HEADER)}, 1), '') AS bill_hdr,
+    CASE WHEN regexp_matches(text, {q(K.PAT_EUR)}) THEN 'EUR' ELSE 'USD' END AS currency,
+    replace({_fg(K.PAT_SUBTOTAL)}, ',', '') AS subtotal,
+    replace({_fg(K.PAT_TAX)}, ',', '') AS tax0,
+    replace({_fg(K.PAT_TOTAL)}, ',', '') AS total
+  FROM o_doctext
+),
+o_e1 AS (
+  SELECT dataset, file, k, layout, format, readable,
+    CASE WHEN readable THEN vendor_name END AS vendor_name,
+    CASE WHEN readable THEN invoice_number END AS invoice_number,
+    CASE WHEN readable THEN strftime(inv_d, '%Y-%m-%d') END AS invoice_date,
+    CASE WHEN readable THEN strftime(coalesce(due_d, CASE WHEN net IS NOT NULL AND inv_d IS NOT NULL
+                                                       THEN CAST(inv_d + net AS DATE) END), '%Y-%m-%d') END AS due_date,
+    CASE WHEN readable THEN coalesce(bill_lab, CASE WHEN bill_hdr IS NOT NULL THEN
+         coalesce(nullif(regexp_extract(bill_hdr, {q(split_pat)}, 1), ''), bill_hdr) END) END AS bill_to,
+    CASE WHEN readable THEN currency END AS currency,
+    CASE WHEN readable THEN subtotal END AS subtotal,
+    CASE WHEN readable THEN CASE WHEN TRY_CAST(tax0 AS DOUBLE) IS NULL OR TRY_CAST(tax0 AS DOUBLE) = 0 THEN '0.0'
+                                 ELSE tax0 END END AS tax,
+    CASE WHEN readable THEN total END AS total,
+    CASE WHEN readable THEN '' ELSE {q(K.NO_TEXT_NOTE)} END AS note
+  FROM o_e1a
+),
+o_e1_scored AS (
+  SELECT t.dataset, t.file, t.layout,
+    ({' + '.join(field_score_sql(f_, 'e.' + f_, 't.' + f_ if f_ not in ('subtotal', 'tax', 'total') else f'CAST(t.{f_} AS DOUBLE)') for f_ in SCORED_FIELDS if f_ != 'line_items')}
+     + 0.0) / 10.0 AS overall,
+""" + ",\n".join(
+        f"    {field_score_sql(f_, 'e.' + f_, 't.' + f_ if f_ not in ('subtotal', 'tax', 'total') else f'CAST(t.{f_} AS DOUBLE)')} AS s_{f_}"
+        for f_ in SCORED_FIELDS if f_ != 'line_items') + """,
+    0.0 AS s_line_items
+  FROM inv_truth t LEFT JOIN o_e1 e ON e.file = t.file
+)"""
+
+
+DOC_FIXTURES = ["inv_truth", "inv_lines"]
+
+
+def doc_query(select: str) -> str:
+    return with_ctes(DOC_FIXTURES, [_doc_ctes()], select)
+
+
+def e1_query(select: str) -> str:
+    return with_ctes(DOC_FIXTURES, [_doc_ctes(), _e1_ctes()], select)

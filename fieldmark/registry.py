@@ -356,3 +356,61 @@ def _export_oracle() -> str:
 def j5_corrected_export(fx: Fixtures) -> DataFrame:
     """J5 + P13 (+ S9 CSV columns): reviewed values where decided, extracted values elsewhere."""
     return R.corrected_export(RV.model_rows(fx), RV.queue(fx), RV.reviews(fx))
+
+
+# ---------------------------------------------------------------- documents and rule-based extraction
+from .operators import documents as D  # noqa: E402
+from .plans import extraction as EX  # noqa: E402
+
+E1_FIELDS = ["vendor_name", "invoice_number", "invoice_date", "due_date", "bill_to", "currency", "subtotal", "tax",
+             "total"]
+
+
+@register("d7_document_text", O.doc_query(
+    "SELECT dataset, file, layout, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM o_doctext"))
+def d7_document_text(fx: Fixtures) -> DataFrame:
+    """D7 (+ D5 money formats, D6 date styles): document text per layout, as hash and length."""
+    return EX.doc_text(fx).select("dataset", "file", "layout", F.md5("text").alias("text_md5"),
+                                  F.length("text").alias("n_chars"))
+
+
+@register("e1_rule_extraction", O.e1_query(
+    "SELECT file, " + ", ".join(E1_FIELDS) + ", note FROM o_e1"))
+def e1_rule_extraction(fx: Fixtures) -> DataFrame:
+    """Rule-based reader over every document text (regex, dates, Net-N due dates,
+    bill-to fallback, currency, money labels, unreadable documents)."""
+    e = EX.extracted(fx)
+    return e.select("file", *[F.col(f"fields.{f}").alias(f) for f in E1_FIELDS], "note")
+
+
+@register("e1_rule_based_summary", O.e1_query(
+    "SELECT 'rules__' || dataset AS run_id, CAST(count(*) AS BIGINT) AS documents, "
+    f"{O.r9('avg(overall)')} AS overall_accuracy, "
+    "CAST(count(*) FILTER (WHERE overall = 1.0) AS BIGINT) AS perfect_documents, "
+    + ", ".join(f"{O.r9(f'avg(s_{f})')} AS acc_{f}" for f in SCORED_FIELDS)
+    + " FROM o_e1_scored GROUP BY dataset"))
+def e1_rule_based_summary(fx: Fixtures) -> DataFrame:
+    """Flagship: document text -> E1 -> J1 -> C6 -> A1, one row per dataset."""
+    s = M.summarize(EX.rule_scored(fx))
+    return s.select("run_id", "documents", "overall_accuracy", "perfect_documents",
+                    *[f"acc_{f}" for f in SCORED_FIELDS])
+
+
+@register("s2_media_types", O.with_ctes(["inv_truth"], [],
+    "SELECT file, lower(regexp_extract(file, '(\\.[^./]+)$', 1)) AS suffix_lower, "
+    "CASE lower(regexp_extract(file, '(\\.[^./]+)$', 1)) WHEN '.pdf' THEN 'application/pdf' "
+    "WHEN '.png' THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' END AS media_type "
+    "FROM inv_truth"))
+def s2_media_types(fx: Fixtures) -> DataFrame:
+    """Media-type dispatch by file suffix (case-insensitive), null when unsupported."""
+    d = D.with_media_type(fx["inv_truth"].select("file"))
+    return d.select("file", F.lower("suffix").alias("suffix_lower"), "media_type")
+
+
+@register("d8_split_check", O.with_ctes(["inv_truth"], [],
+    "SELECT t.dataset, t.layout, CAST(count(*) AS BIGINT) AS documents, "
+    "bool_or(t.dataset = 'test') AND NOT EXISTS (SELECT 1 FROM inv_truth p WHERE p.dataset = 'practice' "
+    "AND p.layout = t.layout) AS test_only FROM inv_truth t GROUP BY t.dataset, t.layout"))
+def d8_split_check(fx: Fixtures) -> DataFrame:
+    """Documents per dataset and layout; layouts only in the held-out set."""
+    return D.split_leak_check(fx["inv_truth"])
