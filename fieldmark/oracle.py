@@ -164,8 +164,8 @@ o_summary AS (
 
 
 def with_ctes(fixtures: list[str], extra_ctes: list[str], select: str) -> str:
-    parts = [duckdb_ctes(fixtures)] + [c.strip() for c in extra_ctes]
-    return "WITH " + ",\n".join(p for p in parts if p) + "\n" + select
+    parts = [p for p in [duckdb_ctes(fixtures)] + [c.strip() for c in extra_ctes] if p]
+    return ("WITH " + ",\n".join(parts) + "\n" + select) if parts else select
 
 
 SCORED_FIXTURES = ["inv_truth", "inv_lines", "runs", "run_calls", "run_items"]

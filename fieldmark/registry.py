@@ -414,3 +414,142 @@ def s2_media_types(fx: Fixtures) -> DataFrame:
 def d8_split_check(fx: Fixtures) -> DataFrame:
     """Documents per dataset and layout; layouts only in the held-out set."""
     return D.split_leak_check(fx["inv_truth"])
+
+
+# ---------------------------------------------------------------- versions, run selection, costs, business case
+from pyspark.sql import Window  # noqa: E402
+
+from .constants import (DEFAULT_MANUAL_MINUTES, DEFAULT_REVIEW_MINUTES, DEFAULT_STAFF_RATE,  # noqa: E402
+                        DEFAULT_VOLUME)
+from .operators import versions as V  # noqa: E402
+from .operators.business import business_case  # noqa: E402
+
+FIXTURE_DEFAULT_PROMPT = "Extract the invoice fields as JSON."
+
+
+@register("v3_version_log", O.with_ctes([], [],
+    "SELECT d.doc_id, CASE WHEN trim(d.text) = " + O.q(FIXTURE_DEFAULT_PROMPT) + " THEN 'default' ELSE 'v' || "
+    "CAST(f.n AS VARCHAR) END AS version FROM documents d LEFT JOIN ("
+    "SELECT key, row_number() OVER (ORDER BY first_id) AS n FROM (SELECT trim(text) AS key, min(doc_id) AS first_id "
+    "FROM documents WHERE trim(text) <> " + O.q(FIXTURE_DEFAULT_PROMPT) + " GROUP BY trim(text)) x) f "
+    "ON f.key = trim(d.text)"))
+def v3_version_log(fx: Fixtures) -> DataFrame:
+    """V3: version labels over a log of saved texts (the documents table in doc_id order): a
+    known text keeps its first label, each new text gets v{n} in save order."""
+    log = fx["documents"].select(F.col("doc_id").alias("seq"), "text")
+    return V.assign_versions(log, FIXTURE_DEFAULT_PROMPT).select(F.col("seq").alias("doc_id"), "version")
+
+
+@register("v2_run_versions", O.summary_query(
+    "SELECT r.run_id, r.prompt_version, CASE WHEN r.prompt IS NULL THEN NULL WHEN trim(r.prompt) = "
+    + O.q(FIXTURE_DEFAULT_PROMPT) + " THEN 'default' ELSE coalesce(v.version, 'unsaved') END AS version_of_text, "
+    f"{O.r9('s.overall_accuracy')} AS overall_accuracy FROM runs r "
+    "LEFT JOIN (SELECT trim(text) AS key, arg_min(version, seq) AS version FROM instruction_versions GROUP BY trim(text)) v "
+    "ON v.key = trim(r.prompt) JOIN o_summary s ON s.run_id = r.run_id",
+    extra=[]).replace("WITH ", "WITH " + __import__("fieldmark.sources.fixtures", fromlist=["x"]).duckdb_ctes(
+        ["instruction_versions"]) + ",\n", 1))
+def v2_run_versions(fx: Fixtures) -> DataFrame:
+    """V2 + J9: version label of the instruction text each run used, beside its accuracy."""
+    runs = V.version_of(fx["runs"], fx["instruction_versions"], FIXTURE_DEFAULT_PROMPT)
+    s = M.summarize(EV.scored(fx)).select("run_id", "overall_accuracy")
+    return runs.join(s, "run_id").select("run_id", "prompt_version", "version_of_text", "overall_accuracy")
+
+
+@register("v5_fingerprints", O.with_ctes(["inv_truth"], [],
+    "SELECT file, substr(sha256('{' || '\"bill_to\": \"' || bill_to || '\", \"currency\": \"' || currency || "
+    "'\", \"due_date\": \"' || due_date || '\", \"invoice_date\": \"' || invoice_date || '\", \"invoice_number\": \"' "
+    "|| invoice_number || '\", \"vendor_name\": \"' || vendor_name || '\"}'), 1, 10) AS fingerprint FROM inv_truth"))
+def v5_fingerprints(fx: Fixtures) -> DataFrame:
+    """V5: 10-hex SHA-256 fingerprint of each answer-key header as canonical JSON."""
+    t = fx["inv_truth"]
+    keys = ["vendor_name", "invoice_number", "invoice_date", "due_date", "bill_to", "currency"]
+    return t.select("file", V.fingerprint(V.canonical_json({k: F.col(k) for k in keys})).alias("fingerprint"))
+
+
+def _named_runs(fx: Fixtures) -> DataFrame:
+    return fx["runs"].withColumn("run_name", M.run_name())
+
+
+RUN_NAME_SQL = ("CASE WHEN method = 'baseline' THEN 'Rule-based' ELSE " + O.model_short("model")
+                + " || ' · ' || coalesce(prompt_version, 'original') END")
+
+
+@register("w1_latest_per_name", O.summary_query(
+    "SELECT x.dataset, x.run_name, x.run_id, " + ", ".join(f"{O.r9(f's.acc_{f}')} AS acc_{f}" for f in SCORED_FIELDS)
+    + f" FROM (SELECT run_id, dataset, {RUN_NAME_SQL} AS run_name, row_number() OVER (PARTITION BY dataset, "
+    f"{RUN_NAME_SQL} ORDER BY run_at DESC, run_id DESC) AS rn FROM runs) x JOIN o_summary s ON s.run_id = x.run_id "
+    "WHERE x.rn = 1"))
+def w1_latest_per_name(fx: Fixtures) -> DataFrame:
+    """W1 (+ P11 run names): latest run per name within a dataset, with its per-field accuracy."""
+    w = Window.partitionBy("dataset", "run_name").orderBy(F.col("run_at").desc(), F.col("run_id").desc())
+    latest = _named_runs(fx).withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    s = M.summarize(EV.scored(fx))
+    return latest.join(s, "run_id").select("dataset", "run_name", "run_id", *[f"acc_{f}" for f in SCORED_FIELDS])
+
+
+@register("w3_default_comparison", O.summary_query(
+    f"SELECT dataset, run_name, CAST(pos AS INTEGER) AS pos, {O.r9('overall_accuracy')} AS overall_accuracy FROM ("
+    f"SELECT n.dataset, n.run_name, CASE WHEN n.run_name = 'Rule-based' THEN 0 ELSE "
+    "row_number() OVER (PARTITION BY n.dataset, n.run_name = 'Rule-based' ORDER BY n.first_at, n.first_id) END AS pos, "
+    "count(*) FILTER (WHERE n.run_name <> 'Rule-based') OVER (PARTITION BY n.dataset) AS n_ai, s.overall_accuracy "
+    f"FROM (SELECT dataset, {RUN_NAME_SQL} AS run_name, min(run_at) AS first_at, min(run_id) AS first_id, "
+    "arg_max(run_id, (run_at, run_id)) AS latest_id FROM runs GROUP BY dataset, run_name) n "
+    "JOIN o_summary s ON s.run_id = n.latest_id) y WHERE run_name = 'Rule-based' OR pos > n_ai - 3"))
+def w3_default_comparison(fx: Fixtures) -> DataFrame:
+    """Default comparison set per dataset: the rule-based run plus the last three model run
+    names by first appearance, each with the accuracy of its latest run."""
+    r = _named_runs(fx)
+    names = r.groupBy("dataset", "run_name").agg(
+        F.min("run_at").alias("first_at"), F.min("run_id").alias("first_id"),
+        F.max_by("run_id", F.struct("run_at", "run_id")).alias("latest_id"))
+    base = F.col("run_name") == "Rule-based"
+    w = Window.partitionBy("dataset", base).orderBy("first_at", "first_id")
+    n_ai = F.count(F.when(~base, F.lit(1))).over(Window.partitionBy("dataset"))
+    ranked = names.withColumn("pos", F.when(base, F.lit(0)).otherwise(F.row_number().over(w))) \
+        .withColumn("n_ai", n_ai).where(base | (F.col("pos") > F.col("n_ai") - 3))
+    s = M.summarize(EV.scored(fx)).select(F.col("run_id").alias("latest_id"), "overall_accuracy")
+    return ranked.join(s, "latest_id").select("dataset", "run_name", F.col("pos").cast("int"), "overall_accuracy")
+
+
+@register("e13_call_costs", O.scored_query(
+    "SELECT coalesce(model, '(none)') AS model, dataset, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, "
+    f"CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {O.r9('sum(cost_usd)')} AS cost_usd, "
+    f"{O.r9('max(cost_usd)')} AS max_call_cost FROM o_scored GROUP BY coalesce(model, '(none)'), dataset"))
+def e13_call_costs(fx: Fixtures) -> DataFrame:
+    """E13 + J8: call cost from tokens and the price table (unknown model: default price)."""
+    s = EV.scored(fx)
+    return s.groupBy(F.coalesce("model", F.lit("(none)")).alias("model"), "dataset").agg(
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.sum("cost_usd").alias("cost_usd"), F.max("cost_usd").alias("max_call_cost"))
+
+
+SCENARIOS = [  # name, volume, manual minutes, staff $/hour, review minutes, review % (None = from run)
+    ("default", DEFAULT_VOLUME, DEFAULT_MANUAL_MINUTES, DEFAULT_STAFF_RATE, DEFAULT_REVIEW_MINUTES, None),
+    ("large", 50000, 6.0, 42.0, 2.0, None),
+    ("spot-heavy", 2000, 4.0, 35.0, 1.5, 25.0),
+]
+
+
+def _business_oracle() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS scenario, {v}.0 AS volume, {m} AS manual_min, {r} AS rate, {rm} AS review_min, "
+        f"{'NULL' if p is None else p} AS review_pct_in" for n, v, m, r, rm, p in SCENARIOS)
+    return O.summary_query(
+        "SELECT run_id, scenario, " + ", ".join(f"{O.r9(c)} AS {c}" for c in
+                                                 ["review_pct", "manual_cost", "ai_cost", "review_cost", "new_cost",
+                                                  "savings"])
+        + f", {O.r9('savings_pct')} AS savings_pct FROM (SELECT *, manual_cost - new_cost AS savings, "
+        "CASE WHEN manual_cost <> 0 THEN (manual_cost - new_cost) / manual_cost END AS savings_pct FROM ("
+        "SELECT *, ai_cost + review_cost AS new_cost FROM ("
+        "SELECT s.run_id, sc.scenario, coalesce(sc.review_pct_in, round_even(100.0 * (s.flagged_for_review + s.errors) "
+        "/ greatest(1, s.documents), 1)) AS review_pct, sc.volume * sc.manual_min / 60.0 * sc.rate AS manual_cost, "
+        "sc.volume * s.avg_cost_usd AS ai_cost, sc.volume * (coalesce(sc.review_pct_in, round_even(100.0 * "
+        "(s.flagged_for_review + s.errors) / greatest(1, s.documents), 1)) / 100.0) * sc.review_min / 60.0 * sc.rate "
+        f"AS review_cost FROM o_summary s, ({rows}) sc) a) b) c")
+
+
+@register("b1_business_case", _business_oracle())
+def b1_business_case(fx: Fixtures) -> DataFrame:
+    """B1 + B2: monthly manual cost vs model + review cost per run and scenario; the review
+    share defaults to the run's flagged-plus-failed share."""
+    return business_case(M.summarize(EV.scored(fx)), SCENARIOS)
