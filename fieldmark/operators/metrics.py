@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FIELD_LABELS, HEADER_FIELDS, MODEL_SHORT, SCORED_FIELDS
-from ..functions.formats import field_label, fmt_value, map_literal
+from ..functions.formats import field_label, fixed, fmt_value, map_literal
 
 
 # --- P1-P6: predicates over a scored row -------------------------------------------------------
@@ -150,7 +150,7 @@ def _field_rows(scored_with_truth: DataFrame) -> DataFrame:
             n_p = F.coalesce(F.size("fields.line_items"), F.lit(0))
             exp = F.concat(n_t.cast("string"), F.lit(" rows"))
             got = F.concat(n_p.cast("string"), F.lit(" rows, "),
-                           F.format_string("%.0f%%", F.col("scores.line_items") * 100), F.lit(" matched"))
+                           fixed(F.col("scores.line_items") * 100, 0), F.lit("% matched"))
             got_plain = F.concat(n_p.cast("string"), F.lit(" rows"))
         else:
             exp = fmt_value(f, F.col(f"t_{f}"))

@@ -417,3 +417,38 @@ def doc_query(select: str) -> str:
 
 def e1_query(select: str) -> str:
     return with_ctes(DOC_FIXTURES, [_doc_ctes(), _e1_ctes()], select)
+
+
+def fmt_value(field: str, x: str) -> str:
+    if field in ("subtotal", "tax", "total"):
+        shown = (f"CASE WHEN regexp_full_match(trim(CAST({x} AS VARCHAR)), '{NUM_RE}') THEN "
+                 f"format('{{:,.2f}}', CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)) ELSE CAST({x} AS VARCHAR) END")
+    else:
+        shown = f"CAST({x} AS VARCHAR)"
+    return f"(CASE WHEN {x} IS NULL OR CAST({x} AS VARCHAR) = '' THEN '—' ELSE {shown} END)"
+
+
+MISSED_SQL = ("array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN s_{f} < 1.0 THEN {q(FIELD_LABELS[f])} END" for f in SCORED_FIELDS) + "], lambda x: x IS NOT NULL), ', ')")
+
+LATEST_PRACTICE_CTE = """
+o_w2 AS (SELECT arg_max(run_id, (run_at, run_id)) AS run_id FROM runs WHERE method = 'claude' AND dataset = 'practice')"""
+
+
+def field_rows_sql() -> str:
+    """One row per (document, field) of the latest practice model run: expected, got, current, score."""
+    parts = []
+    for f in SCORED_FIELDS:
+        if f == "line_items":
+            exp = "CAST(n_true AS VARCHAR) || ' rows'"
+            got = (f"CAST(n_pred AS VARCHAR) || ' rows, ' || printf('%.0f', round_even(s_line_items * 100, 0)) "
+                   f"|| '% matched'")
+            cur = "CAST(n_pred AS VARCHAR) || ' rows'"
+        else:
+            exp = fmt_value(f, f"t_{f}")
+            got = fmt_value(f, f"p_{f}")
+            cur = got
+        parts.append(f"SELECT run_id, file, layout, is_flagged, '{f}' AS field, {q(FIELD_LABELS[f])} AS field_label, "
+                     f"{exp} AS expected, {got} AS got, {cur} AS current, s_{f} AS score "
+                     f"FROM o_scored WHERE run_id = (SELECT run_id FROM o_w2)")
+    return "o_fields AS (" + " UNION ALL ".join(parts) + ")"

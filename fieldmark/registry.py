@@ -553,3 +553,94 @@ def b1_business_case(fx: Fixtures) -> DataFrame:
     """B1 + B2: monthly manual cost vs model + review cost per run and scenario; the review
     share defaults to the run's flagged-plus-failed share."""
     return business_case(M.summarize(EV.scored(fx)), SCENARIOS)
+
+
+# ---------------------------------------------------------------- reshapes and answer-key checks
+from .operators.assembly import assemble_invoices  # noqa: E402
+
+
+@register("f4_document_table", O.scored_query(
+    f"SELECT run_id, file, layout, format, {O.r9('overall * 100')} AS accuracy, {O.r9('cost_usd')} AS cost, "
+    "CASE WHEN is_flagged THEN '⚑' ELSE '' END AS flagged, coalesce(nullif(review_reason, ''), '') AS flag_reason, "
+    f"{O.MISSED_SQL} AS missed_fields, coalesce(nullif(error, ''), nullif(note, ''), '') AS error_or_note "
+    "FROM o_scored"))
+def f4_document_table(fx: Fixtures) -> DataFrame:
+    """F4 + P9: document table of every run with missed fields and error-or-note."""
+    return M.document_table(EV.scored(fx))
+
+
+def _latest_practice_model_run(fx: Fixtures) -> DataFrame:
+    """The latest model run of the practice set (a one-row frame)."""
+    r = fx["runs"].where((F.col("method") == "claude") & (F.col("dataset") == "practice"))
+    return r.agg(F.max_by("run_id", F.struct("run_at", "run_id")).alias("run_id"))
+
+
+@register("f2_mistakes_latest_practice", O.scored_query(
+    "SELECT run_id, file, layout, field_label AS field, expected, got AS ai_said, "
+    "CASE WHEN is_flagged THEN '⚑ yes' ELSE 'no (silent)' END AS flagged FROM o_fields WHERE score < 1.0 "
+    "UNION ALL SELECT run_id, file, layout, '(whole invoice)' AS field, '' AS expected, "
+    "'Error: ' || substr(error, 1, 80) AS ai_said, '' AS flagged FROM o_scored "
+    "WHERE is_failed AND run_id = (SELECT run_id FROM o_w2)", extra=[O.LATEST_PRACTICE_CTE, O.field_rows_sql()]))
+def f2_mistakes_latest_practice(fx: Fixtures) -> DataFrame:
+    """W2 + F2 + J10: what the latest practice model run got wrong, field by field."""
+    scored = EV.scored(fx).join(_latest_practice_model_run(fx), "run_id")
+    return M.mistakes(scored, EV.truth(fx))
+
+
+@register("f3_field_view_latest_practice", O.scored_query(
+    "SELECT run_id, file, field_label AS field, current AS current_value, expected AS answer_key, "
+    "score = 1.0 AS match FROM o_fields", extra=[O.LATEST_PRACTICE_CTE, O.field_rows_sql()]))
+def f3_field_view_latest_practice(fx: Fixtures) -> DataFrame:
+    """per-document field view (current value, answer key, match) of the latest practice run."""
+    scored = EV.scored(fx).join(_latest_practice_model_run(fx), "run_id")
+    return M.field_view(scored, EV.truth(fx))
+
+
+@register("a6_key_integrity", O.with_ctes(["inv_truth", "inv_lines"], [],
+    "SELECT t.dataset, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE NOT abs(round_even(s.items, 2) "
+    f"- CAST(t.subtotal AS DOUBLE)) < 0.011) AS BIGINT) AS violations, {O.r9('sum(round_even(s.items, 2))')} AS items_total "
+    "FROM inv_truth t JOIN (SELECT k, sum(CAST(amount AS DOUBLE)) AS items FROM inv_lines GROUP BY k) s ON s.k = t.k "
+    "GROUP BY t.dataset"))
+def a6_key_integrity(fx: Fixtures) -> DataFrame:
+    """Answer keys whose line items do not add up to the subtotal, counted per dataset."""
+    truth = EV.truth(fx)
+    items_sum = F.bround(F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["amount"]), 2)
+    bad = ~(F.abs(items_sum - F.col("subtotal")) < 0.011)
+    return truth.groupBy("dataset").agg(F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("violations"),
+                                        F.sum(items_sum).alias("items_total"))
+
+
+@register("a7_dataset_completeness", O.with_ctes(["inv_truth"], [],
+    "SELECT dataset, CAST(count(*) AS BIGINT) AS documents, CAST(0 AS BIGINT) AS missing_files, "
+    "CAST(count(*) FILTER (WHERE vendor_name IS NULL OR invoice_number IS NULL OR invoice_date IS NULL OR due_date IS NULL "
+    "OR bill_to IS NULL OR currency IS NULL OR subtotal IS NULL OR tax IS NULL OR total IS NULL) AS BIGINT) AS missing_fields "
+    "FROM inv_truth GROUP BY dataset"))
+def a7_dataset_completeness(fx: Fixtures) -> DataFrame:
+    """Documents per dataset, answer-key entries without a document, entries missing a field."""
+    from .plans import extraction as EX
+    files = EX.doc_text(fx).select("dataset", "file")
+    return M.dataset_completeness(EV.truth(fx), files)
+
+
+@register("d1_assembled_totals", O.with_ctes(["inv_truth", "inv_lines"], [],
+    "SELECT k, CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount, CAST(tax AS DOUBLE) AS tax, "
+    "CAST(subtotal - discount + tax AS DOUBLE) AS total FROM (SELECT *, round((subtotal - discount) * tax_rate, 2) AS tax "
+    "FROM (SELECT s.k, s.subtotal, t.tax_rate, CASE WHEN s.k % 13 < 3 THEN round(s.subtotal * CAST(0.05 AS DECIMAL(4,4)), 2) "
+    "ELSE CAST(0 AS DECIMAL(18,2)) END AS discount FROM (SELECT k, sum(round(CAST(unit_price AS DECIMAL(18,2)) * "
+    "CAST(quantity AS DECIMAL(9,0)), 2)) AS subtotal FROM inv_lines GROUP BY k) s JOIN inv_truth t ON t.k = s.k) a) b"))
+def d1_assembled_totals(fx: Fixtures) -> DataFrame:
+    """D1 + D2 + D4: amounts, subtotal, 5% discount, tax on the discounted base and total from
+    line rows, decimals rounded HALF_UP to cents."""
+    headers = fx["inv_truth"].select("k", (F.col("k") % 13 < 3).alias("has_discount"), "tax_rate")
+    d = assemble_invoices(fx["inv_lines"], headers)
+    return d.select("k", *[F.col(c).cast("double").alias(c) for c in ["subtotal", "discount", "tax", "total"]])
+
+
+@register("p14_model_runs", O.scored_query(
+    "SELECT r.dataset, CAST(count(DISTINCT r.run_id) AS BIGINT) AS model_runs, CAST(count(s.file) AS BIGINT) AS documents_scored "
+    "FROM runs r JOIN o_scored s ON s.run_id = r.run_id WHERE r.method = 'claude' GROUP BY r.dataset"))
+def p14_model_runs(fx: Fixtures) -> DataFrame:
+    """Model runs per dataset (how often the held-out set was used) and documents scored."""
+    s = EV.scored(fx).join(M.model_runs(fx["runs"]).select("run_id", F.col("dataset").alias("ds")), "run_id")
+    return s.groupBy(F.col("ds").alias("dataset")).agg(F.countDistinct("run_id").alias("model_runs"),
+                                                      F.count(F.lit(1)).alias("documents_scored"))

@@ -11,24 +11,25 @@ def get_session(app: str = "fieldmark", master: str | None = None, shuffle_parti
                 ) -> SparkSession:
     """A session with the settings every operator here assumes.
 
-    On a cluster the master, memory and ``spark.checkpoint.dir`` come from the submit command and
-    are left alone; ``master`` is only used when no session exists yet (tests, bench).
+    With ``master`` (tests, bench) a local session is built with local sizing. Without it the
+    running session is used as configured by the cluster (executors, memory, shuffle partitions,
+    ``spark.checkpoint.dir``); only the semantic settings below are applied to it.
     """
     b = SparkSession.builder.appName(app)
     if master:
-        b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("FIELDMARK_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.sql.session.timeZone", "UTC")
-          .config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.driver.memory", os.environ.get("FIELDMARK_DRIVER_MEMORY", "16g"))
-          .config("spark.sql.adaptive.enabled", "true")
-          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.shuffle.partitions", str(parts))
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+        parts = shuffle_partitions or int(os.environ.get("FIELDMARK_SHUFFLE_PARTITIONS", "8"))
+        b = (b.master(master)
+              .config("spark.ui.enabled", "false")
+              .config("spark.ui.showConsoleProgress", "false")
+              .config("spark.driver.memory", os.environ.get("FIELDMARK_DRIVER_MEMORY", "16g"))
+              .config("spark.sql.shuffle.partitions", str(parts)))
     spark = b.getOrCreate()
+    # Semantics: UTC wall clock for timestamps; runtime re-planning for joins and skew.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark
 
 
