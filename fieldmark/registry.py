@@ -598,7 +598,8 @@ def f3_field_view_latest_practice(fx: Fixtures) -> DataFrame:
 
 @register("a6_key_integrity", O.with_ctes(["inv_truth", "inv_lines"], [],
     "SELECT t.dataset, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE NOT abs(round_even(s.items, 2) "
-    f"- CAST(t.subtotal AS DOUBLE)) < 0.011) AS BIGINT) AS violations, {O.r9('sum(round_even(s.items, 2))')} AS items_total "
+    f"- CAST(t.subtotal AS DOUBLE)) < 0.011) AS BIGINT) AS violations, "
+    "CAST(sum(CAST(round_even(s.items, 2) AS DECIMAL(18,2))) AS DOUBLE) AS items_total "
     "FROM inv_truth t JOIN (SELECT k, sum(CAST(amount AS DOUBLE)) AS items FROM inv_lines GROUP BY k) s ON s.k = t.k "
     "GROUP BY t.dataset"))
 def a6_key_integrity(fx: Fixtures) -> DataFrame:
@@ -607,7 +608,7 @@ def a6_key_integrity(fx: Fixtures) -> DataFrame:
     items_sum = F.bround(F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["amount"]), 2)
     bad = ~(F.abs(items_sum - F.col("subtotal")) < 0.011)
     return truth.groupBy("dataset").agg(F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("violations"),
-                                        F.sum(items_sum).alias("items_total"))
+                                        F.sum(items_sum.cast("decimal(18,2)")).cast("double").alias("items_total"))
 
 
 @register("a7_dataset_completeness", O.with_ctes(["inv_truth"], [],
