@@ -83,7 +83,7 @@ def parse_replies(calls: DataFrame) -> DataFrame:
                         F.when(error.isNull(), F.col("input_tokens")).otherwise(F.lit(0)).alias("input_tokens"),
                         F.when(error.isNull(), F.col("output_tokens")).otherwise(F.lit(0)).alias("output_tokens"),
                         F.when(error.isNull(), F.col("seconds")).otherwise(F.lit(0.0)).alias("seconds"),
-                        "model", error.alias("error")) \
+                        "model", F.lit(None).cast("string").alias("note"), error.alias("error")) \
         .withColumn("cost_usd", cost_usd(F.col("model"), F.col("input_tokens"), F.col("output_tokens")))
 
 

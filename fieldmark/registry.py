@@ -645,3 +645,53 @@ def p14_model_runs(fx: Fixtures) -> DataFrame:
     s = EV.scored(fx).join(M.model_runs(fx["runs"]).select("run_id", F.col("dataset").alias("ds")), "run_id")
     return s.groupBy(F.col("ds").alias("dataset")).agg(F.countDistinct("run_id").alias("model_runs"),
                                                       F.count(F.lit(1)).alias("documents_scored"))
+
+
+# ---------------------------------------------------------------- model path: U1, E11, E13, G7
+from .plans import model_runs as MR  # noqa: E402
+
+_STUB_PRICE_IN, _STUB_PRICE_OUT = 1.0, 5.0  # the stub runs as Haiku 4.5
+
+
+@register("u1_batch_inference_summary", O.e1_query(
+    "SELECT 'stub__' || t.dataset AS run_id, CAST(count(*) AS BIGINT) AS documents, "
+    "CAST(count(*) FILTER (WHERE t.k % 97 = 0) AS BIGINT) AS errors, "
+    "CAST(sum(CASE WHEN t.k % 97 = 0 THEN 0 ELSE 1500 + length(d.text) // 4 END) AS BIGINT) AS input_tokens, "
+    "CAST(sum(CASE WHEN t.k % 97 = 0 THEN 0 ELSE 120 END) AS BIGINT) AS output_tokens, "
+    + O.r9("sum(CASE WHEN t.k % 97 = 0 THEN 0.0 ELSE CAST(1500 + length(d.text) // 4 AS DOUBLE) / 1000000.0 * 1.0 "
+           "+ 120.0 / 1000000.0 * 5.0 END)") + " AS total_cost_usd, "
+    + O.r9("avg(CASE WHEN t.k % 97 <> 0 AND " + O.norm(
+        "list_filter(list_transform(string_split(d.text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]")
+        + " = " + O.norm("t.vendor_name") + " THEN 1.0 ELSE 0.0 END)") + " AS acc_vendor_name, "
+    "CAST(count(*) FILTER (WHERE t.k % 97 <> 0 AND trim(d.text) = '') AS BIGINT) AS flagged_for_review "
+    "FROM inv_truth t JOIN o_doctext d ON d.file = t.file GROUP BY t.dataset"))
+def u1_batch_inference_summary(fx: Fixtures) -> DataFrame:
+    """U1 (mapInPandas batch inference, per-task extractor, failure rows) + E11 reply parsing +
+    E13 costing + J1/C6 scoring + A1, with a deterministic local extractor."""
+    s = M.summarize(MR.stub_run_scored(fx))
+    return s.select("run_id", "documents", "errors", "input_tokens", "output_tokens", "total_cost_usd",
+                    "acc_vendor_name", "flagged_for_review")
+
+
+def _retry_oracle() -> str:
+    price_in, price_out = O.price("ra.model", 0), O.price("ra.model", 1)
+    return O.gate_query(f"""
+SELECT p.pair_id,
+  CAST(count(*) FILTER (WHERE c.change = 'newly broken') AS BIGINT) AS retried,
+  CAST(count(*) FILTER (WHERE c.change = 'newly broken' AND s.k % 3 <> 0 AND s.k % 2 = 0) AS BIGINT) AS passed_on_retry,
+  CAST(count(*) FILTER (WHERE c.change = 'newly broken' AND s.k % 3 = 0) AS BIGINT) AS retry_errors,
+  {O.r9(f"coalesce(sum(CASE WHEN c.change = 'newly broken' AND s.k % 3 <> 0 THEN CAST(1800 + s.k % 700 AS DOUBLE) / 1000000.0 * {price_in} + CAST(150 + 40 * s.n_true AS DOUBLE) / 1000000.0 * {price_out} END), 0.0)")} AS retry_cost,
+  {O.r9("avg(CASE WHEN c.change = 'newly broken' AND s.k % 3 <> 0 AND s.k % 2 = 0 THEN 1.0 ELSE s.overall END)")} AS accuracy_after_retry,
+  CAST(count(*) FILTER (WHERE s.overall = 1.0 OR (c.change = 'newly broken' AND s.k % 3 <> 0 AND s.k % 2 = 0)) AS BIGINT) AS perfect_after_retry
+FROM o_pairs p
+JOIN runs ra ON ra.run_id = p.after_run_id
+JOIN o_scored s ON s.run_id = p.after_run_id
+LEFT JOIN o_changes c ON c.pair_id = p.pair_id AND c.file = s.file
+GROUP BY p.pair_id""")
+
+
+@register("g7_retry_newly_broken", _retry_oracle())
+def g7_retry_newly_broken(fx: Fixtures) -> DataFrame:
+    """G7 (+ J3, U1, C6, A9 retry cost): one retry of each newly broken document per pair of
+    consecutive model runs; only perfect retries replace the row."""
+    return MR.retry_summary(fx)
