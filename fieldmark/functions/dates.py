@@ -19,10 +19,23 @@ DATE_STYLES = {
 }
 
 
+# Text shapes that only some of the six formats can parse; a shape picks the formats worth
+# trying, in the same order, so failed attempts are skipped (same first success).
+_SHAPES = [
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", ["M/d/yyyy"]),
+    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", ["yyyy-M-d"]),
+    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", ["d.M.yyyy"]),
+    (r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$", ["MMMM d, yyyy", "MMM d, yyyy"]),
+]
+
+
 def parse_reader_date(s: Column) -> Column:
     """First of the reader's six formats that parses the trimmed text; null when none does."""
     t = F.trim(s)
-    return F.coalesce(*[F.try_to_date(t, fmt) for fmt in READER_DATE_FORMATS])
+    out = F.coalesce(*[F.try_to_date(t, fmt) for fmt in READER_DATE_FORMATS])
+    for pattern, fmts in reversed(_SHAPES):
+        out = F.when(t.rlike(pattern), F.coalesce(*[F.try_to_date(t, f) for f in fmts])).otherwise(out)
+    return out
 
 
 def iso(d: Column) -> Column:
