@@ -8,6 +8,7 @@ from ..constants import (ACCURACY_TOL, COST_WARN, FIELD_LABELS, MOVER_EPS, MSG_A
                          MSG_FAILED, MSG_FALSE_ALARMS, MSG_FLAGGED, MSG_PERFECT, MSG_SILENT, SCORED_FIELDS,
                          SPEED_WARN, VERDICT_FAILED, VERDICT_PASSED, VERDICT_WARN)
 from ..functions.formats import fixed, model_short, pct
+from .dims import dimension
 from .metrics import missed_fields
 
 OK, FAIL, WARN = "✅", "❌", "⚠️"
@@ -43,7 +44,7 @@ def changed_documents(pairs: DataFrame, scored: DataFrame) -> DataFrame:
     b = scored.select(F.col("run_id").alias("before_run_id"), "file", F.col("scores.overall").alias("b_overall"))
     a = scored.select(F.col("run_id").alias("after_run_id"), "file", F.col("scores.overall").alias("a_overall"),
                       missed_fields().alias("missed"))
-    j = pairs.join(b, "before_run_id").join(a, ["after_run_id", "file"])
+    j = b.join(dimension(pairs), "before_run_id").join(a, ["after_run_id", "file"])
     change = F.when((F.col("b_overall") < 1.0) & (F.col("a_overall") >= 1.0), F.lit("fixed")) \
         .when((F.col("b_overall") == 1.0) & (F.col("a_overall") < 1.0), F.lit("newly broken"))
     return j.select("pair_id", "file", change.alias("change"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import (EXPORT_AUTO, EXPORT_NEEDS_REVIEW, HEADER_FIELDS, MONEY_FIELDS, QUEUE_FLAGGED, QUEUE_SPOT,
                          STATUS_APPROVED, STATUS_CORRECTED)
 from ..functions.text import money_input_invalid, parse_money_input, parse_number, review_norm
+from .dims import dimension
 from .metrics import to_human
 
 # FIXED VALUES: queue status labels.
@@ -36,14 +37,15 @@ def spot_check_sample(rows: DataFrame, runs: DataFrame, pct: float) -> DataFrame
     task: count per (run, hash bucket), find the bucket where the running count passes n (a
     window over at most 65,536 bucket counts per run), keep every bucket before it and rank
     only inside that one bucket."""
-    un = rows.where(~to_human()).join(runs.select("run_id", run_at_text(F.col("run_at")).alias("_ts")), "run_id") \
+    un = rows.where(~to_human()).join(dimension(runs.select("run_id", run_at_text(F.col("run_at")).alias("_ts"))),
+                                      "run_id") \
         .select("run_id", "file", F.md5(F.concat("_ts", F.lit("|"), "file")).alias("h"))
     un = un.withColumn("bucket", F.conv(F.substring("h", 1, HASH_BUCKET_HEX), 16, 10).cast("int"))
     per_run = un.groupBy("run_id").agg(F.count(F.lit(1)).alias("unflagged")) \
         .withColumn("n", sample_size(F.col("unflagged"), pct))
     buckets = un.groupBy("run_id", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("run_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = buckets.withColumn("cum", F.sum("cnt").over(w)).join(per_run, "run_id") \
+    buckets = buckets.withColumn("cum", F.sum("cnt").over(w)).join(dimension(per_run), "run_id") \
         .withColumn("before", F.col("cum") - F.col("cnt")) \
         .where(F.col("before") < F.col("n")) \
         .select("run_id", "bucket", "before", "cum", "n")

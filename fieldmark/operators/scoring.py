@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_MODEL, MONEY_TOLERANCE, PRICES, SCORED_FIELDS
 from ..functions.matching import line_items_score
 from ..functions.text import norm_text, score_number
+from .dims import dimension
 
 
 def _b(c: Column) -> Column:
@@ -56,7 +57,7 @@ def score_runs(truth: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``runs`` is the run-header dimension (one row per run); ``rows`` has (run_id, file, fields,
     input_tokens, output_tokens, seconds, model, note, error)."""
-    expected = truth.join(runs.select("run_id", "dataset"), "dataset")
+    expected = truth.join(dimension(runs.select("run_id", "dataset")), "dataset")
     j = expected.join(rows.drop("k", "layout", "format", "due_date_from_terms_only"), ["run_id", "file"], "left")
     truth_cols = {f: F.col(f) for f in SCORED_FIELDS}
     it = F.coalesce("input_tokens", F.lit(0)).cast("bigint")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gate as G
+from ..operators.dims import dimension
 from ..operators import metrics as M
 from ..operators.extract_model import apply_retries, batch_extract, parse_replies
 from ..operators.scoring import score_runs, scores
@@ -82,7 +83,7 @@ def retried_after_runs(fx: Fixtures) -> DataFrame:
                                           "currency", "subtotal", "tax", "total", "line_items"]}
     rescored = parsed.alias("p").join(truth.alias("t"), "file") \
         .select("pair_id", "file", "p.fields", "p.error", "p.cost_usd", scores(F.col("p.fields"), tcols).alias("scores"))
-    after = pairs.select("pair_id", F.col("after_run_id").alias("run_id")).join(scored, "run_id")
+    after = scored.join(dimension(pairs.select("pair_id", F.col("after_run_id").alias("run_id"))), "run_id")
     merged = apply_retries(after.withColumn("run_id", F.col("pair_id")),
                            rescored.withColumn("run_id", F.col("pair_id")).drop("pair_id"))
     return merged

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_SPOT_CHECK_PCT
 from ..operators import review as R
 from ..operators.assembly import truth_items
+from ..operators.dims import dimension
 from ..sources.tables import Fixtures
 from . import evaluation as EV
 
@@ -14,7 +15,7 @@ from . import evaluation as EV
 def model_rows(fx: Fixtures) -> DataFrame:
     """Run rows of model runs (the review queue is built for those only)."""
     runs = fx["runs"].where(F.col("method") == "claude").select("run_id")
-    return EV.rows(fx).join(runs, "run_id", "left_semi")
+    return EV.rows(fx).join(dimension(runs), "run_id", "left_semi")
 
 
 def queue(fx: Fixtures, pct: float = DEFAULT_SPOT_CHECK_PCT) -> DataFrame:

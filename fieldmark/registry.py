@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from . import oracle as O
 from .constants import FIELD_LABELS, SCORED_FIELDS
 from .operators import gate as G
+from .operators.dims import dimension
 from .operators import metrics as M
 from .plans import evaluation as EV
 from .sources.tables import Fixtures
@@ -98,7 +99,7 @@ def a3_accuracy_by_layout(fx: Fixtures) -> DataFrame:
 def a8_heldout_headline(fx: Fixtures) -> DataFrame:
     """Held-out (test set) model runs: headline aggregates only, no document rows."""
     runs = fx["runs"].where((F.col("dataset") == "test") & (F.col("method") == "claude")).select("run_id")
-    g = M.gate_metrics(M.summarize(EV.scored(fx).join(runs, "run_id")))
+    g = M.gate_metrics(M.summarize(EV.scored(fx).join(dimension(runs), "run_id", "left_semi")))
     return g.select("run_id", "accuracy", "perfect", "documents", "silent", "flagged", "cost", "failed",
                     "total_cost")
 
@@ -583,7 +584,7 @@ def _latest_practice_model_run(fx: Fixtures) -> DataFrame:
     "WHERE is_failed AND run_id = (SELECT run_id FROM o_w2)", extra=[O.LATEST_PRACTICE_CTE, O.field_rows_sql()]))
 def f2_mistakes_latest_practice(fx: Fixtures) -> DataFrame:
     """W2 + F2 + J10: what the latest practice model run got wrong, field by field."""
-    scored = EV.scored(fx).join(_latest_practice_model_run(fx), "run_id")
+    scored = EV.scored(fx).join(dimension(_latest_practice_model_run(fx)), "run_id", "left_semi")
     return M.mistakes(scored, EV.truth(fx))
 
 
@@ -592,7 +593,7 @@ def f2_mistakes_latest_practice(fx: Fixtures) -> DataFrame:
     "score = 1.0 AS match FROM o_fields", extra=[O.LATEST_PRACTICE_CTE, O.field_rows_sql()]))
 def f3_field_view_latest_practice(fx: Fixtures) -> DataFrame:
     """per-document field view (current value, answer key, match) of the latest practice run."""
-    scored = EV.scored(fx).join(_latest_practice_model_run(fx), "run_id")
+    scored = EV.scored(fx).join(dimension(_latest_practice_model_run(fx)), "run_id", "left_semi")
     return M.field_view(scored, EV.truth(fx))
 
 
@@ -642,7 +643,7 @@ def d1_assembled_totals(fx: Fixtures) -> DataFrame:
     "FROM runs r JOIN o_scored s ON s.run_id = r.run_id WHERE r.method = 'claude' GROUP BY r.dataset"))
 def p14_model_runs(fx: Fixtures) -> DataFrame:
     """Model runs per dataset (how often the held-out set was used) and documents scored."""
-    s = EV.scored(fx).join(M.model_runs(fx["runs"]).select("run_id", F.col("dataset").alias("ds")), "run_id")
+    s = EV.scored(fx).join(dimension(M.model_runs(fx["runs"]).select("run_id", F.col("dataset").alias("ds"))), "run_id")
     return s.groupBy(F.col("ds").alias("dataset")).agg(F.countDistinct("run_id").alias("model_runs"),
                                                       F.count(F.lit(1)).alias("documents_scored"))
 
