@@ -51,14 +51,9 @@ def cost_usd(model: Column, input_tokens: Column, output_tokens: Column) -> Colu
     return input_tokens / F.lit(1_000_000.0) * p_in + output_tokens / F.lit(1_000_000.0) * p_out
 
 
-def score_runs(truth: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
-    """J1 + C6: every answer-key row of each run's dataset, left-joined with that run's results;
-    a missing result scores as empty and costs nothing (P7, P8).
-
-    ``runs`` is the run-header dimension (one row per run); ``rows`` has (run_id, file, fields,
-    input_tokens, output_tokens, seconds, model, note, error)."""
-    expected = truth.join(dimension(runs.select("run_id", "dataset")), "dataset")
-    j = expected.join(rows.drop("k", "layout", "format", "due_date_from_terms_only"), ["run_id", "file"], "left")
+def score_rows(j: DataFrame) -> DataFrame:
+    """C6 + E13 over rows that carry both the answer key (typed header fields, ``line_items``)
+    and a result (``fields``, tokens, seconds, model, note, error; missing result = nulls)."""
     truth_cols = {f: F.col(f) for f in SCORED_FIELDS}
     it = F.coalesce("input_tokens", F.lit(0)).cast("bigint")
     ot = F.coalesce("output_tokens", F.lit(0)).cast("bigint")
@@ -69,3 +64,14 @@ def score_runs(truth: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
         F.coalesce("seconds", F.lit(0.0)).alias("seconds"),
         "model", "note", "error",
         scores(F.col("fields"), truth_cols).alias("scores"))
+
+
+def score_runs(truth: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """J1 + C6: every answer-key row of each run's dataset, left-joined with that run's results;
+    a missing result scores as empty and costs nothing (P7, P8).
+
+    ``runs`` is the run-header dimension (one row per run); ``rows`` has (run_id, file, fields,
+    input_tokens, output_tokens, seconds, model, note, error)."""
+    expected = truth.join(dimension(runs.select("run_id", "dataset")), "dataset")
+    j = expected.join(rows.drop("k", "layout", "format", "due_date_from_terms_only"), ["run_id", "file"], "left")
+    return score_rows(j)
