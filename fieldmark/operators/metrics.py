@@ -250,3 +250,10 @@ def model_runs(runs: DataFrame) -> DataFrame:
 
 def export_header_fields() -> list[str]:
     return list(HEADER_FIELDS)
+
+
+# --- T1: documents of a run in name order ---------------------------------------------------------
+def first_documents(truth: DataFrame, limit: int | None = None) -> DataFrame:
+    """Documents in name order; ``limit`` of 0 or None means all of them."""
+    ordered = truth.orderBy("file")
+    return ordered.limit(limit) if limit else ordered

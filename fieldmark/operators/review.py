@@ -41,11 +41,11 @@ def spot_check_sample(rows: DataFrame, runs: DataFrame, pct: float) -> DataFrame
                                       "run_id") \
         .select("run_id", "file", F.md5(F.concat("_ts", F.lit("|"), "file")).alias("h"))
     un = un.withColumn("bucket", F.conv(F.substring("h", 1, HASH_BUCKET_HEX), 16, 10).cast("int"))
-    per_run = un.groupBy("run_id").agg(F.count(F.lit(1)).alias("unflagged")) \
-        .withColumn("n", sample_size(F.col("unflagged"), pct))
     buckets = un.groupBy("run_id", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("run_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = buckets.withColumn("cum", F.sum("cnt").over(w)).join(dimension(per_run), "run_id") \
+    per_run = Window.partitionBy("run_id")
+    upto = per_run.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = buckets.withColumn("cum", F.sum("cnt").over(upto)) \
+        .withColumn("n", sample_size(F.sum("cnt").over(per_run), pct)) \
         .withColumn("before", F.col("cum") - F.col("cnt")) \
         .where(F.col("before") < F.col("n")) \
         .select("run_id", "bucket", "before", "cum", "n")

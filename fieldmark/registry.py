@@ -696,3 +696,16 @@ def g7_retry_newly_broken(fx: Fixtures) -> DataFrame:
     """G7 (+ J3, U1, C6, A9 retry cost): one retry of each newly broken document per pair of
     consecutive model runs; only perfect retries replace the row."""
     return MR.retry_summary(fx)
+
+
+# ---------------------------------------------------------------- T1: documents in name order, optional limit
+T1_LIMIT = 250
+
+
+@register("t1_first_documents", O.with_ctes(["inv_truth"], [],
+    f"SELECT file, layout, format FROM inv_truth WHERE dataset = 'practice' ORDER BY file LIMIT {T1_LIMIT}"))
+def t1_first_documents(fx: Fixtures) -> DataFrame:
+    """The practice documents in name order with the run's document limit (the limit is the
+    feature: a partial run over the first n names; TakeOrdered, no full sort)."""
+    return M.first_documents(fx["inv_truth"].where(F.col("dataset") == "practice"), T1_LIMIT) \
+        .select("file", "layout", "format")

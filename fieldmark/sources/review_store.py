@@ -26,3 +26,20 @@ def load_events(spark: SparkSession, path: str, run_id: str | None = None) -> Da
 def load_reviews(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """Latest decision per (run, file); undone decisions are gone."""
     return latest_reviews(load_events(spark, path, run_id))
+
+
+def read_review_json(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """a review file keyed by document (file -> status, queue, changed_fields, original,
+    final, note, reviewed_at) as one row per document. One file per run is parsed by one task;
+    the event table above is the scalable store."""
+    from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+
+    from ..schemas import FIELDS
+    decision = StructType([StructField("status", StringType()), StructField("queue", StringType()),
+                           StructField("changed_fields", ArrayType(StringType())),
+                           StructField("original", FIELDS), StructField("final", FIELDS),
+                           StructField("note", StringType()), StructField("reviewed_at", StringType())])
+    raw = spark.read.text(path, wholetext=True)
+    e = raw.select(F.explode(F.from_json("value", MapType(StringType(), decision))).alias("file", "r"))
+    return e.select(F.lit(run_id).alias("run_id"), "file", "r.status", "r.queue", "r.changed_fields",
+                    "r.original", "r.final", "r.note", F.to_timestamp("r.reviewed_at").alias("reviewed_at"))

@@ -161,3 +161,16 @@ def test_streaming_intake(spark, tmp_path):
     q.awaitTermination(120)
     r = spark.sql("SELECT file, scores.overall AS o FROM intake_test").collect()
     assert [(x.file, x.o) for x in r] == [("a.pdf", 1.0)]  # every header field right; no items on either side
+
+
+def test_review_json_scan(spark, tmp_path):
+    from fieldmark.sources.review_store import read_review_json
+    doc = {"invoice_04.pdf": {"status": "approved", "queue": "flagged", "changed_fields": [],
+                              "original": {"vendor_name": "K", "tax": 226.32, "line_items": [
+                                  {"description": "x", "quantity": 4000, "unit_price": 0.42, "amount": 1680.0}]},
+                              "final": {"vendor_name": "K", "tax": 226, "line_items": []},
+                              "note": "", "reviewed_at": "2026-10-04T13:48:36"}}
+    (tmp_path / "r.json").write_text(json.dumps(doc))
+    r = read_review_json(spark, str(tmp_path / "r.json"), "run1").collect()
+    assert len(r) == 1 and r[0].file == "invoice_04.pdf" and r[0].original.line_items[0].quantity == "4000"
+    assert r[0].final.tax == "226" and r[0].reviewed_at is not None
