@@ -19,8 +19,8 @@ def field_score(field: str, pred: Column, truth: Column) -> Column:
     if field == "line_items":
         return line_items_score(truth, pred)
     if field in ("subtotal", "tax", "total"):
-        p = score_number(pred)
-        return _b(p.isNotNull() & (F.abs(p - truth) < MONEY_TOLERANCE))
+        # an unparsable prediction is null, and a null comparison scores 0 (coalesced below)
+        return _b(F.abs(score_number(pred) - truth) < MONEY_TOLERANCE)
     if field in ("invoice_date", "due_date"):
         return _b(F.substring(F.coalesce(pred, F.lit("")), 1, 10) == truth)
     if field == "currency":

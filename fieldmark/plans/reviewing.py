@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_SPOT_CHECK_PCT
 from ..operators import review as R
-from ..operators.assembly import truth_items
 from ..operators.dims import dimension
 from ..sources.tables import Fixtures
 from . import evaluation as EV
@@ -28,7 +27,7 @@ def submissions(fx: Fixtures) -> DataFrame:
     answer-key items where the reviewer retyped them, else the extracted items)."""
     subs = R.clean_submissions(fx["review_submissions"])
     orig_items = EV.rows(fx).select("run_id", "file", F.col("fields.line_items").alias("_orig_items"))
-    true_items = truth_items(fx["inv_lines"]).withColumnRenamed("line_items", "_true_items")
+    true_items = EV.truth(fx).select("k", F.col("line_items").alias("_true_items"))
     j = subs.join(orig_items, ["run_id", "file"], "left").join(true_items, "k", "left")
     items = F.when(F.col("items_from_truth"), F.col("_true_items")).otherwise(F.col("_orig_items"))
     final = F.struct(F.col("final_header.*"), R.reviewer_items(items).alias("line_items"))
