@@ -1,21 +1,30 @@
 """Global positions in a sort order without sending all rows to one task.
 
-Range-partition by the key, number rows inside each partition, add the row counts of all
-earlier partitions. The table of offsets has one row per partition (a proven small bound), so
-it is broadcast; every other step is partitioned."""
+Rows are cut into buckets by approximate quantiles of the key (a bounded list of boundaries;
+the bucket is a pure function of the key, so recomputing any partition gives the same answer),
+numbered inside each bucket, and shifted by the row counts of all earlier buckets. The table of
+offsets has one row per bucket (a proven small bound) and is broadcast; every other step is
+partitioned."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_positions(df: DataFrame, order_cols: list[str], out: str = "pos") -> DataFrame:
-    """``df`` plus a 1-based position ``out`` in the order of ``order_cols`` (ties keep an
-    arbitrary but fixed order, so pass a unique key)."""
-    r = df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id())
-    r = r.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+def global_positions(df: DataFrame, order_col: str, out: str = "pos", buckets: int | None = None) -> DataFrame:
+    """``df`` plus a 1-based position ``out`` in the order of the numeric column ``order_col``
+    (ties in arbitrary but fixed order of the remaining columns are not resolved: pass a unique
+    key)."""
+    n = buckets or max(1, df.sparkSession.sparkContext.defaultParallelism * 4)
+    bounds = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
+    key = F.col(order_col)
+    bucket = F.lit(0)
+    for b in bounds:
+        bucket = bucket + (key > F.lit(b)).cast("int")
+    r = df.withColumn("_b", bucket)
+    r = r.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(order_col)))
+    counts = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return r.join(F.broadcast(offs.select("_pid", "_off")), "_pid") \
-        .withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint")).drop("_pid", "_local", "_off")
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return r.join(F.broadcast(offs.select("_b", "_off")), "_b") \
+        .withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint")).drop("_b", "_local", "_off")

@@ -16,7 +16,7 @@ def assign_versions(log: DataFrame, default_text: str, seq: str = "seq", text: s
     t = log.withColumn("_key", F.trim(F.col(text)))
     is_default = F.col("_key") == F.lit(default_text.strip())
     firsts = t.where(~is_default).groupBy("_key").agg(F.min(seq).alias("_first"))
-    numbered = global_positions(firsts, ["_first"], "_n")
+    numbered = global_positions(firsts, "_first", "_n")
     labelled = t.join(numbered.select("_key", "_n"), "_key", "left")
     return labelled.select(*[c for c in log.columns],
                            F.when(is_default, F.lit("default"))
