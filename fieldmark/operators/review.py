@@ -129,9 +129,11 @@ def reviewer_items(items: Column) -> Column:
 def review_events(subs: DataFrame, rows: DataFrame) -> DataFrame:
     """S6 + S7 as an append-only event log: accepted saves become decisions (R2 changed fields,
     R5 status), 'clear' actions become tombstones. ``subs`` has the reviewer's final record in
-    ``final`` (header fields + line_items); ``rows`` supplies the original extraction."""
-    orig = rows.select("run_id", "file", F.col("fields").alias("original"))
-    e = subs.where(~F.col("rejected")).join(orig, ["run_id", "file"], "left")
+    ``final`` (header fields + line_items) and, when already joined, the extraction in
+    ``original``; otherwise ``rows`` supplies it."""
+    e = subs.where(~F.col("rejected"))
+    if "original" not in subs.columns:
+        e = e.join(rows.select("run_id", "file", F.col("fields").alias("original")), ["run_id", "file"], "left")
     # the original record as the form saw it: missing fields are ''
     original = F.struct(*[F.coalesce(F.col("original")[f].cast("string"), F.lit("")).alias(f) for f in HEADER_FIELDS],
                         F.col("original")["line_items"].alias("line_items"))

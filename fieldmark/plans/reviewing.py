@@ -26,13 +26,13 @@ def submissions(fx: Fixtures) -> DataFrame:
     """Reviewer submissions with the final record: cleaned header values and item rows (the
     answer-key items where the reviewer retyped them, else the extracted items)."""
     subs = R.clean_submissions(fx["review_submissions"])
-    orig_items = EV.rows(fx).select("run_id", "file", F.col("fields.line_items").alias("_orig_items"))
+    original = EV.rows(fx).select("run_id", "file", F.col("fields").alias("original"))
     true_items = EV.truth(fx).select("k", F.col("line_items").alias("_true_items"))
-    j = subs.join(orig_items, ["run_id", "file"], "left").join(true_items, "k", "left")
-    items = F.when(F.col("items_from_truth"), F.col("_true_items")).otherwise(F.col("_orig_items"))
+    j = subs.join(original, ["run_id", "file"], "left").join(true_items, "k", "left")
+    items = F.when(F.col("items_from_truth"), F.col("_true_items")).otherwise(F.col("original.line_items"))
     final = F.struct(F.col("final_header.*"), R.reviewer_items(items).alias("line_items"))
     return j.withColumn("final", F.when(F.col("action") == "save", final)) \
-        .drop("_orig_items", "_true_items", "final_header")
+        .drop("_true_items", "final_header")
 
 
 def reviews(fx: Fixtures) -> DataFrame:
