@@ -116,7 +116,9 @@ def per_field_long(summary: DataFrame, keys: list[str] | None = None) -> DataFra
 
 # --- A3: mean accuracy by layout ----------------------------------------------------------------
 def accuracy_by_layout(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("run_id", "layout").agg((F.avg("scores.overall") * 100).alias("accuracy"))
+    """Mean document accuracy (percent) per run and layout, weakest layout first."""
+    return scored.groupBy("run_id", "layout").agg((F.avg("scores.overall") * 100).alias("accuracy")) \
+        .orderBy("run_id", "accuracy", "layout")
 
 
 # --- P9: missed fields -----------------------------------------------------------------------

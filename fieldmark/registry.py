@@ -709,3 +709,11 @@ def t1_first_documents(fx: Fixtures) -> DataFrame:
     feature: a partial run over the first n names; TakeOrdered, no full sort)."""
     return M.first_documents(fx["inv_truth"].where(F.col("dataset") == "practice"), T1_LIMIT) \
         .select("file", "layout", "format")
+
+
+@register("j7_reviewed_in_queue", O.review_query(
+    "SELECT q.run_id, q.queue, q.file FROM o_queue q WHERE EXISTS (SELECT 1 FROM o_latest l "
+    "WHERE l.run_id = q.run_id AND l.file = q.file)"))
+def j7_reviewed_in_queue(fx: Fixtures) -> DataFrame:
+    """Queue entries that have a decision (left semi join with the review store)."""
+    return R.reviewed_in_queue(RV.queue(fx), RV.reviews(fx)).select("run_id", "queue", "file")
