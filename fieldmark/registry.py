@@ -717,3 +717,46 @@ def t1_first_documents(fx: Fixtures) -> DataFrame:
 def j7_reviewed_in_queue(fx: Fixtures) -> DataFrame:
     """Queue entries that have a decision (left semi join with the review store)."""
     return R.reviewed_in_queue(RV.queue(fx), RV.reviews(fx)).select("run_id", "queue", "file")
+
+
+# ---------------------------------------------------------------- E12: reply conformance
+from .operators.extract_model import REQUIRED as _REQ  # noqa: E402
+from .operators.extract_model import conformance  # noqa: E402
+
+
+def _conformance_oracle() -> str:
+    req = "[" + ", ".join(O.q(k) for k in _REQ) + "]"
+
+    def ok(k):
+        t = f"json_type(reply, '$.{k}')"
+        if k in ("subtotal", "tax", "total"):
+            good = f"{t} IN ('DOUBLE', 'BIGINT', 'UBIGINT')"
+        elif k == "needs_review":
+            good = f"{t} = 'BOOLEAN'"
+        elif k == "line_items":
+            good = f"{t} = 'ARRAY'"
+        else:
+            good = f"{t} = 'VARCHAR'"
+        return f"CASE WHEN {t} IS NOT NULL AND NOT ({good}) THEN '{k}' END"
+    wrong = "list_filter([" + ", ".join(ok(k) for k in _REQ) + "], lambda x: x IS NOT NULL)"
+    return O.with_ctes(["model_replies"], [], f"""
+SELECT run_id, CAST(count(*) AS BIGINT) AS replies,
+  CAST(count(*) FILTER (WHERE len(missing) = 0 AND len(extra) = 0 AND len(wrong) = 0) AS BIGINT) AS conforming,
+  CAST(count(*) FILTER (WHERE len(missing) > 0) AS BIGINT) AS with_missing,
+  CAST(count(*) FILTER (WHERE len(extra) > 0) AS BIGINT) AS with_extra,
+  CAST(count(*) FILTER (WHERE len(wrong) > 0) AS BIGINT) AS with_wrong_type
+FROM (SELECT run_id, list_filter({req}, lambda x: NOT list_contains(keys, x)) AS missing,
+             list_filter(keys, lambda x: NOT list_contains({req}, x)) AS extra, {wrong} AS wrong
+      FROM (SELECT run_id, reply, json_keys(reply) AS keys FROM model_replies) a) b
+GROUP BY run_id""")
+
+
+@register("e12_reply_conformance", _conformance_oracle())
+def e12_reply_conformance(fx: Fixtures) -> DataFrame:
+    """Per run, replies carrying exactly the required properties with one JSON type each."""
+    c = fx["model_replies"].select("run_id", conformance(F.col("reply")).alias("c"))
+    return c.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("replies"), F.count_if(F.col("c.conforms")).alias("conforming"),
+        F.count_if(F.size("c.missing") > 0).alias("with_missing"),
+        F.count_if(F.size("c.extra") > 0).alias("with_extra"),
+        F.count_if(F.size("c.wrong_type") > 0).alias("with_wrong_type"))

@@ -285,3 +285,21 @@ def duckdb_ctes(names: list[str]) -> str:
         deps, text = FIXTURES[n]
         parts.append(f"{n} AS ({text.format(**{d: d for d in deps})})")
     return ",\n".join(parts)
+
+
+# Model reply texts (JSON written as text, portable): numbers unquoted, with a quoted number,
+# a string flag, a missing key and an extra key on some documents, for reply conformance.
+_fx("model_replies", ["run_calls_base"], """
+SELECT run_id, file, k,
+  '{{"vendor_name": "' || t_vendor_name || '", "invoice_number": "' || t_invoice_number
+  || '", "invoice_date": "' || t_invoice_date || '", "due_date": "' || t_due_date
+  || '", "bill_to": "' || t_bill_to || '", "currency": "' || t_currency
+  || '", "subtotal": ' || CASE WHEN k % 11 = 3 THEN '"' || CAST(t_subtotal AS STRING) || '"'
+                               ELSE CAST(t_subtotal AS STRING) END
+  || ', "tax": ' || CAST(t_tax AS STRING) || ', "total": ' || CAST(t_total AS STRING)
+  || ', "line_items": [], "needs_review": '
+  || CASE WHEN k % 13 = 5 THEN '"yes"' WHEN k % 2 = 0 THEN 'true' ELSE 'false' END
+  || CASE WHEN k % 19 = 0 THEN '' ELSE ', "review_reason": ""' END
+  || CASE WHEN k % 17 = 0 THEN ', "po_number": "PO-1"' ELSE '' END || '}}' AS reply
+FROM {run_calls_base} WHERE method = 'claude'
+""")
