@@ -51,6 +51,9 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        # timestamps become dates and ISO text in UTC, whatever the caller's session zone
+        if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
