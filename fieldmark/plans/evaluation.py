@@ -16,9 +16,9 @@ def truth(fx: Fixtures) -> DataFrame:
 
 
 def rows(fx: Fixtures) -> DataFrame:
-    return fx.derived("run_rows", lambda: run_rows(fx["run_calls"], fx["run_items"]))
+    return fx.derived("run_rows", lambda: run_rows(fx["run_calls"], fx["run_items"]), ["run_id"])
 
 
 def scored(fx: Fixtures) -> DataFrame:
     """Every run of the fixture, every document of its dataset, scored (J1 + C6 + E13)."""
-    return fx.derived("scored", lambda: score_runs(truth(fx), fx["runs"], rows(fx)))
+    return fx.derived("scored", lambda: score_runs(truth(fx), fx["runs"], rows(fx)), ["run_id"])

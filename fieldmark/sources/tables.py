@@ -20,6 +20,7 @@ from .fixtures import BASE_TABLES, FIXTURES, order
 _RUN_TAG = uuid.uuid4().hex[:12]  # one folder per process: never reads a table of older code
 _LOCK = threading.RLock()
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_COLUMNS: dict[tuple[str, str, str], list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """``build()`` written once as parquet in the shared checkpoint folder, then read back."""
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
+           partition_by: list[str] | None = None) -> DataFrame:
+    """``build()`` written once as parquet in the shared checkpoint folder, then read back.
+    ``partition_by`` lays the table out by those columns, so readers that need a few runs prune
+    the rest (static or dynamic partition pruning)."""
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, name)
     with _LOCK:
@@ -37,9 +41,16 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
             base = checkpoint_dir(spark).rstrip("/")
             tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
             path = f"{base}/fieldmark-{_RUN_TAG}/{tag}/{name}"
-            build().write.mode("overwrite").parquet(path)
+            df = build()
+            w = df.write.mode("overwrite")
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.parquet(path)
+            _COLUMNS[key] = df.columns
             _WRITTEN[key] = path
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    cols = _COLUMNS.get(key)
+    return back.select(*cols) if cols and partition_by else back  # keep the original column order
 
 
 class Fixtures:
@@ -66,5 +77,6 @@ class Fixtures:
             return self.spark.sql(text, **{d: self[d] for d in deps})
         return stored(self.spark, self.sf_dir, name, build)
 
-    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return stored(self.spark, self.sf_dir, name, build)
+    def derived(self, name: str, build: Callable[[], DataFrame], partition_by: list[str] | None = None
+                ) -> DataFrame:
+        return stored(self.spark, self.sf_dir, name, build, partition_by)
