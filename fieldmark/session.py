@@ -45,6 +45,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="fieldmark-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: derived tables and "
+                               "checkpoints must survive the loss of any one machine")
+        configured = tempfile.mkdtemp(prefix="fieldmark-ckpt-", dir="/tmp")  # local runs and tests only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
