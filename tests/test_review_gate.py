@@ -86,3 +86,23 @@ def test_pct_format(spark):
     from fieldmark.functions.formats import pct
     df = spark.createDataFrame([(0.5,), (0.44667,), (0.4425,), (0.999,)], "x double")
     assert [r[0] for r in df.select(pct(F.col("x"))).collect()] == ["50%", "44.7%", "44.2%", "99.9%"]
+
+
+def test_gate_warns_on_cost_increase(spark):
+    before = _run(spark, "before")
+    after = _run(spark, "after").withColumn("cost_usd", F.lit(0.013))
+    v, _ = _gate(spark, before, after)
+    assert not v.gate_failed and v.verdict == "passed with warnings"
+    assert v.reasons == "cost per invoice up 30%"
+
+
+def test_business_case_default_scenario(spark):
+    from fieldmark.operators.business import business_case
+    summary = spark.createDataFrame([("r", 30, 1, 1, 0.012)],
+                                    "run_id string, documents long, flagged_for_review long, errors long, "
+                                    "avg_cost_usd double")
+    r = business_case(summary, [("default", 2000, 4.0, 35.0, 1.5, None)]).collect()[0]
+    assert round(r.manual_cost, 2) == 4666.67          # about $4,700 a month by hand
+    assert r.review_pct == 6.7 and round(r.ai_cost, 2) == 24.0
+    assert abs(r.review_cost - 2000 * 0.067 * 1.5 / 60 * 35) < 1e-9
+    assert abs(r.savings - (r.manual_cost - r.ai_cost - r.review_cost)) < 1e-9

@@ -76,3 +76,13 @@ def test_review_norm(spark):
         .select(review_norm(F.col("s"))).collect()
     v = [r[0] for r in rows]
     assert v[0] == v[1] and v[2] == v[3] and v[4] == v[5] and v[6] == "s:$12"
+
+
+def test_rule_based_reader_canary(spark):
+    """Like the reference's canary: the rule-based reader keeps its usual accuracy on the
+    practice set, does worse on the held-out layouts, and gets no document perfect."""
+    import __spark_entry__ as E
+    rows = {r.run_id: r for r in E.queries()["e1_rule_based_summary"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows["rules__practice"].overall_accuracy >= 0.35
+    assert rows["rules__test"].overall_accuracy < rows["rules__practice"].overall_accuracy
+    assert rows["rules__practice"].perfect_documents == 0 and rows["rules__practice"].acc_line_items == 0.0
