@@ -290,7 +290,7 @@ def split_leak_check(truth: DataFrame) -> DataFrame:
         "dataset", "layout", "documents", F.coalesce("test_only", F.lit(False)).alias("test_only"))
 
 
-def media_type(path: Column) -> DataFrame | Column:
+def media_type(path: Column) -> Column:
     """Media type from the file suffix (case-insensitive); null when unsupported."""
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     return map_literal(MEDIA_TYPES)[suffix]

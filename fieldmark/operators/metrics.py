@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import FIELD_LABELS, HEADER_FIELDS, MODEL_SHORT, SCORED_FIELDS
+from ..constants import FIELD_LABELS, MODEL_SHORT, SCORED_FIELDS
 from ..functions.formats import field_label, fixed, fmt_value, map_literal
 
 
@@ -250,9 +250,6 @@ def model_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("method") == "claude")
 
 
-def export_header_fields() -> list[str]:
-    return list(HEADER_FIELDS)
-
 
 # --- T1: documents of a run in name order ---------------------------------------------------------
 def first_documents(truth: DataFrame, limit: int | None = None) -> DataFrame:
