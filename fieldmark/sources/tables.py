@@ -15,8 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
-from .fixtures import BASE_TABLES, FIXTURES, order
+from .fixtures import BASE_TABLES, FIXTURES
 
+# Fixtures that only feed other fixtures are inlined into their dependents, not stored.
+INLINED = {"inv_lines_all", "run_calls_base"}
 _RUN_TAG = uuid.uuid4().hex[:12]  # one folder per process: never reads a table of older code
 _LOCK = threading.RLock()
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -71,11 +73,9 @@ class Fixtures:
             return table(self.spark, self.sf_dir, name)
 
         def build() -> DataFrame:
-            for dep in order([name])[:-1]:
-                self[dep]
             deps, text = FIXTURES[name]
             return self.spark.sql(text, **{d: self[d] for d in deps})
-        return stored(self.spark, self.sf_dir, name, build)
+        return build() if name in INLINED else stored(self.spark, self.sf_dir, name, build)
 
     def derived(self, name: str, build: Callable[[], DataFrame], partition_by: list[str] | None = None
                 ) -> DataFrame:
