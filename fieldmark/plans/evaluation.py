@@ -22,3 +22,10 @@ def rows(fx: Fixtures) -> DataFrame:
 def scored(fx: Fixtures) -> DataFrame:
     """Every run of the fixture, every document of its dataset, scored (J1 + C6 + E13)."""
     return fx.derived("scored", lambda: score_runs(truth(fx), fx["runs"], rows(fx)), ["run_id"])
+
+
+def summary(fx: Fixtures) -> DataFrame:
+    """Per-run summary (A1), stored with the runs as the reference keeps it in each run file;
+    gate, comparison and business-case reports project it instead of re-aggregating."""
+    from ..operators.metrics import summarize
+    return fx.derived("summary", lambda: summarize(scored(fx)))

@@ -79,7 +79,7 @@ GATE_COLS = ["accuracy", "perfect", "documents", "silent", "flagged", "false_ala
         f"{O.r9('avg_seconds')} AS seconds", "CAST(errors AS BIGINT) AS failed"]) + " FROM o_summary"))
 def a2_gate_metrics(fx: Fixtures) -> DataFrame:
     """A2 (+ P4 silent errors, P5 false alarms): the gate's metrics per run."""
-    return M.gate_metrics(M.summarize(EV.scored(fx))).select("run_id", *GATE_COLS)
+    return M.gate_metrics(EV.summary(fx)).select("run_id", *GATE_COLS)
 
 
 @register("a3_accuracy_by_layout", O.scored_query(
@@ -115,7 +115,7 @@ def a8_heldout_headline(fx: Fixtures) -> DataFrame:
     "FROM o_summary s JOIN runs r ON r.run_id = s.run_id"))
 def a10_comparison_table(fx: Fixtures) -> DataFrame:
     """A10 (+ P10 model short names): run comparison table, one row per run."""
-    return M.comparison_table(M.summarize(EV.scored(fx)), fx["runs"]).drop("run_at")
+    return M.comparison_table(EV.summary(fx), fx["runs"]).drop("run_at")
 
 
 @register("f1_per_field_long", O.summary_query(
@@ -123,13 +123,13 @@ def a10_comparison_table(fx: Fixtures) -> DataFrame:
                        f"{O.field_label(repr(f))} AS field_label FROM o_summary" for f in SCORED_FIELDS)))
 def f1_per_field_long(fx: Fixtures) -> DataFrame:
     """per-field accuracy in long form (run x field)."""
-    return M.per_field_long(M.summarize(EV.scored(fx)))
+    return M.per_field_long(EV.summary(fx))
 
 
 # ---------------------------------------------------------------- gate: J2, J3, J12, T4, G1-G6, G8, A9
 def _gate_inputs(fx: Fixtures):
     scored = EV.scored(fx)
-    summary = M.summarize(scored)
+    summary = EV.summary(fx)
     pairs = G.pair_consecutive(fx["runs"])
     pm = G.paired(pairs, M.gate_metrics(summary))
     return scored, summary, pairs, pm
@@ -452,7 +452,7 @@ def v3_version_log(fx: Fixtures) -> DataFrame:
 def v2_run_versions(fx: Fixtures) -> DataFrame:
     """V2 + J9: version label of the instruction text each run used, beside its accuracy."""
     runs = V.version_of(fx["runs"], fx["instruction_versions"], FIXTURE_DEFAULT_PROMPT)
-    s = M.summarize(EV.scored(fx)).select("run_id", "overall_accuracy")
+    s = EV.summary(fx).select("run_id", "overall_accuracy")
     return runs.join(s, "run_id").select("run_id", "prompt_version", "version_of_text", "overall_accuracy")
 
 
@@ -484,7 +484,7 @@ def w1_latest_per_name(fx: Fixtures) -> DataFrame:
     """W1 (+ P11 run names): latest run per name within a dataset, with its per-field accuracy."""
     w = Window.partitionBy("dataset", "run_name").orderBy(F.col("run_at").desc(), F.col("run_id").desc())
     latest = _named_runs(fx).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    s = M.summarize(EV.scored(fx))
+    s = EV.summary(fx)
     return latest.join(s, "run_id").select("dataset", "run_name", "run_id", *[f"acc_{f}" for f in SCORED_FIELDS])
 
 
@@ -508,7 +508,7 @@ def w3_default_comparison(fx: Fixtures) -> DataFrame:
     n_ai = F.count(F.when(~base, F.lit(1))).over(Window.partitionBy("dataset"))
     ranked = names.withColumn("pos", F.when(base, F.lit(0)).otherwise(F.row_number().over(w))) \
         .withColumn("n_ai", n_ai).where(base | (F.col("pos") > F.col("n_ai") - 3))
-    s = M.summarize(EV.scored(fx)).select(F.col("run_id").alias("latest_id"), "overall_accuracy")
+    s = EV.summary(fx).select(F.col("run_id").alias("latest_id"), "overall_accuracy")
     return ranked.join(s, "latest_id").select("dataset", "run_name", F.col("pos").cast("int"), "overall_accuracy")
 
 
@@ -553,7 +553,7 @@ def _business_oracle() -> str:
 def b1_business_case(fx: Fixtures) -> DataFrame:
     """B1 + B2: monthly manual cost vs model + review cost per run and scenario; the review
     share defaults to the run's flagged-plus-failed share."""
-    return business_case(M.summarize(EV.scored(fx)), SCENARIOS)
+    return business_case(EV.summary(fx), SCENARIOS)
 
 
 # ---------------------------------------------------------------- reshapes and answer-key checks
