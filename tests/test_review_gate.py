@@ -106,3 +106,14 @@ def test_business_case_default_scenario(spark):
     assert r.review_pct == 6.7 and round(r.ai_cost, 2) == 24.0
     assert abs(r.review_cost - 2000 * 0.067 * 1.5 / 60 * 35) < 1e-9
     assert abs(r.savings - (r.manual_cost - r.ai_cost - r.review_cost)) < 1e-9
+
+
+def test_dimension_broadcast_is_size_checked(spark):
+    from fieldmark.operators.dims import dimension
+    big = spark.range(5000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(big.join(dimension(small, max_rows=100), "k")).lower()
+    assert "broadcast" not in plan(big.join(dimension(small, max_rows=5), "k")).lower()
