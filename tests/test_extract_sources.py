@@ -174,3 +174,13 @@ def test_review_json_scan(spark, tmp_path):
     r = read_review_json(spark, str(tmp_path / "r.json"), "run1").collect()
     assert len(r) == 1 and r[0].file == "invoice_04.pdf" and r[0].original.line_items[0].quantity == "4000"
     assert r[0].final.tax == "226" and r[0].reviewed_at is not None
+
+
+def test_document_scan_media_types(spark, tmp_path):
+    from fieldmark.sources.documents import read_documents
+    for name in ["a.pdf", "b.PNG", "c.jpeg", "d.txt"]:
+        (tmp_path / name).write_bytes(b"x" * 3)
+    r = {x.file: x for x in read_documents(spark, str(tmp_path)).collect()}
+    assert r["a.pdf"].media_type == "application/pdf" and r["b.PNG"].media_type == "image/png"
+    assert r["c.jpeg"].media_type == "image/jpeg" and r["a.pdf"].length == 3 and r["a.pdf"].error is None
+    assert r["d.txt"].media_type is None and r["d.txt"].error == "Unsupported file type: .txt"
