@@ -112,13 +112,24 @@ def clean_submissions(subs: DataFrame) -> DataFrame:
         .withColumn("final_header", F.struct(*final_cols))
 
 
+def _blank_item(it) -> Column:
+    return ((F.coalesce(it["description"].cast("string"), F.lit("")) == "")
+            & (F.coalesce(it["quantity"].cast("string"), F.lit("")) == "")
+            & (F.coalesce(it["unit_price"].cast("string"), F.lit("")) == "")
+            & (F.coalesce(it["amount"].cast("string"), F.lit("")) == ""))
+
+
+def items_invalid(items: Column) -> Column:
+    """Some non-blank item row has a quantity, unit price or amount that does not parse."""
+    return F.exists(F.coalesce(items, F.array()), lambda it: ~_blank_item(it) & (
+        money_input_invalid(F.coalesce(it["quantity"].cast("string"), F.lit("")))
+        | money_input_invalid(F.coalesce(it["unit_price"].cast("string"), F.lit("")))
+        | money_input_invalid(F.coalesce(it["amount"].cast("string"), F.lit("")))))
+
+
 def reviewer_items(items: Column) -> Column:
     """Reviewer item rows: blank rows dropped, numbers parsed like money input."""
-    kept = F.filter(F.coalesce(items, F.array()),
-                    lambda it: ~((F.coalesce(it["description"].cast("string"), F.lit("")) == "")
-                                 & (F.coalesce(it["quantity"].cast("string"), F.lit("")) == "")
-                                 & (F.coalesce(it["unit_price"].cast("string"), F.lit("")) == "")
-                                 & (F.coalesce(it["amount"].cast("string"), F.lit("")) == "")))
+    kept = F.filter(F.coalesce(items, F.array()), lambda it: ~_blank_item(it))
     return F.transform(kept, lambda it: F.struct(
         F.coalesce(it["description"].cast("string"), F.lit("")).alias("description"),
         parse_money_input(F.coalesce(it["quantity"].cast("string"), F.lit(""))).alias("quantity"),

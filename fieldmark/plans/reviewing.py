@@ -31,6 +31,7 @@ def submissions(fx: Fixtures) -> DataFrame:
     j = subs.join(original, ["run_id", "file"], "left").join(true_items, "k", "left")
     items = F.when(F.col("items_from_truth"), F.col("_true_items")).otherwise(F.col("original.line_items"))
     final = F.struct(F.col("final_header.*"), R.reviewer_items(items).alias("line_items"))
+    j = j.withColumn("rejected", F.col("rejected") | ((F.col("action") == "save") & R.items_invalid(items)))
     return j.withColumn("final", F.when(F.col("action") == "save", final)) \
         .drop("_true_items", "final_header")
 

@@ -117,3 +117,14 @@ def test_dimension_broadcast_is_size_checked(spark):
         return df._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(big.join(dimension(small, max_rows=100), "k")).lower()
     assert "broadcast" not in plan(big.join(dimension(small, max_rows=5), "k")).lower()
+
+
+def test_item_rows_reject_submission(spark):
+    df = spark.createDataFrame([
+        ([("paper", "2", "1.50", "3.00"), ("", "", "", "")],),
+        ([("paper", "2", "1.50", "three"), ("", "", "", "")],),
+        ([("", "", "", ""), ("toner", "", "$89.50", "89.5")],),
+    ], "items array<struct<description:string,quantity:string,unit_price:string,amount:string>>")
+    got = df.select(R.items_invalid(F.col("items")).alias("bad"), R.reviewer_items(F.col("items")).alias("it")).collect()
+    assert [g.bad for g in got] == [False, True, False]
+    assert len(got[0].it) == 1 and got[2].it[0].quantity == 0.0 and got[2].it[0].unit_price == 89.5
