@@ -2,3 +2,53 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+
+ORACLES["op9_chat_formatting"] = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, length(role) + length(text)
+             + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) + length('<turn ></turn>') + 1 AS chars FROM m)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+ORACLES["op6_source_mixture"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws(':', '17', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS hash FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+      FROM d GROUP BY source),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS clamp, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(clamp) OVER (ORDER BY clamp / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY clamp / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, CASE WHEN clamp <= level * w THEN clamp
+        ELSE w * first_value(level) OVER (ORDER BY clamp <= level * w, clamp / w, source NULLS LAST) END AS target FROM l),
+g AS (SELECT *, round(target)::BIGINT // greatest(source_size, 1) AS whole,
+             round(target)::BIGINT - (round(target)::BIGINT // greatest(source_size, 1)) * source_size AS rest FROM t),
+k AS (SELECT d.source, d.hash, d.doc_id, d.size, count(*) AS n, g.source_size, g.target, g.whole, g.rest
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source GROUP BY ALL),
+p AS (SELECT *, least(size, greatest(floor((rest - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY hash, doc_id, size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n), 0))::BIGINT AS part FROM k)
+SELECT p.doc_id, p.source, p.size, p.source_size, p.target, (p.whole * p.size + p.part)::BIGINT AS taken
+FROM p, range(p.n) AS again
+"""
+
+# Exact: all pairs of usable vectors, then the smallest id reachable.
+ORACLES["op10_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+          ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON reach.r = pairs.a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, coalesce(max(l.n), 0)::BIGINT AS n_links, min(r.r) AS component_id, e.vec_id = min(r.r) AS kept
+FROM embeddings e JOIN reach r ON r.id = e.vec_id LEFT JOIN links l ON l.a = e.vec_id GROUP BY e.vec_id
+"""
