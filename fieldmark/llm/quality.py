@@ -7,7 +7,8 @@ compare); documents below ``threshold`` are rejected, as are those that fail the
 
 Plan: one scan explodes bucket numbers into an aggregation with at most ``buckets`` groups a task;
 a second scan joins the bucket weights (a broadcast of ``buckets`` rows, a fixed size) and sums them
-by row inside the scanning task. Texts are never shuffled.
+by row inside the scanning task. Texts are shuffled only if there are too many trusted doc_ids for a
+checked broadcast.
 
 Defined results: a null or empty text has no words, no n-grams, score 0 and fails the base rules;
 repeated rows are scored each on its own and count each in the statistics; null doc_ids are kept and
@@ -101,10 +102,9 @@ def features(docs: DataFrame) -> DataFrame:
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, weight = log p_trusted - log p_raw, each with ``SMOOTHING`` added counts a bucket.
     ``trusted`` has the doc_ids of trusted documents. At most ``buckets`` rows, which are stored."""
-    h = docs.select("doc_id", words(F.col("text")).alias("w")) \
-        .select("doc_id", hashes(F.col("w")).alias("h"))
     ids = trusted.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
-    marked = h.join(small_or_shuffled(ids, 32), F.col("doc_id") == F.col("id"), "left") \
+    marked = docs.select("doc_id", "text").join(small_or_shuffled(ids, 32), F.col("doc_id") == F.col("id"), "left") \
+        .select("id", words(F.col("text")).alias("w")).select("id", hashes(F.col("w")).alias("h")) \
         .select(F.col("id").isNotNull().cast("long").alias("t"), F.inline(grams_of(F.col("h"))).alias("a", "b")) \
         .select("t", F.explode(bucket_pair(F.col("a"), F.col("b"), buckets)).alias("bucket")).where("bucket IS NOT NULL")
     counts = saved(marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good")), "buckets")

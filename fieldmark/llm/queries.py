@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixture, quality, vectors
+from . import chat, mixture, near, quality, vectors
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), trusted)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("th")
+
+
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).drop("whole", "part")
 
@@ -31,6 +35,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op6_source_mixture": op6_source_mixture,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
