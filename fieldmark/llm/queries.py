@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixture, near, quality, vectors
+from . import chat, mixture, near, packing, quality, vectors
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).drop("whole", "part")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op6_source_mixture": op6_source_mixture,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
