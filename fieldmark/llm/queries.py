@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixture, near, packing, quality, vectors
+from . import chat, mixture, near, packing, quality, suffix_model, vectors
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("th")
 
 
+def op5_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_model.score(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).drop("whole", "part")
 
@@ -40,6 +44,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_suffix_tree_scoring": op5_suffix_tree_scoring,
     "op6_source_mixture": op6_source_mixture,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_chat_formatting": op9_chat_formatting,
