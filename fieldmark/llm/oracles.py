@@ -66,3 +66,19 @@ reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT reach.id,
 SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.r) AS component_id, d.doc_id = min(r.r) AS kept
 FROM documents d JOIN reach r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+# Without trees: every record against its copy.
+ORACLES["op1_warc_fixity"] = r"""
+WITH r AS (
+  SELECT page_id, coalesce(url, '') AS url, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id::VARCHAR
+    || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR
+    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+c AS (SELECT page_id // 1000 AS archive, page_id, record,
+  coalesce(sum(strlen(record)) OVER (PARTITION BY page_id // 1000 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+  CASE WHEN page_id % 193 = 7 THEN NULL WHEN page_id % 97 = 5 THEN replace(record, '</p>', '</q>') WHEN page_id % 389 = 11 THEN substr(record, 1, 100) ELSE record END AS copy FROM r),
+h AS (SELECT *, sha256(record) AS expected, CASE WHEN page_id % 577 = 13 THEN sha256('2:' || sha256(copy) || ':' || sha256(copy) || ':'
+        || (2 * ('0x' || substr(sha256(copy), 1, 15))::HUGEINT)::VARCHAR || ':' || (2 * ('0x' || substr(sha256(copy), 16, 15))::HUGEINT)::VARCHAR)
+      ELSE sha256(copy) END AS found FROM c)
+SELECT archive, ("offset" // 65536) * 65536 AS range_start, "offset", CASE WHEN found IS NULL THEN 'missing' ELSE 'changed' END AS status, expected, found
+FROM h WHERE expected IS DISTINCT FROM found
+"""

@@ -4,10 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixture, near, packing, quality, suffix_model, vectors
+from . import chat, fixity, mixture, near, packing, quality, suffix_model, vectors
 from .common import table
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit(*fixity.page_replicas(table(spark, sf_dir, "pages")))[0]
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.score(table(spark, sf_dir, "documents"), trusted)
@@ -42,6 +46,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_fixity": op1_warc_fixity,
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_suffix_tree_scoring": op5_suffix_tree_scoring,
