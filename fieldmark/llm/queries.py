@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fixity, mixture, near, packing, quality, suffix_model, vectors
+from . import chat, fixity, licenses, mixture, near, packing, quality, secret_scan, suffix_model, vectors
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("th")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_model.score(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", "kind", "value_sha256", "probability", "is_secret")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -49,9 +58,11 @@ QUERIES = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_suffix_tree_scoring": op5_suffix_tree_scoring,
     "op6_source_mixture": op6_source_mixture,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
