@@ -1,9 +1,15 @@
-"""Corpus preparation: quality rules, near-duplicates, secrets, source mixture, packing."""
+"""Corpus preparation in five stages: quality rules, near-duplicates, secrets, mixture, packing.
+
+Each stage takes what the one before it kept and returns the columns of documents; the last
+returns the pieces of the packed sequences. Rules and near-duplicates drop documents, the secret scan
+blanks out what it finds, the mixture repeats documents. Stages run on stored tables, so each one's
+work is done once and a lost executor re-reads files.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import quality
+from fieldmark.llm import mixture, near, packing, quality, secret_scan
 from fieldmark.llm.common import saved, table
 
 
@@ -12,8 +18,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accept(docs, trusted)
 
 
-STAGES = [("quality_rules", quality_rules)]
-ORACLE_SQL = None
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs, secret_scan.scan(docs))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixture.sample_rows(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("source_mixture", source_mixture),
+    ("packing", packed),
+]
+ORACLE_SQL = None  # hashing, a forest and a tokenizer: tested against brute force instead
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

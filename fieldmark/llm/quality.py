@@ -83,15 +83,15 @@ def covered(windows: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, the base figures and the n-grams of each row."""
+    """doc_id, th (hash of the text), the base figures and the n-grams of each row."""
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")) \
+    step = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text")) \
         .withColumns({"w": words(F.col("text")), "lines": lines}) \
         .withColumn("h", hashes(F.col("w"))) \
         .withColumn("windows", repeated_words(F.col("h")))
     n_words, n_repeat = F.size("w").cast("long"), covered(F.col("windows")).cast("long")
     return step.select(
-        "doc_id", n_words.alias("n_words"),
+        "doc_id", "th", n_words.alias("n_words"),
         _word_chars(F.col("text")).cast("long").alias("word_chars"),
         _symbols(F.col("text")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -116,30 +116,29 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
 
 
 def score(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    """One row for each document: doc_id, th, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score, kept."""
     return _sums(features(docs).withColumn("row", F.monotonically_increasing_id()),
-                 bucket_weights(docs, trusted, buckets), buckets, threshold).drop("row")
+                 bucket_weights(docs, trusted, buckets), buckets, threshold)
 
 
 def accept(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged. Rows are numbered in place (file and position
-    in it), so that repeated and null doc_ids are decided each on its own text."""
-    key = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-    rows = docs.select("*", F.xxhash64(key).alias("row"))
-    sums = _sums(features(rows.select("*"), "row"), bucket_weights(docs, trusted, buckets), buckets, threshold)
-    return rows.join(sums.where("kept").select("row"), "row", "left_semi").drop("row")
+    """The rows of ``docs`` that are kept, unchanged. Rows with the same doc_id and text have the same
+    verdict, so the rejected ones are named by both."""
+    bad = saved(score(docs, trusted, buckets, threshold).where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    return docs.join(small_or_shuffled(bad, 32), same, "left_anti")
 
 
 def _sums(rows: DataFrame, weights: DataFrame, buckets: int, threshold: float) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = rows.select("row", "doc_id", *base, F.inline_outer("grams").alias("a", "b")) \
-        .select("row", "doc_id", *base, F.explode(bucket_pair(F.col("a"), F.col("b"), buckets)).alias("bucket"))
+    grams = rows.select("row", "doc_id", "th", *base, F.inline_outer("grams").alias("a", "b")) \
+        .select("row", "doc_id", "th", *base, F.explode(bucket_pair(F.col("a"), F.col("b"), buckets)).alias("bucket"))
     # the sum is by row within the task that read it: partial sums leave one row a document
     total = grams.join(F.broadcast(weights), "bucket", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in base],
+        F.max("doc_id").alias("doc_id"), F.max("th").alias("th"), *[F.max(c).alias(c) for c in base],
         F.sum("weight").alias("total"), F.count("bucket").alias("n_grams"))
     mean = F.when(F.col("n_grams") > 0, F.round(F.col("total") / F.col("n_grams"), 9)).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return total.select("row", "doc_id", *base, failed.alias("base_failed"), mean.alias("score"),
+    return total.select("doc_id", "th", *base, failed.alias("base_failed"), mean.alias("score"),
                         (~failed & (mean >= threshold)).alias("kept"))
