@@ -271,16 +271,24 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component; of repeated rows, one."""
+    """The rows of ``docs`` that stay, unchanged: one document of each component; of repeated rows
+    with a doc_id and a set, one."""
     found = saved(near_duplicates(docs, size, percent), "found")
-    dropped = found.where("NOT kept").select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
-    key = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_th"))
-    rest = docs.withColumn("_th", F.xxhash64("text")).join(small_or_shuffled(dropped, 32), key, "left_anti")
-    repeated = found.where("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("d"), F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("t")).where("n > 1")
-    repeated = saved(repeated.select("d", "t"), "repeated")
-    if repeated.isEmpty():
-        return rest.drop("_th")
-    same = F.col("d").eqNullSafe(F.col("doc_id"))
-    once = rest.join(small_or_shuffled(repeated, 32), same & (F.col("t") == F.col("_th"))).drop("d", "t").dropDuplicates(["doc_id", "_th"])
-    others = rest.join(small_or_shuffled(found.where("kept AND n_shingles > 0").select(F.col("doc_id").alias("d")).join(repeated.select(F.col("d").alias("e")), F.col("d").eqNullSafe(F.col("e")), "left_semi").distinct(), 32), same, "left_anti")
-    return others.unionByName(once).drop("_th")
+    d, t, th = F.col("__own_d"), F.col("__own_t"), F.col("__own_th")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return saved(rows.select(F.col("doc_id").alias("__own_d"), F.col("th").alias("__own_t")).distinct(), "named")
+
+    same_row = d.eqNullSafe(F.col("doc_id")) & (t == th)
+    rest = docs.withColumn("__own_th", F.xxhash64("text")).join(small_or_shuffled(named(found.where("NOT kept")), 32), same_row, "left_anti")
+    # rows that kept the component's own id more than once: the same text again, or another text under the same id
+    kept = found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL")
+    again = saved(kept.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")).where("n > 1").select(F.col("component_id").alias("doc_id"), "th"), "again")
+    if again.isEmpty():
+        return rest.drop("__own_th")
+    ids = F.broadcast(named(again)) if again.count() < 500_000 else named(again)
+    once = rest.join(ids, same_row, "left_semi").dropDuplicates(["doc_id", "__own_th"])
+    others = rest.join(ids.select("__own_d"), d == F.col("doc_id"), "left_anti")
+    # an id's texts without words are not in any component and stay
+    blank = rest.join(ids.select("__own_d"), d == F.col("doc_id"), "left_semi").where(F.size(words(F.col("text"))) == 0)
+    return others.unionByName(once).unionByName(blank).drop("__own_th")

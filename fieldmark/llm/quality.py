@@ -125,8 +125,8 @@ def score(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
 def accept(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, unchanged. Rows with the same doc_id and text have the same
     verdict, so the rejected ones are named by both."""
-    bad = saved(score(docs, trusted, buckets, threshold).where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    bad = saved(score(docs, trusted, buckets, threshold).where("NOT kept").select(F.col("doc_id").alias("__own_d"), F.col("th").alias("__own_t")).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("__own_d")) & (F.xxhash64("text") == F.col("__own_t"))
     return docs.join(small_or_shuffled(bad, 32), same, "left_anti")
 
 

@@ -148,15 +148,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of ``findings`` replaced by ``mark`` (``n_chars`` to match, if there).
     No row is lost; documents without secrets are unchanged."""
-    spans = findings.where("is_secret").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")) \
-        .agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))
+    spans = findings.where("is_secret").groupBy(F.col("doc_id").alias("__own_d"), F.col("th").alias("__own_t")) \
+        .agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__own_spans"))
     spans = saved(spans, "spans")
-    both = docs.withColumn("_th", F.xxhash64("text")).join(small_or_shuffled(spans, 128), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    ends = F.transform("_spans", lambda s, i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_spans", i - 1)["start"] + F.get("_spans", i - 1)["length"]))
-    kept = F.transform(F.arrays_zip("_spans", ends.alias("e")), lambda z: F.substring("text", (z["e"] + 1).cast("int"), (z["_spans"]["start"] - z["e"]).cast("int")))
-    last = F.element_at("_spans", -1)
+    both = docs.withColumn("__own_th", F.xxhash64("text")).join(small_or_shuffled(spans, 128), F.col("doc_id").eqNullSafe(F.col("__own_d")) & (F.col("__own_th") == F.col("__own_t")), "left")
+    ends = F.transform("__own_spans", lambda s, i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("__own_spans", i - 1)["start"] + F.get("__own_spans", i - 1)["length"]))
+    kept = F.transform(F.arrays_zip("__own_spans", ends.alias("e")), lambda z: F.substring("text", (z["e"] + 1).cast("int"), (z["__own_spans"]["start"] - z["e"]).cast("int")))
+    last = F.element_at("__own_spans", -1)
     tail = F.substring("text", (last["start"] + last["length"] + 1).cast("int"), F.length("text"))
-    out = both.withColumn("_new", F.when(F.col("_spans").isNotNull(), F.concat(F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit(mark))), ""), tail)))
+    out = both.withColumn("__own_new", F.when(F.col("__own_spans").isNotNull(), F.concat(F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit(mark))), ""), tail)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.coalesce("_new", "text")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__own_new").isNotNull(), F.length("__own_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce("__own_new", "text")).select(*docs.columns)
