@@ -120,11 +120,11 @@ def sample_rows(docs: DataFrame, **settings) -> DataFrame:
     full = (F.col("whole") + F.when((F.col("part") == F.col("size")) | (F.col("size") == 0), 1).otherwise(0)).cast("int")
     cut_to = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array("part")).otherwise(F.array().cast("array<bigint>"))
     full = F.when(F.col("size") == 0, F.lit(1)).otherwise(full)
-    turns = told.withColumn("turn", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), full), cut_to)))
-    out = turns.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)], "turn")
-    cut_text = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("turn").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("turn") > 0, cut_text).otherwise(F.col("text")))
+    turns = told.withColumn("__own_turn", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), full), cut_to)))
+    out = turns.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)], "__own_turn")
+    cut_text = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__own_turn").cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("__own_turn") > 0, cut_text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("turn") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__own_turn") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

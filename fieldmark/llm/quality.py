@@ -12,8 +12,8 @@ checked broadcast.
 
 Defined results: a null or empty text has no words, no n-grams, score 0 and fails the base rules;
 repeated rows are scored each on its own and count each in the statistics; null doc_ids are kept and
-are never trusted; without trusted rows, or on an empty table, both multinomials are flat and all
-scores are 0. Other columns of the input are not looked at, whatever their names.
+are never trusted; without trusted n-grams there is nothing to compare with and all scores are 0; an
+empty table gives no rows. Other columns of the input are not looked at, whatever their names.
 """
 from __future__ import annotations
 
@@ -112,7 +112,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     p = counts.crossJoin(F.broadcast(whole))  # one row of totals
     weight = (F.log((F.col("good") + SMOOTHING) / (F.col("good_all") + SMOOTHING * buckets))
               - F.log((F.col("raw") + SMOOTHING) / (F.col("raw_all") + SMOOTHING * buckets)))
-    return p.select("bucket", F.round(weight, 9).alias("weight"))
+    return p.select("bucket", F.when(F.col("good_all") > 0, F.round(weight, 9)).otherwise(0.0).alias("weight"))
 
 
 def score(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
