@@ -35,12 +35,12 @@ def pct(x: Column) -> Column:
     """Whole percent when within 0.05 of one, else one decimal: 0.5 -> 50%, 0.4467 -> 44.7%."""
     p = x * 100
     return F.when(F.abs(p - F.bround(p, 0)) < 0.05, F.format_string("%.0f%%", F.bround(p, 0))) \
-        .otherwise(F.format_string("%.1f%%", F.bround(p, 1)))
+        .otherwise(F.concat(fixed(p, 1), F.lit("%")))
 
 
 def fixed(x: Column, places: int) -> Column:
-    """Fixed decimals, ties to even (as Python's format does on exact binary ties)."""
-    return F.format_string(f"%.{places}f", F.bround(x, places))
+    """Fixed decimals of the exact binary value, ties to even."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * places if places else "0"))
 
 
 def fmt_value(field: str, v: Column) -> Column:

@@ -18,6 +18,16 @@ CASEFOLD_EXTRA = [
 NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def strip(c: Column) -> Column:
+    """Leading and trailing white space removed (any Unicode white space, not only blanks)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def round_to(x: Column, places: int) -> Column:
+    """Rounded as the printed value is: from the exact binary value, ties to even (2.675 -> 2.67)."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * places)).try_cast("double")
+
+
 def casefold(c: Column) -> Column:
     out = F.lower(c)
     for src, dst in CASEFOLD_EXTRA:
@@ -32,7 +42,7 @@ def norm_text(c: Column) -> Column:
 
 def parse_number(s: Column) -> Column:
     """Trimmed text to double when it is a plain number, else null (never raises under ANSI)."""
-    t = F.trim(s)
+    t = strip(s)
     return F.when(t.rlike(NUMBER_RE), t.try_cast("double"))
 
 
@@ -46,13 +56,13 @@ def review_norm(c: Column) -> Column:
     removed) is numeric, otherwise the trimmed text; null is ''. Tagged so 0 == 0.0 but never
     equal to the text '0.0'."""
     num = parse_number(F.regexp_replace(c, ",", ""))
-    return F.when(num.isNotNull(), F.concat(F.lit("n:"), (F.bround(num, 2) + F.lit(0.0)).cast("string"))) \
-        .otherwise(F.concat(F.lit("s:"), F.trim(F.coalesce(c, F.lit("")))))
+    return F.when(num.isNotNull(), F.concat(F.lit("n:"), (round_to(num, 2) + F.lit(0.0)).cast("string"))) \
+        .otherwise(F.concat(F.lit("s:"), strip(F.coalesce(c, F.lit("")))))
 
 
 def clean_money_input(c: Column) -> Column:
     """Reviewer money input with ',', '$' and '€' removed and trimmed."""
-    return F.trim(F.regexp_replace(c, "[,$€]", ""))
+    return strip(F.regexp_replace(c, "[,$€]", ""))
 
 
 def parse_money_input(c: Column) -> Column:
@@ -66,11 +76,6 @@ def money_input_invalid(c: Column) -> Column:
     return (s != "") & parse_number(s).isNull()
 
 
-def strip(c: Column) -> Column:
-    """Leading and trailing whitespace removed (any Unicode white space, not only blanks)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def first_group(text: Column, pattern: str, case_insensitive: bool = True) -> Column:
     """First capture group of the first match, stripped; null when there is no match."""
     flags = "(?iUd)" if case_insensitive else "(?Ud)"

@@ -4,10 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import round_to
+
 
 def default_review_share(summary: DataFrame) -> Column:
-    """B2: round(100 x (flagged + errors) / max(1, documents), 1), ties to even."""
-    return F.bround(F.lit(100.0) * (F.col("flagged_for_review") + F.col("errors"))
+    """B2: 100 x (flagged + errors) / max(1, documents), to one decimal."""
+    return round_to(F.lit(100.0) * (F.col("flagged_for_review") + F.col("errors"))
                     / F.greatest(F.lit(1), F.col("documents")), 1)
 
 

@@ -8,6 +8,7 @@ from ..constants import (ACCURACY_TOL, COST_WARN, FIELD_LABELS, MOVER_EPS, MSG_A
                          MSG_FAILED, MSG_FALSE_ALARMS, MSG_FLAGGED, MSG_PERFECT, MSG_SILENT, SCORED_FIELDS,
                          SPEED_WARN, VERDICT_FAILED, VERDICT_PASSED, VERDICT_WARN)
 from ..functions.formats import fixed, model_short, pct
+from ..functions.text import strip
 from .dims import dimension
 from .metrics import missed_fields
 
@@ -131,7 +132,7 @@ def describe_change(pr: DataFrame) -> DataFrame:
     """G1: what stayed the same, what changed, and the two column labels. Expects b_/a_ run
     header columns (model, prompt, prompt_version, schema_hash, dataset)."""
     same_model = F.col("b_model") == F.col("a_model")
-    same_prompt = F.trim(F.coalesce("b_prompt", F.lit(""))) == F.trim(F.coalesce("a_prompt", F.lit("")))
+    same_prompt = strip(F.coalesce("b_prompt", F.lit(""))) == strip(F.coalesce("a_prompt", F.lit("")))
     diff_schema = ~F.col("b_schema_hash").eqNullSafe(F.col("a_schema_hash"))
     sb, sa = model_short(F.col("b_model")), model_short(F.col("a_model"))
     vb, va = _ver(F.col("b_prompt_version")), _ver(F.col("a_prompt_version"))

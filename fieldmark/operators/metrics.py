@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FIELD_LABELS, MODEL_SHORT, SCORED_FIELDS
 from ..functions.formats import field_label, fixed, fmt_value, map_literal
+from ..functions.text import round_to
 
 
 # --- P1-P6: predicates over a scored row -------------------------------------------------------
@@ -228,7 +229,7 @@ def comparison_table(summary: DataFrame, runs: DataFrame) -> DataFrame:
 def key_integrity_violations(truth: DataFrame) -> DataFrame:
     """Answer keys whose items (rounded to cents) do not add up to the subtotal."""
     items_sum = F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["amount"])
-    return truth.select("dataset", "file", F.bround(items_sum, 2).alias("items_total"), "subtotal") \
+    return truth.select("dataset", "file", round_to(items_sum, 2).alias("items_total"), "subtotal") \
         .where(~(F.abs(F.col("items_total") - F.col("subtotal")) < 0.011))
 
 

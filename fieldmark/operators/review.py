@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (EXPORT_AUTO, EXPORT_NEEDS_REVIEW, HEADER_FIELDS, MONEY_FIELDS, QUEUE_FLAGGED, QUEUE_SPOT,
                          STATUS_APPROVED, STATUS_CORRECTED)
-from ..functions.text import money_input_invalid, parse_money_input, parse_number, review_norm
+from ..functions.text import money_input_invalid, parse_money_input, parse_number, review_norm, round_to, strip
 from .dims import dimension
 from .metrics import to_human
 
@@ -79,9 +79,9 @@ def _item_key(i) -> Column:
     return F.when(bad, F.struct(F.lit(None).cast("string").alias("d"), F.lit(None).cast("double").alias("q"),
                                 F.lit(None).cast("double").alias("u"), F.lit(None).cast("double").alias("a"),
                                 raw.alias("raw"))) \
-        .otherwise(F.struct(F.trim(F.coalesce(i["description"].cast("string"), F.lit(""))).alias("d"),
-                            (q + F.lit(0.0)).alias("q"), (F.bround(u, 2) + F.lit(0.0)).alias("u"),
-                            (F.bround(a, 2) + F.lit(0.0)).alias("a"),
+        .otherwise(F.struct(strip(F.coalesce(i["description"].cast("string"), F.lit(""))).alias("d"),
+                            (q + F.lit(0.0)).alias("q"), (round_to(u, 2) + F.lit(0.0)).alias("u"),
+                            (round_to(a, 2) + F.lit(0.0)).alias("a"),
                             F.lit(None).cast("array<string>").alias("raw")))
 
 
@@ -106,7 +106,7 @@ def clean_submissions(subs: DataFrame) -> DataFrame:
     invalid = F.lit(False)
     for f in MONEY_FIELDS:
         invalid = invalid | money_input_invalid(F.col(f"in_{f}"))
-    final_cols = [(parse_money_input(F.col(f"in_{f}")) if f in MONEY_FIELDS else F.trim(F.col(f"in_{f}"))).alias(f)
+    final_cols = [(parse_money_input(F.col(f"in_{f}")) if f in MONEY_FIELDS else strip(F.col(f"in_{f}"))).alias(f)
                   for f in HEADER_FIELDS]
     return subs.withColumn("rejected", F.when(F.col("action") == "save", invalid).otherwise(F.lit(False))) \
         .withColumn("final_header", F.struct(*final_cols))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_MODEL, MONEY_TOLERANCE, PRICES, SCORED_FIELDS
 from ..functions.matching import line_items_score
-from ..functions.text import norm_text, score_number
+from ..functions.text import norm_text, score_number, strip
 from .dims import dimension
 
 
@@ -24,7 +24,7 @@ def field_score(field: str, pred: Column, truth: Column) -> Column:
     if field in ("invoice_date", "due_date"):
         return _b(F.substring(F.coalesce(pred, F.lit("")), 1, 10) == truth)
     if field == "currency":
-        return _b(F.trim(F.upper(F.coalesce(pred, F.lit("")))) == truth)
+        return _b(strip(F.upper(F.coalesce(pred, F.lit("")))) == truth)
     return _b(norm_text(pred) == norm_text(truth))
 
 

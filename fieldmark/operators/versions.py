@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .ordering import global_positions
 
 
@@ -14,8 +15,8 @@ def assign_versions(log: DataFrame, default_text: str, seq: str = "seq", text: s
     The distinct texts are numbered with a range-partitioned global position, so neither the
     log nor its distinct texts pass through one task."""
     # shuffle a SHA-256 of the trimmed text, not the text (documents can be long)
-    t = log.withColumn("_key", F.sha2(F.trim(F.col(text)), 256))
-    is_default = F.trim(F.col(text)) == F.lit(default_text.strip())
+    t = log.withColumn("_key", F.sha2(strip(F.col(text)), 256))
+    is_default = strip(F.col(text)) == F.lit(default_text.strip())
     firsts = t.where(~is_default).groupBy("_key").agg(F.min(seq).alias("_first"))
     numbered = global_positions(firsts, "_first", "_n")
     labelled = t.join(numbered.select("_key", "_n"), "_key", "left")
@@ -25,13 +26,13 @@ def assign_versions(log: DataFrame, default_text: str, seq: str = "seq", text: s
 
 
 def version_of(runs: DataFrame, versions: DataFrame, default_text: str) -> DataFrame:
-    """V2 + J9: the label of the instruction text each run used (trimmed equality): 'default'
+    """V2 + J9: the label of the instruction text each run used (equality without outer white space): 'default'
     first, then the earliest saved version with that text, else 'unsaved'; no text is null."""
-    v = versions.select(F.sha2(F.trim("text"), 256).alias("_key"), "seq", "version")
+    v = versions.select(F.sha2(strip(F.col("text")), 256).alias("_key"), "seq", "version")
     first = v.groupBy("_key").agg(F.min_by("version", "seq").alias("_ver"))
-    j = runs.withColumn("_key", F.sha2(F.trim("prompt"), 256)).join(first, "_key", "left")
+    j = runs.withColumn("_key", F.sha2(strip(F.col("prompt")), 256)).join(first, "_key", "left")
     label = F.when(F.col("prompt").isNull(), F.lit(None).cast("string")) \
-        .when(F.trim("prompt") == F.lit(default_text.strip()), F.lit("default")) \
+        .when(strip(F.col("prompt")) == F.lit(default_text.strip()), F.lit("default")) \
         .otherwise(F.coalesce("_ver", F.lit("unsaved")))
     return j.withColumn("version_of_text", label).drop("_key", "_ver")
 

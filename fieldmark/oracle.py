@@ -30,7 +30,7 @@ def norm(x: str) -> str:
 
 def num(x: str) -> str:
     """Trimmed plain number to DOUBLE, else NULL."""
-    return f"(CASE WHEN regexp_full_match(trim({x}), '{NUM_RE}') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+    return f"(CASE WHEN regexp_full_match({strip(x)}, '{NUM_RE}') THEN TRY_CAST({strip(x)} AS DOUBLE) END)"
 
 
 def score_num(x: str) -> str:
@@ -60,13 +60,20 @@ def r9(x: str) -> str:
     return f"CAST(round({x}, 9) AS DOUBLE)"
 
 
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def strip(x: str) -> str:
+    return f"trim({x}, {WHITE})"
+
+
 def pct(x: str) -> str:
     return (f"(CASE WHEN abs({x} * 100 - round_even({x} * 100, 0)) < 0.05 THEN printf('%.0f%%', round_even({x} * 100, 0)) "
-            f"ELSE printf('%.1f%%', round_even({x} * 100, 1)) END)")
+            f"ELSE printf('%.1f%%', {x} * 100) END)")
 
 
 def fixed(x: str, places: int) -> str:
-    return f"printf('%.{places}f', round_even({x}, {places}))"
+    return f"printf('%.{places}f', {x})"
 
 
 def field_score_sql(f: str, p: str, t: str) -> str:
@@ -75,7 +82,7 @@ def field_score_sql(f: str, p: str, t: str) -> str:
     if f in ("invoice_date", "due_date"):
         return b2d(f"coalesce(substr(coalesce({p}, ''), 1, 10) = {t}, false)")
     if f == "currency":
-        return b2d(f"coalesce(trim(upper(coalesce({p}, ''))) = {t}, false)")
+        return b2d(f"coalesce({strip(f"upper(coalesce({p}, ''))")} = {t}, false)")
     return b2d(f"{norm(p)} = {norm(t)}")
 
 
@@ -85,12 +92,12 @@ SCORED_CTES = f"""
 o_pcount AS (SELECT run_id, file, count(*) AS n_pred FROM run_items GROUP BY run_id, file),
 o_tcount AS (SELECT k, count(*) AS n_true FROM inv_lines GROUP BY k),
 o_match AS (
-  SELECT i.run_id, i.file, count(*) AS n_match
-  FROM run_items i
+  -- equal lines of a document pair off as often as both sides have them
+  SELECT i.run_id, i.file, CAST(sum(least(i.n, l.n)) AS BIGINT) AS n_match
+  FROM (SELECT run_id, file, {score_num('quantity')} AS q, {score_num('amount')} AS a, count(*) AS n FROM run_items GROUP BY ALL) i
   JOIN run_calls c ON c.run_id = i.run_id AND c.file = i.file
-  JOIN inv_lines l ON l.k = c.k
-  WHERE {score_num('i.quantity')} = l.quantity
-    AND abs({score_num('i.amount')} - CAST(l.amount AS DOUBLE)) < 0.011
+  JOIN (SELECT k, quantity, amount, count(*) AS n FROM inv_lines GROUP BY ALL) l ON l.k = c.k
+  WHERE i.q = l.quantity AND abs(i.a - CAST(l.amount AS DOUBLE)) < 0.011
   GROUP BY i.run_id, i.file
 ),
 o_base AS (
@@ -225,20 +232,20 @@ def gate_query(select: str) -> str:
 
 
 def review_norm(x: str) -> str:
-    v = f"trim(replace(coalesce({x}, ''), ',', ''))"
-    return (f"(CASE WHEN regexp_full_match({v}, '{NUM_RE}') THEN 'n:' || CAST(round_even(CAST({v} AS DOUBLE), 2) + 0.0 AS VARCHAR) "
-            f"ELSE 's:' || trim(coalesce({x}, '')) END)")
+    v = strip(f"replace(coalesce({x}, ''), ',', '')")
+    return (f"(CASE WHEN regexp_full_match({v}, '{NUM_RE}') THEN 'n:' || CAST(CAST(printf('%.2f', CAST({v} AS DOUBLE)) AS DOUBLE) + 0.0 AS VARCHAR) "
+            f"ELSE 's:' || {strip(f"coalesce({x}, '')")} END)")
 
 
 def money_clean(x: str) -> str:
-    return f"trim(regexp_replace({x}, '[,$€]', '', 'g'))"
+    return strip(f"regexp_replace({x}, '[,$€]', '', 'g')")
 
 
 def _item_key(desc, q, u, a):
     def n(x):
         return f"(CASE WHEN coalesce({x}, '') = '' THEN 0.0 ELSE TRY_CAST(trim({x}) AS DOUBLE) END)"
-    return (f"struct_pack(d := trim(coalesce({desc}, '')), q := {n(q)} + 0.0, u := round_even({n(u)}, 2) + 0.0, "
-            f"a := round_even({n(a)}, 2) + 0.0)")
+    return (f"struct_pack(d := trim(coalesce({desc}, '')), q := {n(q)} + 0.0, u := CAST(printf('%.2f', {n(u)}) AS DOUBLE) + 0.0, "
+            f"a := CAST(printf('%.2f', {n(a)}) AS DOUBLE) + 0.0)")
 
 
 REVIEW_CTES = f"""
@@ -293,14 +300,14 @@ o_tkeys AS (
 ),
 o_events AS (
   SELECT s.run_id, s.file, s.event_seq, s.reviewed_at, s.queue, s.note, s.action = 'clear' AS deleted,
-    trim(s.in_vendor_name) AS f_vendor_name, trim(s.in_invoice_number) AS f_invoice_number,
-    trim(s.in_invoice_date) AS f_invoice_date, trim(s.in_due_date) AS f_due_date, trim(s.in_bill_to) AS f_bill_to,
-    trim(s.in_currency) AS f_currency, s.f_subtotal, s.f_tax, s.f_total,
+    {strip('s.in_vendor_name')} AS f_vendor_name, {strip('s.in_invoice_number')} AS f_invoice_number,
+    {strip('s.in_invoice_date')} AS f_invoice_date, {strip('s.in_due_date')} AS f_due_date, {strip('s.in_bill_to')} AS f_bill_to,
+    {strip('s.in_currency')} AS f_currency, s.f_subtotal, s.f_tax, s.f_total,
     CASE WHEN s.items_from_truth THEN coalesce(tk.n_items, 0)
          WHEN c.has_items THEN coalesce(ok.n_items, 0) WHEN c.has_fields THEN 0 ELSE 0 END AS n_items,
     list_filter([
 """ + ",\n".join(
-    f"      CASE WHEN {review_norm('c.' + f)} <> {review_norm('trim(s.in_' + f + ')')} THEN '{f}' END"
+    f"      CASE WHEN {review_norm('c.' + f)} <> {review_norm(strip('s.in_' + f))} THEN '{f}' END"
     for f in ["vendor_name", "invoice_number", "invoice_date", "due_date", "bill_to", "currency"]) + ",\n" + ",\n".join(
     f"      CASE WHEN {review_norm('c.' + f)} <> {review_norm('CAST(s.f_' + f + ' AS VARCHAR)')} THEN '{f}' END"
     for f in ["subtotal", "tax", "total"]) + """,
@@ -399,11 +406,11 @@ o_e1 AS (
 o_e1_scored AS (
   SELECT t.dataset, t.file, t.layout,
     ({' + '.join(field_score_sql(f_, 'e.' + f_, 't.' + f_ if f_ not in ('subtotal', 'tax', 'total') else f'CAST(t.{f_} AS DOUBLE)') for f_ in SCORED_FIELDS if f_ != 'line_items')}
-     + 0.0) / 10.0 AS overall,
+     + CASE WHEN t.n_lines = 0 THEN 1.0 ELSE 0.0 END) / 10.0 AS overall,
 """ + ",\n".join(
         f"    {field_score_sql(f_, 'e.' + f_, 't.' + f_ if f_ not in ('subtotal', 'tax', 'total') else f'CAST(t.{f_} AS DOUBLE)')} AS s_{f_}"
         for f_ in SCORED_FIELDS if f_ != 'line_items') + """,
-    0.0 AS s_line_items
+    CASE WHEN t.n_lines = 0 THEN 1.0 ELSE 0.0 END AS s_line_items
   FROM inv_truth t LEFT JOIN o_e1 e ON e.file = t.file
 )"""
 

@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from . import oracle as O
 from .constants import FIELD_LABELS, SCORED_FIELDS
+from .functions.text import round_to
 from .operators import gate as G
 from .operators.dims import dimension
 from .operators import metrics as M
@@ -213,7 +214,7 @@ def _verdict_oracle() -> str:
            "ELSE coalesce(nullif({v}, ''), 'original') END)")
     vb, va = ver.format(v="b_prompt_version"), ver.format(v="a_prompt_version")
     sb, sa = O.model_short("b_model"), O.model_short("a_model")
-    same_model, same_prompt = "(b_model = a_model)", "(trim(coalesce(b_prompt, '')) = trim(coalesce(a_prompt, '')))"
+    same_model, same_prompt = "(b_model = a_model)", "(" + O.strip("coalesce(b_prompt, '')") + " = " + O.strip("coalesce(a_prompt, '')") + ")"
     diff_schema = "(b_schema_hash IS DISTINCT FROM a_schema_hash)"
     same = (f"list_filter([CASE WHEN {same_model} THEN {sa} END, "
             f"CASE WHEN {same_prompt} THEN 'instructions ' || {va} END], lambda x: x IS NOT NULL)")
@@ -429,11 +430,11 @@ FIXTURE_DEFAULT_PROMPT = "Extract the invoice fields as JSON."
 
 
 @register("v3_version_log", O.with_ctes([], [],
-    "SELECT d.doc_id, CASE WHEN trim(d.text) = " + O.q(FIXTURE_DEFAULT_PROMPT) + " THEN 'default' ELSE 'v' || "
+    "SELECT d.doc_id, CASE WHEN " + O.strip("d.text") + " = " + O.q(FIXTURE_DEFAULT_PROMPT) + " THEN 'default' ELSE 'v' || "
     "CAST(f.n AS VARCHAR) END AS version FROM documents d LEFT JOIN ("
-    "SELECT key, row_number() OVER (ORDER BY first_id) AS n FROM (SELECT trim(text) AS key, min(doc_id) AS first_id "
-    "FROM documents WHERE trim(text) <> " + O.q(FIXTURE_DEFAULT_PROMPT) + " GROUP BY trim(text)) x) f "
-    "ON f.key = trim(d.text)"))
+    "SELECT key, row_number() OVER (ORDER BY first_id) AS n FROM (SELECT " + O.strip("text") + " AS key, min(doc_id) AS first_id "
+    "FROM documents WHERE " + O.strip("text") + " <> " + O.q(FIXTURE_DEFAULT_PROMPT) + " GROUP BY " + O.strip("text") + ") x) f "
+    "ON f.key = " + O.strip("d.text") + ""))
 def v3_version_log(fx: Fixtures) -> DataFrame:
     """V3: version labels over a log of saved texts (the documents table in doc_id order): a
     known text keeps its first label, each new text gets v{n} in save order."""
@@ -442,11 +443,11 @@ def v3_version_log(fx: Fixtures) -> DataFrame:
 
 
 @register("v2_run_versions", O.summary_query(
-    "SELECT r.run_id, r.prompt_version, CASE WHEN r.prompt IS NULL THEN NULL WHEN trim(r.prompt) = "
+    "SELECT r.run_id, r.prompt_version, CASE WHEN r.prompt IS NULL THEN NULL WHEN " + O.strip("r.prompt") + " = "
     + O.q(FIXTURE_DEFAULT_PROMPT) + " THEN 'default' ELSE coalesce(v.version, 'unsaved') END AS version_of_text, "
     f"{O.r9('s.overall_accuracy')} AS overall_accuracy FROM runs r "
-    "LEFT JOIN (SELECT trim(text) AS key, arg_min(version, seq) AS version FROM instruction_versions GROUP BY trim(text)) v "
-    "ON v.key = trim(r.prompt) JOIN o_summary s ON s.run_id = r.run_id",
+    "LEFT JOIN (SELECT " + O.strip("text") + " AS key, arg_min(version, seq) AS version FROM instruction_versions GROUP BY " + O.strip("text") + ") v "
+    "ON v.key = " + O.strip("r.prompt") + " JOIN o_summary s ON s.run_id = r.run_id",
     extra=[]).replace("WITH ", "WITH " + __import__("fieldmark.sources.fixtures", fromlist=["x"]).duckdb_ctes(
         ["instruction_versions"]) + ",\n", 1))
 def v2_run_versions(fx: Fixtures) -> DataFrame:
@@ -598,30 +599,39 @@ def f3_field_view_latest_practice(fx: Fixtures) -> DataFrame:
 
 
 @register("a6_key_integrity", O.with_ctes(["inv_truth", "inv_lines"], [],
-    "SELECT t.dataset, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE NOT abs(round_even(s.items, 2) "
-    f"- CAST(t.subtotal AS DOUBLE)) < 0.011) AS BIGINT) AS violations, "
-    "CAST(sum(CAST(round_even(s.items, 2) AS DECIMAL(18,2))) AS DOUBLE) AS items_total "
-    "FROM inv_truth t JOIN (SELECT k, sum(CAST(amount AS DOUBLE)) AS items FROM inv_lines GROUP BY k) s ON s.k = t.k "
-    "GROUP BY t.dataset"))
+    "SELECT dataset, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE NOT abs(items - subtotal) < 0.011) AS BIGINT) AS violations, "
+    "CAST(count(*) FILTER (WHERE NOT abs(items - CASE WHEN k % 101 = 3 THEN subtotal + 0.02 ELSE subtotal END) < 0.011) AS BIGINT) AS violations_in_damaged_copy, "
+    "CAST(sum(CAST(items AS DECIMAL(18,2))) AS DOUBLE) AS items_total "
+    "FROM (SELECT t.k, t.dataset, CAST(t.subtotal AS DOUBLE) AS subtotal, coalesce(CAST(printf('%.2f', s.items) AS DOUBLE), 0.0) AS items "
+    "FROM inv_truth t LEFT JOIN (SELECT k, sum(CAST(amount AS DOUBLE)) AS items FROM inv_lines GROUP BY k) s ON s.k = t.k) x "
+    "GROUP BY dataset"))
 def a6_key_integrity(fx: Fixtures) -> DataFrame:
-    """Answer keys whose line items do not add up to the subtotal, counted per dataset."""
+    """Answer keys whose line items do not add up to the subtotal, counted per dataset: in the
+    key and in a copy of it with some subtotals two cents off (the check has to find those)."""
     truth = EV.truth(fx)
-    items_sum = F.bround(F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["amount"]), 2)
-    bad = ~(F.abs(items_sum - F.col("subtotal")) < 0.011)
-    return truth.groupBy("dataset").agg(F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("violations"),
+    items_sum = round_to(F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["amount"]), 2)
+    altered = F.when(F.col("k") % 101 == 3, F.col("subtotal") + 0.02).otherwise(F.col("subtotal"))
+
+    def violations(subtotal):
+        return F.count_if(~(F.abs(items_sum - subtotal) < 0.011))
+
+    return truth.groupBy("dataset").agg(F.count(F.lit(1)).alias("documents"), violations(F.col("subtotal")).alias("violations"),
+                                        violations(altered).alias("violations_in_damaged_copy"),
                                         F.sum(items_sum.cast("decimal(18,2)")).cast("double").alias("items_total"))
 
 
 @register("a7_dataset_completeness", O.with_ctes(["inv_truth"], [],
-    "SELECT dataset, CAST(count(*) AS BIGINT) AS documents, CAST(0 AS BIGINT) AS missing_files, "
-    "CAST(count(*) FILTER (WHERE vendor_name IS NULL OR invoice_number IS NULL OR invoice_date IS NULL OR due_date IS NULL "
+    "SELECT dataset, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE k % 53 = 4) AS BIGINT) AS missing_files, "
+    "CAST(count(*) FILTER (WHERE k % 59 = 7 OR vendor_name IS NULL OR invoice_number IS NULL OR invoice_date IS NULL OR due_date IS NULL "
     "OR bill_to IS NULL OR currency IS NULL OR subtotal IS NULL OR tax IS NULL OR total IS NULL) AS BIGINT) AS missing_fields "
     "FROM inv_truth GROUP BY dataset"))
 def a7_dataset_completeness(fx: Fixtures) -> DataFrame:
-    """Documents per dataset, answer-key entries without a document, entries missing a field."""
+    """Documents per dataset, answer-key entries without a document, entries missing a field, for
+    a copy of the dataset from which some documents and some vendor names are lost."""
     from .plans import extraction as EX
-    files = EX.doc_text(fx).select("dataset", "file")
-    return M.dataset_completeness(EV.truth(fx), files)
+    files = EX.doc_text(fx).select("dataset", "file").where("CAST(substr(file, 5, 12) AS BIGINT) % 53 <> 4")
+    truth = EV.truth(fx)
+    return M.dataset_completeness(truth.withColumn("vendor_name", F.when(F.col("k") % 59 != 7, F.col("vendor_name"))), files)
 
 
 @register("d1_assembled_totals", O.with_ctes(["inv_truth", "inv_lines"], [],

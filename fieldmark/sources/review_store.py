@@ -1,6 +1,7 @@
 """The review store as an append-only event log (saves and tombstones)."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ def load_events(spark: SparkSession, path: str, run_id: str | None = None) -> Da
     """The events of one run (or all); a store that does not exist yet is empty."""
     try:
         df = spark.read.schema(REVIEW_EVENT).parquet(path)
-    except Exception:  # noqa: BLE001  (no store yet)
+    except AnalysisException as e:  # no store yet; any other error is the caller's to see
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df = spark.createDataFrame([], REVIEW_EVENT)
     return df if run_id is None else df.where(F.col("run_id") == run_id)
 

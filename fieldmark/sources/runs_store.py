@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from ..schemas import RUN_HEADER
 
 RUN_PARTITIONS = ["dataset", "method", "model", "prompt_version"]
+FILES_PER_RUN = 32
 
 
 def write_run_rows(rows: DataFrame, path: str) -> None:
     """S3: one stored output per (dataset, method, model, version); writing a run again replaces
     exactly its partition (dynamic partition overwrite), other runs stay."""
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    rows.write.mode("overwrite").partitionBy(*RUN_PARTITIONS).parquet(path)
+    # rows of a run meet by run and hash of the file, so a run is a bounded number of files
+    rows.repartition(*RUN_PARTITIONS, F.pmod(F.xxhash64("file"), F.lit(FILES_PER_RUN))) \
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_PARTITIONS).parquet(path)
 
 
 def read_run_headers(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
