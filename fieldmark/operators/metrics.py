@@ -102,11 +102,6 @@ def gate_metrics(summary: DataFrame, keys: list[str] | None = None) -> DataFrame
         *[F.col(f"acc_{f}") for f in SCORED_FIELDS])
 
 
-def summarize_global(scored: DataFrame) -> DataFrame:
-    """A1 over everything given (one row even for zero rows)."""
-    return summarize(scored.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
-
-
 # --- F1: per-field accuracy, long form ---------------------------------------------------------
 def per_field_long(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["run_id"]

@@ -35,8 +35,8 @@ def spot_check_sample(rows: DataFrame, runs: DataFrame, pct: float) -> DataFrame
 
     Deterministic per run and independent of partitioning. Scales without sorting a run in one
     task: count per (run, hash bucket), find the bucket where the running count passes n (a
-    window over at most 65,536 bucket counts per run), keep every bucket before it and rank
-    only inside that one bucket."""
+    window over at most 65,536 bucket counts per run), and keep every bucket before it. Rows are read
+    twice, for the counts and for the sample; only the sample's buckets are shuffled and ranked."""
     un = rows.where(~to_human()).join(dimension(runs.select("run_id", run_at_text(F.col("run_at")).alias("_ts"))),
                                       "run_id") \
         .select("run_id", "file", F.md5(F.concat("_ts", F.lit("|"), "file")).alias("h"))
@@ -47,14 +47,14 @@ def spot_check_sample(rows: DataFrame, runs: DataFrame, pct: float) -> DataFrame
     buckets = buckets.withColumn("cum", F.sum("cnt").over(upto)) \
         .withColumn("n", sample_size(F.sum("cnt").over(per_run), pct)) \
         .withColumn("before", F.col("cum") - F.col("cnt")) \
-        .where(F.col("before") < F.col("n")) \
-        .select("run_id", "bucket", "before", "cum", "n")
-    cand = un.join(buckets, ["run_id", "bucket"])
-    whole = cand.where(F.col("cum") <= F.col("n"))
-    cut = cand.where(F.col("cum") > F.col("n"))
-    wr = Window.partitionBy("run_id", "bucket").orderBy("h", "file")
-    cut = cut.withColumn("r", F.row_number().over(wr)).where(F.col("r") <= F.col("n") - F.col("before")).drop("r")
-    return whole.unionByName(cut).select("run_id", "file")
+        .where(F.col("before") < F.col("n"))
+    # one row a run: the bucket in which its sample ends
+    ends = buckets.groupBy("run_id").agg(F.max(F.struct("bucket", "before", "n")).alias("end"))
+    cand = un.join(dimension(ends), "run_id").where(F.col("bucket") <= F.col("end.bucket"))
+    rank = F.row_number().over(Window.partitionBy("run_id", "bucket").orderBy("h", "file"))
+    return cand.withColumn("r", rank) \
+        .where((F.col("bucket") < F.col("end.bucket")) | (F.col("r") <= F.col("end.n") - F.col("end.before"))) \
+        .select("run_id", "file")
 
 
 def build_queue(rows: DataFrame, runs: DataFrame, pct: float) -> DataFrame:
