@@ -360,6 +360,38 @@ def j5_corrected_export(fx: Fixtures) -> DataFrame:
     return R.corrected_export(RV.model_rows(fx), RV.queue(fx), RV.reviews(fx))
 
 
+EXPORT_TEXT = ["vendor_name", "invoice_number", "invoice_date", "due_date", "bill_to", "currency", "subtotal", "tax", "total"]
+
+
+@register("s9_export_csv", O.review_query(
+    f"SELECT * REPLACE ({', '.join(f"coalesce({c}, '') AS {c}" for c in EXPORT_TEXT)}) FROM (" + _export_oracle() + ") x"))
+def s9_export_csv(fx: Fixtures) -> DataFrame:
+    """The corrected export written as CSV and read back, with the types it had (a CSV does not tell
+    an absent text from an empty one: both read as empty)."""
+    from .sources.export import read_export_csv, write_export_csv
+    from .sources.tables import scratch_path
+    export, path = j5_corrected_export(fx), scratch_path(fx.spark, "export")
+    write_export_csv(export, path)
+    return read_export_csv(fx.spark, path, export.schema).fillna("", EXPORT_TEXT)
+
+
+@register("s3_run_store", O.with_ctes(["runs", "inv_truth", "inv_lines", "run_calls"], [],
+    "SELECT r.run_id, r.dataset, r.method, r.model, r.prompt_version, CAST(count(*) AS BIGINT) AS documents, "
+    "CAST(sum(coalesce(c.input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(count(*) FILTER (WHERE coalesce(c.has_fields, false)) AS BIGINT) AS with_fields "
+    "FROM inv_truth t JOIN runs r ON r.dataset = t.dataset LEFT JOIN run_calls c ON c.run_id = r.run_id AND c.file = t.file GROUP BY ALL"))
+def s3_run_store(fx: Fixtures) -> DataFrame:
+    """S3: run rows written to the store, one run written again, and the store read back."""
+    from .sources.runs_store import RUN_PARTITIONS, write_run_rows
+    from .sources.tables import scratch_path
+    headers = dimension(fx["runs"].select("run_id", *RUN_PARTITIONS))
+    rows = EV.rows(fx).select("run_id", "file", "fields", "input_tokens").join(headers, "run_id")
+    path = scratch_path(fx.spark, "runs")
+    write_run_rows(rows, path)
+    write_run_rows(rows.where("dataset = 'test'"), path)
+    return fx.spark.read.parquet(path).groupBy("run_id", *RUN_PARTITIONS).agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("input_tokens").cast("long").alias("input_tokens"), F.count("fields").alias("with_fields"))
+
+
 # ---------------------------------------------------------------- documents and rule-based extraction
 from .operators import documents as D  # noqa: E402
 from .plans import extraction as EX  # noqa: E402

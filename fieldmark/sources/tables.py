@@ -55,6 +55,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return back.select(*cols) if cols and partition_by else back  # keep the original column order
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; its files go when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fieldmark-{_RUN_TAG}/{name}-{uuid.uuid4().hex[:8]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 class Fixtures:
     """Fixture and derived DataFrames for one data folder.
 
