@@ -82,3 +82,32 @@ h AS (SELECT *, sha256(record) AS expected, CASE WHEN page_id % 577 = 13 THEN sh
 SELECT archive, ("offset" // 65536) * 65536 AS range_start, "offset", CASE WHEN found IS NULL THEN 'missing' ELSE 'changed' END AS status, expected, found
 FROM h WHERE expected IS DISTINCT FROM found
 """
+
+# CRC-32 by its table; words and pairs hashed into the same buckets; the same sums and rounding.
+ORACLES["op2_quality_rules"] = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT DISTINCT unnest(w) AS word FROM d),
+b AS (SELECT word, list_transform(range(length(hex(word)) // 2), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT) AS bytes FROM v),
+h AS (SELECT word, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes),
+        lambda c, x: xor(c >> 8, tab.t[(xor(c, x) & 255) + 1]))) AS crc FROM b, tab),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+q AS (SELECT p.doc_id, p.i, h.crc, lead(h.crc) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS following FROM p JOIN h USING (word)),
+g AS (SELECT doc_id, crc % 65536 AS bucket FROM q UNION ALL SELECT doc_id, (crc * 1000003 + following) % 65536 FROM q WHERE following IS NOT NULL),
+c AS (SELECT bucket, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM g GROUP BY bucket),
+k AS (SELECT bucket, round(ln((good + 10.0::DOUBLE) / ((sum(good) OVER ())::DOUBLE + 655360.0::DOUBLE))
+                           - ln((raw + 10.0::DOUBLE) / ((sum(raw) OVER ())::DOUBLE + 655360.0::DOUBLE)), 9) AS weight FROM c),
+s AS (SELECT doc_id, round(sum(weight) / count(*), 9) AS score FROM g JOIN k USING (bucket) GROUP BY doc_id),
+f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM (
+        SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS five FROM d)),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM f, range(5) AS x(j) WHERE f.n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+        coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(s.score, 0.0)::DOUBLE AS score
+      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND score >= -0.2 AS kept FROM m
+"""
