@@ -15,13 +15,15 @@ def assign_versions(log: DataFrame, default_text: str, seq: str = "seq", text: s
     The distinct texts are numbered with a range-partitioned global position, so neither the
     log nor its distinct texts pass through one task."""
     # shuffle a SHA-256 of the trimmed text, not the text (documents can be long)
-    t = log.withColumn("_key", F.sha2(strip(F.col(text)), 256))
-    is_default = strip(F.col(text)) == F.lit(default_text.strip())
-    firsts = t.where(~is_default).groupBy("_key").agg(F.min(seq).alias("_first"))
+    is_default = F.coalesce(strip(F.col(text)) == F.lit(default_text.strip()), F.lit(False))
+    # the default text matches no numbered one: its rows, often most of the log, are spread over many keys
+    spread = F.concat(F.lit("default-"), F.pmod(F.xxhash64(seq), F.lit(1024)).cast("string"))
+    t = log.withColumn("_key", F.when(is_default, spread).otherwise(F.sha2(strip(F.col(text)), 256)))
+    firsts = t.where(~F.col("_key").startswith("default-")).groupBy("_key").agg(F.min(seq).alias("_first"))
     numbered = global_positions(firsts, "_first", "_n")
     labelled = t.join(numbered.select("_key", "_n"), "_key", "left")
     return labelled.select(*[c for c in log.columns],
-                           F.when(is_default, F.lit("default"))
+                           F.when(F.col("_key").startswith("default-"), F.lit("default"))
                            .otherwise(F.concat(F.lit("v"), F.col("_n").cast("string"))).alias("version"))
 
 
