@@ -155,7 +155,8 @@ def review_events(subs: DataFrame, rows: DataFrame) -> DataFrame:
                     F.when(~deleted, status).alias("status"),
                     F.when(~deleted, changed).alias("changed_fields"),
                     F.when(~deleted, F.col("final")).alias("final"),
-                    deleted.alias("deleted"))
+                    deleted.alias("deleted"),
+                    F.when(~deleted, original).alias("original"))
 
 
 def latest_reviews(events: DataFrame) -> DataFrame:

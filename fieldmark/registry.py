@@ -298,6 +298,22 @@ def s6_latest_reviews(fx: Fixtures) -> DataFrame:
                     F.coalesce(F.size("final.line_items"), F.lit(0)).alias("line_item_count"))
 
 
+@register("s5_review_store", ORACLES["s6_latest_reviews"])
+def s5_review_store(fx: Fixtures) -> DataFrame:
+    """The review events appended to the store in two writes, and the decisions loaded from it."""
+    from .sources.review_store import append_events, load_reviews
+    from .sources.tables import scratch_path
+    events, path = R.review_events(RV.submissions(fx), EV.rows(fx)), scratch_path(fx.spark, "reviews")
+    append_events(events.where("event_seq = 1"), path)
+    append_events(events.where("event_seq > 1"), path)
+    r = load_reviews(fx.spark, path)
+    return r.select("run_id", "file", "queue", "status", F.array_join("changed_fields", ",").alias("changed_fields"),
+                    "note", R.run_at_text(F.col("reviewed_at")).alias("reviewed_at"),
+                    F.col("final.bill_to").alias("final_bill_to"), F.col("final.subtotal").cast("double").alias("final_subtotal"),
+                    F.col("final.total").cast("double").alias("final_total"),
+                    F.coalesce(F.size("final.line_items"), F.lit(0)).alias("line_item_count"))
+
+
 @register("r6_rejected_submissions", O.review_query(
     "SELECT run_id, file, CAST(event_seq AS INTEGER) AS event_seq FROM o_subs2 WHERE rejected"))
 def r6_rejected_submissions(fx: Fixtures) -> DataFrame:

@@ -36,4 +36,5 @@ REVIEW_EVENT = StructType([
     StructField("reviewed_at", TimestampType()), StructField("queue", StringType()), StructField("note", StringType()),
     StructField("status", StringType()), StructField("changed_fields", ArrayType(StringType())),
     StructField("final", FIELDS), StructField("deleted", BooleanType()),
+    StructField("original", FIELDS),  # what the model had said; absent in older events
 ])

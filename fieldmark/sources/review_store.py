@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.review import latest_reviews
 from ..schemas import REVIEW_EVENT
@@ -11,10 +12,21 @@ from ..schemas import REVIEW_EVENT
 
 def append_events(events: DataFrame, path: str) -> None:
     """Decisions and undo tombstones are appended; nothing is rewritten in place."""
-    events.select(*[F.col(f.name).cast(f.dataType) for f in REVIEW_EVENT.fields]) \
+    events.select(*[_stored(events, f) for f in REVIEW_EVENT.fields]) \
         .write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def _stored(events: DataFrame, field: StructField) -> Column:
+    """A column in the store's type; records are matched by field name, absent ones are null."""
+    if field.name not in events.columns:
+        return F.lit(None).cast(field.dataType).alias(field.name)
+    have, value = events.schema[field.name].dataType, F.col(field.name)
+    if not isinstance(have, StructType):
+        return value.cast(field.dataType).alias(field.name)
+    parts = [(value[f.name] if f.name in have.names else F.lit(None)).cast(f.dataType).alias(f.name) for f in field.dataType.fields]
+    return F.when(value.isNotNull(), F.struct(*parts)).alias(field.name)
+
+
 def load_events(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """The events of one run (or all); a store that does not exist yet is empty."""
     try:

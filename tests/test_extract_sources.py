@@ -1,6 +1,7 @@
 """Rule-based reader, model reply handling, stores and formats."""
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldmark.operators.extract_model import apply_retries, batch_extract, conformance, parse_replies
@@ -118,12 +119,16 @@ def test_review_store_and_export(spark, tmp_path):
     store = str(tmp_path / "reviews")
     assert load_events(spark, store).count() == 0  # a missing store is empty
     t = dt.datetime(2026, 3, 2, 10, 0, 0)
-    rows = [("r1", "a.pdf", 1, t, "flagged", "", "approved", [], None, False),
-            ("r1", "b.pdf", 1, t, "flagged", "", "corrected", ["total"], None, False)]
+    said = ("ACME", *[None] * 8, None, None, None)
+    rows = [("r1", "a.pdf", 1, t, "flagged", "", "approved", [], None, False, said),
+            ("r1", "b.pdf", 1, t, "flagged", "", "corrected", ["total"], None, False, said)]
     append_events(spark.createDataFrame(rows, REVIEW_EVENT), store)
-    append_events(spark.createDataFrame([("r1", "b.pdf", 2, t, "flagged", "", None, None, None, True)], REVIEW_EVENT),
+    append_events(spark.createDataFrame([("r1", "b.pdf", 2, t, "flagged", "", None, None, None, True, None)], REVIEW_EVENT),
                   store)
     assert [r.file for r in load_reviews(spark, store, "r1").collect()] == ["a.pdf"]
+    assert load_reviews(spark, store, "r1").first().original.vendor_name == "ACME"
+    with pytest.raises(Exception, match="(?i)no filesystem|unsupported|scheme"):
+        load_events(spark, "nosuchscheme://store").count()  # only a missing store is empty
     write_export_csv(load_reviews(spark, store).select("run_id", "file", "status"), str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
     assert [(r.file, r.status) for r in back] == [("a.pdf", "approved")]
