@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import WORD, saved, small_or_shuffled
 
 LIMIT, END_ID = 4096, 1
-BUCKETS, REMEMBER, SEGMENT = 256, 600_000, 1 << 20
+BUCKETS, REMEMBER, SEGMENT = 256, 1_200_000, 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 _WORDS = re.compile(WORD)
 _LOADED: dict[str, "WordIds"] = {}
@@ -65,7 +65,7 @@ class WordIds:
         for at in range(0, len(plain), 512):
             chunk = plain[at:at + 512]
             ids = np.array(self.tokenizer.encode(" ".join(chunk), add_special_tokens=False).ids, "<u4")
-            units = np.cumsum([len(self.units.findall(unicodedata.normalize("NFC", w).lower())) for w in chunk])
+            units = np.cumsum([1 if w.isascii() and w.isalpha() else len(self.units.findall(unicodedata.normalize("NFC", w).lower())) for w in chunk])
             ends = np.concatenate([[0], np.nonzero(self.ends[ids])[0] + 1])
             if len(ends) - 1 != units[-1]:
                 self.known.update((w, self.one(w)) for w in chunk)
@@ -76,21 +76,31 @@ class WordIds:
                 self.known[w] = raw[begin:stop]
                 begin = stop
 
-    def encode(self, text: str) -> bytes:
-        out, at = [], 0
-        while at < len(text):  # segments end before white space, so that memory does not grow with a text
-            cut = at + SEGMENT
-            while cut < len(text) and text[cut] not in " \t\n\x0b\x0c\r":
-                cut += 1
-            words = _WORDS.findall(text, at, cut)
-            if len(self.known) > REMEMBER:
-                self.known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if new:
-                self.learn(new)
-            out.append(b"".join([self.known[w] for w in words]))
-            at = cut
-        return b"".join(out)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Texts are read in segments that end before white space, and about
+        ``SEGMENT`` characters' words are looked up together, so memory does not grow with a text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, size = [], 0
+        for r, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                cut = at + SEGMENT
+                while cut < len(text) and text[cut] not in " \t\n\x0b\x0c\r":
+                    cut += 1
+                waiting.append((r, _WORDS.findall(text, at, cut)))
+                size, at = size + min(cut, len(text)) - at, cut
+                if size >= SEGMENT:
+                    self._look_up(waiting, out)
+                    waiting, size = [], 0
+        self._look_up(waiting, out)
+        return [b"".join(parts) for parts in out]
+
+    def _look_up(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        self.learn(list(set().union(*[words for _, words in waiting]).difference(self.known)))
+        for r, words in waiting:
+            out[r].append(b"".join(map(self.known.__getitem__, words)))
 
 
 def _word_ids(path: str | None) -> WordIds:
@@ -109,8 +119,8 @@ def _pieces(batches, path: str | None, limit: int, end_id: int, with_ids: bool):
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             rows, piece, start, length, crc, held = [], [], [], [], [], []
-            for r, text in enumerate(part["text"].to_pylist()):
-                ids = words.encode(text or "") + end
+            for r, ids in enumerate(words.encode([text or "" for text in part["text"].to_pylist()])):
+                ids += end
                 for k, begin in enumerate(range(0, len(ids), 4 * limit)):
                     cut = ids[begin:begin + 4 * limit]
                     rows.append(r), piece.append(k), start.append(k * limit), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))

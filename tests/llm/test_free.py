@@ -166,7 +166,8 @@ def test_word_ids_do_not_depend_on_what_is_remembered(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBER", 5)
     words = packing._word_ids(None)
     text = prose(np.random.default_rng(0) and __import__("random").Random(2), 300) + " don't STOP-it 42% \n\t x"
-    assert np.frombuffer(words.encode(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    for ids, t in zip(words.encode([text, "", "one", text]), [text, "", "one", text]):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def brute_tree(streams, depth, gain, discount, least):
