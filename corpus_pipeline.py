@@ -15,7 +15,7 @@ from fieldmark.llm.common import saved, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality.accept(docs, trusted)
+    return quality.accept_by_evidence(docs, trusted)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ over the buckets are counted: one from the trusted documents, one from all docum
 score is the mean over its n-grams of ``log p_trusted - log p_raw`` (nats, so long and short texts
 compare); documents below ``threshold`` are rejected, as are those that fail the base rules.
 
+``accept_by_evidence`` (the pipeline's stage) holds the verdict apart from the size of the trusted set:
+a bucket weighs ``log (good + s) / (expected + s)``, where expected is what the trusted text would hold if
+it were raw text, so that a bucket without evidence weighs 0; the threshold is the ``LOWEST`` quantile of
+the trusted documents' scores, each against the others' counts (its own are taken out).
+
 Plan: one scan explodes bucket numbers into an aggregation with at most ``buckets`` groups a task;
 a second scan joins the bucket weights (a broadcast of ``buckets`` rows, a fixed size) and sums them
 by row inside the scanning task. Texts are shuffled only if there are too many trusted doc_ids for a
@@ -25,6 +30,7 @@ from .common import saved, small_or_shuffled, words
 BUCKETS = 1 << 16
 THRESHOLD = -0.2
 SMOOTHING = 10.0
+LOWEST, STEPS = 0.001, 1000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -99,9 +105,8 @@ def features(docs: DataFrame) -> DataFrame:
         grams_of(F.col("h")).alias("grams"))
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, weight = log p_trusted - log p_raw, each with ``SMOOTHING`` added counts a bucket.
-    ``trusted`` has the doc_ids of trusted documents. At most ``buckets`` rows, which are stored."""
+def _bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """bucket, raw, good (n-grams of trusted documents), raw_all, good_all: at most ``buckets`` rows."""
     ids = trusted.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
     marked = docs.select("doc_id", "text").join(small_or_shuffled(ids, 32), F.col("doc_id") == F.col("id"), "left") \
         .select("id", words(F.col("text")).alias("w")).select("id", hashes(F.col("w")).alias("h")) \
@@ -109,12 +114,56 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
         .select("t", F.explode(bucket_pair(F.col("a"), F.col("b"), buckets)).alias("bucket")).where("bucket IS NOT NULL")
     counts = saved(marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good")), "buckets")
     whole = counts.agg(F.sum("raw").alias("raw_all"), F.sum("good").alias("good_all"))
-    p = counts.crossJoin(F.broadcast(whole))  # one row of totals
+    return counts.crossJoin(F.broadcast(whole))  # one row of totals
+
+
+def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """bucket, weight = log p_trusted - log p_raw, each with ``SMOOTHING`` added counts a bucket.
+    ``trusted`` has the doc_ids of trusted documents. At most ``buckets`` rows, which are stored."""
+    p = _bucket_counts(docs, trusted, buckets)
     weight = (F.log((F.col("good") + SMOOTHING) / (F.col("good_all") + SMOOTHING * buckets))
               - F.log((F.col("raw") + SMOOTHING) / (F.col("raw_all") + SMOOTHING * buckets)))
     return p.select("bucket", F.when(F.col("good_all") > 0, F.round(weight, 9)).otherwise(0.0).alias("weight"))
 
 
+def _evidence(good: Column, good_all: Column, raw: Column, raw_all: Column) -> Column:
+    expected = good_all * raw / F.greatest(raw_all, F.lit(1))
+    return F.log((good + SMOOTHING) / (expected + SMOOTHING))
+
+
+def _runs(values: Column) -> Column:
+    """(bucket, m) of each distinct value and how often it occurs; sorted within the row."""
+    def starts(p: Column) -> Column:
+        return F.filter(F.transform(p, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: (e["i"] == 0) | (F.get(p, e["i"] - 1) != e["x"]))
+
+    def told(p: Column) -> Column:
+        return F.get(F.transform(F.array(starts(p)), lambda s: F.transform(s, lambda e, k: F.struct(
+            e["x"].alias("bucket"), (F.coalesce(F.get(s, k + 1)["i"], F.size(p)) - e["i"]).alias("m")))), 0)
+
+    # one-element arrays bind the sorted lists to a name, so that they are made once
+    return F.get(F.transform(F.array(F.sort_array(values)), told), 0)
+
+
+def trusted_threshold(docs: DataFrame, trusted: DataFrame, counts: DataFrame, buckets: int = BUCKETS) -> float:
+    """The ``LOWEST`` quantile, in steps of 1 / STEPS, of the scores of all trusted documents that pass the
+    base rules, each scored without its own counts; at most 0, and 0 if there are none."""
+    ids = trusted.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
+    own = features(docs.join(small_or_shuffled(ids, 32), F.col("doc_id") == F.col("id"), "left_semi")).withColumn("row", F.monotonically_increasing_id())
+    all_buckets = F.filter(F.flatten(F.transform("grams", lambda g: bucket_pair(g["a"], g["b"], buckets))), lambda x: x.isNotNull())
+    rows = own.select("row", "n_words", "n_repeat_words", F.inline(_runs(all_buckets)).alias("bucket", "m")).withColumn("n", 2 * F.col("n_words") - 1)
+    weight = _evidence(F.col("good") - F.col("m"), F.col("good_all") - F.col("n"), F.col("raw") - F.col("m"), F.col("raw_all") - F.col("n"))
+    scores = rows.join(F.broadcast(counts), "bucket").groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.max("n_repeat_words").alias("n_repeat_words"), (F.sum(weight * F.col("m")) / F.max("n")).alias("score")).where(~_failed())
+    # a mean of logs of counts: the steps are a bounded list, whatever the corpus
+    steps = sorted(scores.groupBy(F.floor(F.round(F.col("score"), 9) * STEPS).alias("step")).count().collect())
+    left = LOWEST * sum(r["count"] for r in steps)
+    for r in steps:
+        if r["count"] > left:
+            return min(0.0, r["step"] / STEPS)
+        left -= r["count"]
+    return 0.0
+
+
 def score(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, th, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score, kept."""
@@ -125,11 +174,27 @@ def score(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
 def accept(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, unchanged. Rows with the same doc_id and text have the same
     verdict, so the rejected ones are named by both."""
-    bad = saved(score(docs, trusted, buckets, threshold).where("NOT kept").select(F.col("doc_id").alias("__own_d"), F.col("th").alias("__own_t")).distinct(), "rejected")
+    return _without_rejected(docs, score(docs, trusted, buckets, threshold))
+
+
+def accept_by_evidence(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """As ``accept``, with a verdict that does not follow the size of the trusted set."""
+    counts = saved(_bucket_counts(docs, trusted, buckets), "evidence")
+    weights = counts.select("bucket", F.round(_evidence(F.col("good"), F.col("good_all"), F.col("raw"), F.col("raw_all")), 9).alias("weight"))
+    threshold = trusted_threshold(docs, trusted, counts, buckets)
+    return _without_rejected(docs, _sums(features(docs).withColumn("row", F.monotonically_increasing_id()), weights, buckets, threshold))
+
+
+def _without_rejected(docs: DataFrame, scored: DataFrame) -> DataFrame:
+    bad = saved(scored.where("NOT kept").select(F.col("doc_id").alias("__own_d"), F.col("th").alias("__own_t")).distinct(), "rejected")
     same = F.col("doc_id").eqNullSafe(F.col("__own_d")) & (F.xxhash64("text") == F.col("__own_t"))
     return docs.join(small_or_shuffled(bad, 32), same, "left_anti")
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def _sums(rows: DataFrame, weights: DataFrame, buckets: int, threshold: float) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     grams = rows.select("row", "doc_id", "th", *base, F.inline_outer("grams").alias("a", "b")) \
@@ -139,6 +204,5 @@ def _sums(rows: DataFrame, weights: DataFrame, buckets: int, threshold: float) -
         F.max("doc_id").alias("doc_id"), F.max("th").alias("th"), *[F.max(c).alias(c) for c in base],
         F.sum("weight").alias("total"), F.count("bucket").alias("n_grams"))
     mean = F.when(F.col("n_grams") > 0, F.round(F.col("total") / F.col("n_grams"), 9)).otherwise(0.0)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return total.select("doc_id", "th", *base, failed.alias("base_failed"), mean.alias("score"),
-                        (~failed & (mean >= threshold)).alias("kept"))
+    return total.select("doc_id", "th", *base, _failed().alias("base_failed"), mean.alias("score"),
+                        (~_failed() & (mean >= threshold)).alias("kept"))

@@ -53,6 +53,36 @@ def test_quality_rules(spark, docs):
     assert kept.columns == [*docs.columns, "row", "th"]
 
 
+def test_verdicts_do_not_follow_the_size_of_the_trusted_set(spark):
+    """Clean documents stay and junk goes with few and with many trusted documents."""
+    import random
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.02)), 300)}" for _ in range(120)) if i % 5 else " ".join(f"j{rng.randrange(40)}" for _ in range(80)), "en", "s", 1) for i in range(500)]
+    docs, clean = spark.createDataFrame(rows, SCHEMA), {i for i in range(500) if i % 5}
+    for size in (10, 60, 400):
+        good = sorted(clean)[:size]
+        kept = {r["doc_id"] for r in quality.accept_by_evidence(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+        assert len(clean - kept) <= 0.02 * len(clean) and not kept - clean, size
+
+
+def test_threshold_is_of_scores_without_own_counts(spark, docs):
+    rows, buckets, s = corpus(), 128, quality.SMOOTHING
+    good = {0, 3, 7, 8, 20}
+    trusted = spark.createDataFrame([(i,) for i in sorted(good)], "doc_id long")
+    raw = Counter(b for r in rows for b in grams(r[1], buckets))
+    told = Counter(b for r in rows if r[0] in good for b in grams(r[1], buckets))
+    scores = []
+    for r in rows:
+        base = base_figures(r[1])
+        if r[0] in good and base[0] >= 10 and 100 * base[4] <= 20 * base[0]:
+            own = Counter(grams(r[1], buckets))
+            m = own.total()
+            scores.append(sum(n * math.log((told[b] - n + s) / ((told.total() - m) * (raw[b] - n) / (raw.total() - m) + s)) for b, n in own.items()) / m)
+    counts = quality._bucket_counts(docs, trusted, buckets)
+    assert quality.trusted_threshold(docs, trusted, counts, buckets) == min(0.0, math.floor(min(scores) * quality.STEPS) / quality.STEPS)
+    assert quality.trusted_threshold(docs, trusted.limit(0), counts, buckets) == 0.0
+
+
 def test_quality_rules_without_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert quality.score(none, none.select("doc_id")).count() == 0
