@@ -4,7 +4,8 @@ Candidates are provider formats, assignments to telling names, and long unbroken
 looks at a candidate's length and character transitions, its dictionary coverage (the share of its
 letter trigrams that occur in words of corpus frequency ``FREQUENT`` at least), whether it is part
 of a path or address, and its neighbouring words; all features are SQL expressions. It is trained on
-labelled findings: at most ``SAMPLE`` of them, those with the smallest hash of value and context. Where nobody has
+labelled findings: equal ones are one with a weight, and of each label at most half of ``SAMPLE`` distinct ones, those
+with the smallest hash of value and context; both labels weigh the same, however rare one is. Where nobody has
 labelled findings, ``weak_labels`` gives the certain ones: strict provider formats and assigned hex or
 mixed values against plain words; what it leaves open is for the forest.
 
@@ -12,9 +13,8 @@ Dictionary counts cover all documents; at most 1 / FREQUENT words pass. Texts ar
 counts and once for the candidates, and never shuffled.
 
 Defined results: null and empty texts have no findings; repeated rows have theirs each; null doc_ids
-are kept; without labelled findings of both kinds every finding gets the one kind's label (1 if
-there are none at all, so that nothing is let through); an empty table gives no rows; other columns
-are not looked at.
+are kept; without labelled findings of both kinds there is no forest and every finding is judged for
+itself (``rule``); an empty table gives no rows; other columns are not looked at.
 """
 from __future__ import annotations
 
@@ -107,30 +107,53 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
         "length": F.col("length").cast("double")})
 
 
-def weak_labels(told: DataFrame) -> DataFrame:
-    """The findings (with features) that are certain, with label 1 or 0."""
+def _certain() -> Column:
+    """1 or 0 for a finding that is certain, null for the others."""
     mixed = (F.col("digit_share") > 0) & (F.col("dictionary") < 0.5)
     sure = F.col("kind").isin("aws", "github", "jwt", "private_key") | ((F.col("kind") == "assigned") & mixed & (F.col("excused") == 0))
     plain = (F.col("kind") == "run") & (F.col("digit_share") == 0) & (F.col("transitions") < 0.1) & (F.col("named") == 0)
-    return told.withColumn("label", F.when(sure, 1.0).when(plain, 0.0)).where("label IS NOT NULL")
+    return F.when(sure, 1.0).when(plain, 0.0)
+
+
+def weak_labels(told: DataFrame) -> DataFrame:
+    """The findings (with features) that are certain, with label 1 or 0."""
+    return told.withColumn("label", _certain()).where("label IS NOT NULL")
+
+
+def rule() -> Column:
+    """1 or 0 for every finding, from itself alone: what is not certain is a secret if it is not made of
+    words and neither excused nor a path or an address or part of one."""
+    random = (F.col("dictionary") < 0.5) & (F.col("slashes") < 0.1) & (F.col("excused") == 0) & (F.col("in_path") == 0) & (F.col("in_address") == 0)
+    return F.coalesce(_certain(), random.cast("double"))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE):
-    """A forest fitted on at most ``sample`` labelled findings, or the only label there is. The rows and
-    their order do not depend on the run, so neither does the forest."""
-    order = F.xxhash64("value", "before", "after")
-    rows = saved(labelled.orderBy(order, "label", *FEATURES).limit(sample).coalesce(1).select("label", *FEATURES), "labelled")
-    kinds = [r["label"] for r in rows.select("label").distinct().collect()]
+    """A forest fitted on at most ``sample`` distinct labelled findings, half of each label, or None if a
+    label is missing. The rows and their order do not depend on the run, so neither does the forest."""
+    one = ["value", "before", "after", "label"]
+    groups = saved(labelled.groupBy(*one, *FEATURES).agg(F.count(F.lit(1)).alias("n")), "labelled_groups")
+    order = [F.xxhash64("value", "before", "after"), *one, *FEATURES]
+    kinds = [r["label"] for r in groups.select("label").distinct().orderBy("label").collect()]
     if len(kinds) < 2:
-        return kinds[0] if kinds else 1.0
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="vector", labelCol="label")
+        return None
+    parts = [groups.where(F.col("label") == k).orderBy(*order).limit(sample // len(kinds)) for k in kinds]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    taken = saved(both.coalesce(1), "taken")
+    whole = {r["label"]: r["n"] for r in taken.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    scale = F.lit(0.0)
+    for k, n in whole.items():
+        scale = F.when(F.col("label") == k, sum(whole.values()) / (len(whole) * n)).otherwise(scale)
+    rows = saved(taken.withColumn("weight", F.col("n") * scale).coalesce(1).sortWithinPartitions(*order).select("label", "weight", *FEATURES), "labelled")
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="vector", labelCol="label", weightCol="weight")
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(rows))
 
 
 def classify(told: DataFrame, model) -> DataFrame:
-    """``told`` with probability (rounded to 6 places) and is_secret."""
-    if isinstance(model, float):
-        out = told.withColumn("probability", F.lit(model))
+    """``told`` with probability (rounded to 6 places) and is_secret; by ``rule`` where there is no model."""
+    if model is None:
+        out = told.withColumn("probability", rule())
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(told))
         out = scored.withColumn("probability", F.round(vector_to_array(F.col("probability"))[1], 6)).drop("vector", "rawPrediction", "prediction")
