@@ -2,7 +2,7 @@
 
 A text is read as the UTF-8 bytes of its lower-cased (A-Z only) words with one blank between them,
 and a mark at its start and end; NUL counts as byte 1. The tree's states are contexts of up to
-``DEPTH`` bytes that the training texts hold with probability ``P_MIN`` at least and that pass a
+``DEPTH`` bytes that the training texts hold ``LEAST`` times at least, however large they are, and that pass a
 divergence test: the log-likelihood that the context's own next-symbol distribution gains over that
 of its longest retained suffix must be at least ``GAIN`` for each symbol it tells explicitly. In a
 state, symbols seen often enough have discounted relative frequencies; what is left goes to the other
@@ -15,7 +15,11 @@ Beside it stands a word model with one added count (``base_score``). Words of fr
 at least (at most 1 / HEAVY) are looked up in a broadcast; all other words go through a join.
 
 Counts cover all training texts: byte strings and words are counted inside tasks and summed by
-key. What the driver sees is bounded: at most 1 / P_MIN strings of each length, and 1 / HEAVY words.
+key. The tree is a table, made one level a step: a string of k + 1 bytes is joined with its value at the
+level below (by its last k bytes), and its context is kept or not by an aggregation of at most 256 rows.
+Byte strings of probability ``P_MIN`` at least (at most 1 / P_MIN of each length) are looked up in a
+broadcast; all others are joined with the tree, each distinct one once, longest suffix first. What
+the driver sees is bounded by that, and by 1 / HEAVY words; results do not depend on either.
 
 Defined results: a null, empty or blank text is the end mark alone; documents are training text unless
 CRC-32 of the doc_id as text is 2 modulo 7 (a null id reads as an empty text); repeated rows are
@@ -28,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, saved, words
+from .common import lower_ascii, saved, small_or_shuffled, words
 
 DEPTH, P_MIN, GAIN, DISCOUNT = 5, 1e-6, 1.0, 0.5
+LEAST = 2
 HEAVY = 1e-5
 MARK = 10  # a line feed: never part of a word
 COUNT_SLICE, SCORE_SLICE = 8 << 20, 1 << 20
@@ -127,7 +132,7 @@ def string_counts(texts: DataFrame, depth: int) -> DataFrame:
 
 
 class Tree:
-    """The states and their distributions."""
+    """The states and their distributions in memory, for texts whose strings fit there."""
 
     def __init__(self, length: np.ndarray, string: np.ndarray, n: np.ndarray, symbols: int, depth: int = DEPTH, gain: float = GAIN, discount: float = DISCOUNT):
         self.depth, self.shift, counts = depth, 8 * (depth + 1), np.zeros(256, np.int64)
@@ -170,12 +175,81 @@ class Tree:
         return out
 
 
-def fit(texts: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
-    """The tree of the streams in ``texts``; at most 1 / p_min strings of each length come here."""
-    counts = saved(string_counts(texts, depth), "string_counts")
-    symbols = counts.where("length = 1").agg(F.sum("n")).first()[0] or 0
-    got = counts.where(F.col("n") >= max(2, p_min * symbols)).unionByName(counts.where("length = 1 AND n < 2")).dropDuplicates(["length", "string"]).toArrow()
-    return Tree(*(got[c].to_numpy() for c in ("length", "string", "n")), symbols=symbols, depth=depth)
+def _told(texts: DataFrame, depth: int) -> tuple[DataFrame, int]:
+    """(length, string, n) of the strings that the tree is made of, stored by length; symbols in all."""
+    counts = saved(string_counts(texts, depth).where((F.col("n") >= LEAST) | (F.col("length") == 1)), "string_counts", ["length"])
+    return counts, counts.where("length = 1").agg(F.sum("n")).first()[0] or 0
+
+
+def fit(texts: DataFrame, depth: int = DEPTH) -> Tree:
+    """The tree of the streams in ``texts``, in memory."""
+    counts, symbols = _told(texts, depth)
+    got = counts.toArrow()
+    return Tree(*(got[c].to_numpy().astype(np.int64) for c in ("length", "string", "n")), symbols=symbols, depth=depth)
+
+
+def _last(column: Column, k: int) -> Column:
+    return column.bitwiseAND(F.lit((1 << 8 * k) - 1))
+
+
+class Levels:
+    """The tree as tables: ``values[k]`` (string, n, log: of its last byte after the k before it) and
+    ``shares[k]`` (context of k bytes, share: log10 of what is left to the level below)."""
+
+    def __init__(self, texts: DataFrame, depth: int = DEPTH, gain: float = GAIN, discount: float = DISCOUNT):
+        self.depth = depth
+        counts, self.symbols = _told(texts, depth)
+
+        def of(k: int) -> DataFrame:
+            return counts.where(F.col("length") == k).select("string", "n")
+
+        single = np.zeros(256, np.int64)
+        for r in of(1).collect():
+            single[r["string"]] = r["n"]
+        self.root = np.log10((single + 1) / (self.symbols + 256))
+        self.values, self.shares = [of(1).withColumn("log", self.root_log(F.col("string")))], [None]
+        for k in range(1, depth + 1):
+            below = self.values[-1].select(F.col("string").alias("suffix"), F.col("log").alias("below"))
+            rows = saved(of(k + 1).join(small_or_shuffled(below, 16), _last(F.col("string"), k) == F.col("suffix")).select("string", "n", "below"), "rows") \
+                .withColumn("context", F.shiftrightunsigned("string", 8))
+            sums = rows.groupBy("context").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"), F.sum(F.pow(F.lit(10.0), F.col("below"))).alias("p_below"),
+                                               F.sum(F.col("n") * (F.log(F.col("n") - discount) - F.col("below") * float(np.log(10)))).alias("gained"))
+            rest = 1 - (F.col("all") - discount * F.col("size")) / F.col("total")
+            share = F.col("rest") / F.greatest(1 - F.col("p_below"), F.lit(1e-9))
+            better = F.col("gained") - F.col("all") * F.log("total") + F.col("total") * F.col("rest") * F.log("share")
+            states = saved(sums.join(small_or_shuffled(of(k).select(F.col("string").alias("context"), F.col("n").alias("total")), 16), "context")
+                           .withColumn("rest", rest).withColumn("share", share).where(better >= gain * F.col("size"))
+                           .select("context", "total", F.log10("share").alias("share")), "states")
+            own = F.log10((F.col("n") - discount) / F.col("total"))
+            self.values.append(saved(rows.join(small_or_shuffled(states.select("context", "total"), 16), "context", "left").select("string", "n", F.coalesce(own, "below").alias("log")), "values"))
+            self.shares.append(states.select("context", "share"))
+
+    def root_log(self, byte: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(float(x)) for x in self.root]), (byte + 1).cast("int"))
+
+    def hot(self, p_min: float) -> Table:
+        """Log10 probability of the windows of probability ``p_min`` at least, at most 1 / p_min of each length.
+        A shorter window begins with the mark at the start."""
+        least = max(LEAST, p_min * self.symbols)
+        parts = [v.where(F.col("n") >= least).where(F.lit(True) if k == self.depth else F.shiftrightunsigned("string", 8 * k) == MARK).select("string", "log").toArrow()
+                 for k, v in enumerate(self.values) if k]
+        return Table(*(np.concatenate([x[c].to_numpy() for x in parts] or [np.zeros(0)]).astype(kind) for c, kind in (("string", np.int64), ("log", np.float64))))
+
+    def resolve(self, windows: DataFrame) -> DataFrame:
+        """(w, log) of the distinct windows in ``windows`` (w): the longest suffix that is in the tree, and the
+        shares of the states passed on the way."""
+        left, done = windows.withColumn("so_far", F.lit(0.0)), []
+        for k in range(self.depth, 0, -1):
+            values = self.values[k].select(F.col("string").alias("s"), "log")
+            told = left.join(small_or_shuffled(values, 16), _last(F.col("w"), k + 1) == F.col("s"), "left") \
+                .join(small_or_shuffled(self.shares[k], 16), F.shiftrightunsigned(_last(F.col("w"), k + 1), 8) == F.col("context"), "left")
+            told = saved(told.select("w", "so_far", "log", F.coalesce("share", F.lit(0.0)).alias("share")), "resolved")
+            done.append(told.where("log IS NOT NULL").select("w", (F.col("so_far") + F.col("log")).alias("log")))
+            left = told.where("log IS NULL").select("w", (F.col("so_far") + F.col("share")).alias("so_far"))
+        out = left.select("w", (F.col("so_far") + self.root_log(_last(F.col("w"), 1))).alias("log"))
+        for part in done:
+            out = out.unionByName(part)
+        return out
 
 
 def score(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, heavy: float = HEAVY) -> DataFrame:
@@ -191,25 +265,30 @@ def score(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, heavy: floa
     often = counts.where(F.col("c") >= max(1, heavy * n)).toArrow()  # at most 1 / heavy words
     base = Table(often["word"].to_numpy(), np.log10((often["c"].to_numpy() + 1) / (n + v + 1)))
     end = float(np.log10((texts + 1) / (n + v + 1)))
-    tree = fit(train.select(stream(F.col("text")).alias("stream")), depth, p_min)
+    tree = Levels(train.select(stream(F.col("text")).alias("stream")), depth)
+    hot = tree.hot(p_min)
 
     def run(batches):
         for batch in batches:
             for part in _slices(batch, "stream", SCORE_SLICE):
-                yield _score_part(part, tree, base, end, texts > 0)
+                yield _score_part(part, depth, hot, base, end, texts > 0)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = saved(told.select("doc_id", "held_out", hashed.alias("words"), stream(F.col("text")).alias("stream"))
-                   .mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
+                   .mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, open array<long>")
                    .withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count(F.lit(1)).alias("times"))
     c = F.coalesce("c", F.lit(0))
     sums = rare.join(counts, F.col("w") == F.col("word"), "left").groupBy(F.col("row").alias("r")).agg(
         F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("rare_base"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    return scored.drop("rare").join(sums, F.col("row") == F.col("r"), "left").select(
+    opened = scored.select("row", F.explode("open").alias("w"))
+    resolved = saved(tree.resolve(saved(opened.select("w").distinct(), "windows")), "open")
+    logs = opened.join(small_or_shuffled(resolved, 16), "w").groupBy(F.col("row").alias("o")).agg(F.sum("log").alias("open_log"))
+    return scored.drop("rare", "open").join(sums, F.col("row") == F.col("r"), "left").join(logs, F.col("row") == F.col("o"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("open_log", F.lit(0.0))).alias("score"))
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -220,18 +299,23 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score_part(part: pa.RecordBatch, tree: Tree, base: Table, end: float, end_known: bool) -> pa.RecordBatch:
-    windows, offsets = _windows(part["stream"], tree.depth)
-    log = tree.log10(windows, tree.depth)
-    log[offsets[:-1]] = 0  # the mark at the start is given
+def _left(found: np.ndarray, known: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> pa.ListArray:
+    """The keys of each text that were not found."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - known)]).astype(np.int32)), pa.array(keys[~found]))
+
+
+def _score_part(part: pa.RecordBatch, depth: int, hot: Table, base: Table, end: float, end_known: bool) -> pa.RecordBatch:
+    windows, offsets = _windows(part["stream"], depth)
+    seen, log = hot.find(windows)
+    seen[offsets[:-1]], log[offsets[:-1]] = True, 0  # the mark at the start is given
     lists = part["words"]
     at = lists.offsets.to_numpy().astype(np.int64)
     hashes = lists.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]] if at[-1] > at[0] else np.zeros(0, np.int64)
     at = at - at[0]
     found, value = base.find(hashes)
     known = _sums(found.astype(np.int64), at)
-    rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(at) - known)]).astype(np.int32)), pa.array(hashes[~found]))
     return pa.RecordBatch.from_arrays(
         [part["doc_id"], part["held_out"], pa.array(np.diff(at) + 1), pa.array(known + int(end_known)),
-         pa.array(_sums(value, at) + end), pa.array(_sums(log, offsets)), rare],
-        names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+         pa.array(_sums(value, at) + end), pa.array(_sums(log, offsets)), _left(found, known, np.diff(at), hashes),
+         _left(seen, _sums(seen.astype(np.int64), offsets), np.diff(offsets), windows)],
+        names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "open"])

@@ -225,6 +225,19 @@ def test_suffix_tree(spark, docs):
                    and x["base_score"] == pytest.approx(base) and x["score"] == pytest.approx(score) for x in told[r[0]]), r[0]
 
 
+def test_suffix_tree_keeps_rare_contexts(spark, docs):
+    """What the tree holds does not depend on the share of a context, nor on what is broadcast."""
+    rows, depth = [r for r in corpus() if r[0] is not None], 3
+    streams = {r[0]: b"\n" + " ".join(tokens(lower_ascii(r[1] or ""))).replace("\x00", "\x01").encode() + b"\n" for r in rows}
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    p = brute_tree([streams[r[0]] for r in train], depth, suffix_model.GAIN, suffix_model.DISCOUNT, 2)
+    got = suffix_model.score(docs.where("doc_id IS NOT NULL"), depth=depth, p_min=0.01).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s = streams[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(math.log10(p(s[max(0, i - depth):i], s[i])) for i in range(1, len(s)))), r["doc_id"]
+
+
 def test_suffix_tree_distributions_sum_to_one(spark, docs):
     tree = suffix_model.fit(docs.select(suffix_model.stream(docs.text).alias("stream")), depth=4)
     for context in (b"\n", b" w1 ", b"w12", b"\xc3", b"zzzz", b" a b"):
