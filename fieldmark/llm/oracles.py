@@ -111,3 +111,35 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND score >= -0.2 AS kept FROM m
 """
+
+# Every document that shares a term with an item, scored in full.
+ORACLES["op11_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS no, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT no, term, count(*) AS times FROM (SELECT no, unnest(w) AS term FROM i) GROUP BY no, term),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY row, term),
+s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+f AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term, n),
+m AS (SELECT row, doc_id, 25 + (75 * len(w) * n) // l AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT q.no, m.row, m.doc_id, sum(q.times * f.weight * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m)))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+SELECT i.item_id, r.rank::INTEGER AS rank, r.doc_id, r.score FROM r JOIN i USING (no) WHERE r.rank <= 10
+"""
+
+# All anchors with all rows; windows by positives.
+ORACLES["op13_hard_negatives"] = r"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT a.row, a.vec_id AS anchor_id, b.row AS other, b.vec_id AS id, a.label = b.label AS same,
+             list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row <> b.row AND len(a.e) = len(b.e)),
+p AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, id NULLS LAST) AS place FROM x WHERE same),
+n AS (SELECT p.anchor_id, p.id AS positive_id, x.id AS negative_id, p.score AS positive_score, x.score AS negative_score,
+             row_number() OVER (PARTITION BY p.row, p.place ORDER BY x.score DESC, x.id NULLS LAST) AS rank
+      FROM p JOIN x ON x.row = p.row AND NOT x.same AND 30 * p.score <= 100 * x.score AND 100 * x.score <= 90 * p.score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""

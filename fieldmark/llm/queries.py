@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fixity, licenses, mixture, near, packing, quality, secret_scan, suffix_model, vectors
+from . import chat, fixity, lexical, licenses, mixture, near, negatives, packing, pii, quality, secret_scan, suffix_model, vectors
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=negatives.relabelled())
+
+
 QUERIES = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_quality_rules": op2_quality_rules,
@@ -65,4 +77,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_pii_spans": op12_pii_spans,
+    "op13_hard_negatives": op13_hard_negatives,
 }
