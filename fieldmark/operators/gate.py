@@ -39,13 +39,29 @@ def paired(pairs: DataFrame, per_run: DataFrame) -> DataFrame:
         .drop("b_run_id", "a_run_id")
 
 
+def paired_with(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``paired`` where the after side is one row for each pair (``pair_id``), such as merged retries."""
+    a = after.select("pair_id", *[F.col(c).alias(f"a_{c}") for c in after.columns if c != "pair_id"])
+    return pairs.join(_side(before, "b", "run_id"), F.col("before_run_id") == F.col("b_run_id")).join(a, "pair_id").drop("b_run_id")
+
+
 def changed_documents(pairs: DataFrame, scored: DataFrame) -> DataFrame:
     """J2 + T4: documents in both runs whose overall crossed 1: 'fixed' or 'newly broken'
     (with the after row's missed fields)."""
-    b = scored.select(F.col("run_id").alias("before_run_id"), "file", F.col("scores.overall").alias("b_overall"))
     a = scored.select(F.col("run_id").alias("after_run_id"), "file", F.col("scores.overall").alias("a_overall"),
                       missed_fields().alias("missed"))
-    j = b.join(dimension(pairs), "before_run_id").join(a, ["after_run_id", "file"])
+    return _changed(pairs, scored, a, ["after_run_id", "file"])
+
+
+def changed_from(pairs: DataFrame, scored: DataFrame, after: DataFrame) -> DataFrame:
+    """``changed_documents`` where the after rows are given under their pair (``pair_id``), such as merged retries."""
+    a = after.select("pair_id", "file", F.col("scores.overall").alias("a_overall"), missed_fields().alias("missed"))
+    return _changed(pairs, scored, a, ["pair_id", "file"])
+
+
+def _changed(pairs: DataFrame, scored: DataFrame, a: DataFrame, on: list[str]) -> DataFrame:
+    b = scored.select(F.col("run_id").alias("before_run_id"), "file", F.col("scores.overall").alias("b_overall"))
+    j = b.join(dimension(pairs), "before_run_id").join(a, on)
     change = F.when((F.col("b_overall") < 1.0) & (F.col("a_overall") >= 1.0), F.lit("fixed")) \
         .when((F.col("b_overall") == 1.0) & (F.col("a_overall") < 1.0), F.lit("newly broken"))
     return j.select("pair_id", "file", change.alias("change"),
@@ -160,9 +176,10 @@ def describe_change(pr: DataFrame) -> DataFrame:
 
 
 def verdict(pm: DataFrame, changes: DataFrame, retry_cost: DataFrame | None = None,
-            before_cached: bool = False) -> DataFrame:
+            before_cached: bool | Column = False) -> DataFrame:
     """Reasons, verdict and run cost per pair (counts of fixed and newly broken
-    documents; the documents themselves are in ``changes``)."""
+    documents; the documents themselves are in ``changes``). The cost is that of the after run, the retries and,
+    unless its results were at hand (``before_cached``, for all pairs or a column of ``retry_cost``), the before run."""
     counts = changes.groupBy("pair_id").agg(F.count_if(F.col("change") == "fixed").alias("fixed"),
                                              F.count_if(F.col("change") == "newly broken").alias("newly_broken"))
     j = pm.join(counts, "pair_id", "left").fillna(0, ["fixed", "newly_broken"])
@@ -188,8 +205,8 @@ def verdict(pm: DataFrame, changes: DataFrame, retry_cost: DataFrame | None = No
         .when(F.size(warnings) > 0, F.lit(VERDICT_WARN)).otherwise(F.lit(VERDICT_PASSED))
     reasons = F.when(F.size(failures) > 0, F.array_join(failures, "; ")) \
         .otherwise(F.array_join(warnings, "; "))
-    run_cost = a("total_cost") + F.coalesce("retry_cost", F.lit(0.0)) + \
-        (F.lit(0.0) if before_cached else b("total_cost"))
+    cached = F.lit(before_cached) if isinstance(before_cached, bool) else before_cached
+    run_cost = a("total_cost") + F.coalesce("retry_cost", F.lit(0.0)) + F.when(cached, F.lit(0.0)).otherwise(b("total_cost"))
     return j.select("pair_id", "before_run_id", "after_run_id", "fixed", "newly_broken",
                     v.alias("verdict"), reasons.alias("reasons"), (F.size(failures) > 0).alias("gate_failed"),
                     run_cost.alias("run_cost"))

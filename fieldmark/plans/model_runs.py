@@ -15,7 +15,8 @@ from ..operators.dims import dimension
 from ..operators import metrics as M
 from ..operators.extract_model import apply_retries, batch_extract, parse_replies
 from ..operators.scoring import score_runs, scores
-from ..sources.tables import Fixtures
+from ..sources.call_ledger import KEY, call_once, prompt_hash
+from ..sources.tables import Fixtures, scratch_path
 from . import evaluation as EV
 from . import extraction as EX
 
@@ -38,11 +39,10 @@ def make_first_line_reader():
 def stub_run_scored(fx: Fixtures) -> DataFrame:
     """U1 -> E11 -> E13, then J1 + C6 against the answer key, one run per dataset."""
     docs = EX.doc_text(fx).select("file", "k", "text", "dataset")
-    calls = batch_extract(docs.select("file", "k", "text"), make_first_line_reader, "stub", STUB_MODEL,
-                          max_retries=0)
-    rows = parse_replies(calls).join(docs.select("file", "dataset"), "file") \
-        .withColumn("run_id", F.concat(F.lit("stub__"), "dataset")).drop("dataset", "cost_usd")
-    runs = docs.select("dataset").distinct().select(F.concat(F.lit("stub__"), "dataset").alias("run_id"), "dataset")
+    calls = batch_extract(docs, make_first_line_reader, "stub", STUB_MODEL, max_retries=0, keep=("file", "dataset"))
+    rows = parse_replies(calls).withColumn("run_id", F.concat(F.lit("stub__"), "dataset")) \
+        .select("run_id", "file", "fields", "input_tokens", "output_tokens", "seconds", "model", "note", "error")
+    runs = EV.truth(fx).select("dataset").distinct().select(F.concat(F.lit("stub__"), "dataset").alias("run_id"), "dataset")
     return score_runs(EV.truth(fx), runs, rows)
 
 
@@ -58,45 +58,67 @@ def make_retry_reader():
     return extract
 
 
-def retried_after_runs(fx: Fixtures) -> DataFrame:
-    """G7 over every consecutive pair of model runs: newly broken documents of the after run are
-    extracted once more; only a perfect retry replaces the row. Returns the after rows (all
-    documents of the after run) with retried, retry_cost and retry_error, keyed by pair."""
+TRUTH_FIELDS = ["vendor_name", "invoice_number", "invoice_date", "due_date", "bill_to", "currency", "subtotal", "tax", "total", "line_items"]
+
+
+def newly_broken(fx: Fixtures) -> DataFrame:
+    """What the gate asks again: the newly broken documents of each pair, under the ledger's key, with what the local
+    retry reader needs to answer."""
     scored, truth, runs = EV.scored(fx), EV.truth(fx), fx["runs"]
     pairs = G.pair_consecutive(runs)
-    broken = G.changed_documents(pairs, scored).where(F.col("change") == "newly broken")
-    b = broken.join(pairs.select("pair_id", "after_run_id"), "pair_id") \
-        .join(scored.select(F.col("run_id").alias("after_run_id"), "file", "k", "fields"), ["after_run_id", "file"]) \
-        .join(truth.select("file", F.size("line_items").alias("n_lines"),
-                           F.to_json(F.struct(*[c for c in ["vendor_name", "invoice_number", "invoice_date", "due_date",
-                                                          "bill_to", "currency", "subtotal", "tax", "total",
-                                                          "line_items"]])).alias("truth_json")), "file") \
-        .withColumn("pred_json", F.to_json("fields"))
-    model = runs.select(F.col("run_id").alias("after_run_id"), "model")
-    docs = b.join(model, "after_run_id").select(F.concat("pair_id", F.lit("|"), "file").alias("file"), "k",
-                                                "n_lines", "truth_json", "pred_json", "model")
-    calls = batch_extract(docs.drop("model"), make_retry_reader, "retry", STUB_MODEL, max_retries=0) \
-        .drop("model").join(docs.select("file", "model"), "file")
-    parsed = parse_replies(calls).withColumn("pair_id", F.split("file", r"\|")[0]) \
-        .withColumn("file", F.split("file", r"\|")[1])
-    tcols = {c: F.col(f"t.{c}") for c in ["vendor_name", "invoice_number", "invoice_date", "due_date", "bill_to",
-                                          "currency", "subtotal", "tax", "total", "line_items"]}
-    rescored = parsed.alias("p").join(truth.alias("t"), "file") \
-        .select("pair_id", "file", "p.fields", "p.error", "p.cost_usd", scores(F.col("p.fields"), tcols).alias("scores"))
-    after = scored.join(dimension(pairs.select("pair_id", F.col("after_run_id").alias("run_id"))), "run_id")
-    merged = apply_retries(after.withColumn("run_id", F.col("pair_id")),
-                           rescored.withColumn("run_id", F.col("pair_id")).drop("pair_id"))
-    return merged
+    broken = G.changed_documents(pairs, scored).where(F.col("change") == "newly broken").select("pair_id", "file")
+    heads = pairs.select("pair_id", F.col("after_run_id").alias("run_id"), "dataset") \
+        .join(runs.select("run_id", F.col("model").alias("method"), prompt_hash(F.col("prompt")).alias("prompt_hash")), "run_id")
+    keys = truth.select("file", F.size("line_items").alias("n_lines"), F.to_json(F.struct(*TRUTH_FIELDS)).alias("truth_json"))
+    return broken.join(dimension(heads), "pair_id").withColumn("purpose", F.concat(F.lit("retry of "), "run_id")) \
+        .join(scored.select("run_id", "file", "k", F.to_json("fields").alias("pred_json")), ["run_id", "file"]).join(keys, "file")
+
+
+def retried_after_runs(fx: Fixtures) -> DataFrame:
+    """G7 over every consecutive pair of model runs: newly broken documents of the after run are
+    extracted once more, through the call ledger; only a perfect retry replaces the row. The after rows (all
+    documents of the after run) with pair_id, retried, retry_cost and retry_error, stored by pair."""
+    return fx.derived("retried_after", lambda: _retried_after_runs(fx), ["pair_id"])
+
+
+def _retried_after_runs(fx: Fixtures) -> DataFrame:
+    asked = fx.derived("newly_broken", lambda: newly_broken(fx))
+    calls = call_once(asked, scratch_path(fx.spark, "calls"), make_retry_reader, "retry", STUB_MODEL, max_retries=0)
+    # the calls of all runs are made by one reader here; each is paid at the price of its run's model
+    parsed = parse_replies(calls.withColumn("model", F.col("method"))).drop("run_id")
+    truth = EV.truth(fx)
+    answers = asked.select("pair_id", "run_id", *KEY).join(parsed, KEY) \
+        .join(truth.select("file", *[F.col(c).alias(f"t_{c}") for c in TRUTH_FIELDS]), "file")
+    rescored = answers.withColumn("scores", scores(F.col("fields"), {c: F.col(f"t_{c}") for c in TRUTH_FIELDS}))
+    pairs = G.pair_consecutive(fx["runs"]).select("pair_id", F.col("after_run_id").alias("run_id"))
+    after = EV.scored(fx).join(dimension(pairs), "run_id")
+    return apply_retries(after, rescored, ("pair_id", "run_id", "file"))
 
 
 def retry_summary(fx: Fixtures) -> DataFrame:
     """Per pair: documents retried, passed on retry, retry failures, retry cost, and the after
     run's accuracy once passed retries are merged (A9's retry cost input)."""
     m = retried_after_runs(fx)
-    return m.groupBy(F.col("run_id").alias("pair_id")).agg(
+    return m.groupBy("pair_id").agg(
         F.count_if(F.col("retry_cost").isNotNull()).alias("retried"),
         F.count_if(F.col("retried")).alias("passed_on_retry"),
         F.count_if(F.col("retry_error").isNotNull()).alias("retry_errors"),
         F.coalesce(F.sum("retry_cost"), F.lit(0.0)).alias("retry_cost"),
         F.avg("scores.overall").alias("accuracy_after_retry"),
         F.count_if(M.perfect()).alias("perfect_after_retry"))
+
+
+def verdict_after_retry(fx: Fixtures) -> DataFrame:
+    """G6 + A9 over the merged rows: what the gate decides once retries that passed count. The before run's rows come
+    from the store where it was itself gated before (the after run of an earlier pair): then it costs nothing again."""
+    merged = retried_after_runs(fx)
+    pairs = G.pair_consecutive(fx["runs"])
+    before = M.gate_metrics(EV.summary(fx))
+    after = M.gate_metrics(M.summarize(merged, ["pair_id"]), ["pair_id"])
+    pm = G.paired_with(pairs, before, after)
+    changes = G.changed_from(pairs, EV.scored(fx), merged)
+    gated = pairs.select(F.col("after_run_id").alias("before_run_id"), F.lit(True).alias("cached"))
+    retries = retry_summary(fx).select("pair_id", "retried", "passed_on_retry", "retry_errors", "retry_cost") \
+        .join(pairs.join(gated, "before_run_id", "left").select("pair_id", F.coalesce("cached", F.lit(False)).alias("before_cached")), "pair_id")
+    v = G.verdict(pm, changes, retries.select("pair_id", "retry_cost", "before_cached"), F.col("before_cached"))
+    return v.join(retries, "pair_id")

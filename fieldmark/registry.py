@@ -818,3 +818,126 @@ def e12_reply_conformance(fx: Fixtures) -> DataFrame:
         F.count_if(F.size("c.missing") > 0).alias("with_missing"),
         F.count_if(F.size("c.extra") > 0).alias("with_extra"),
         F.count_if(F.size("c.wrong_type") > 0).alias("with_wrong_type"))
+
+
+# ---------------------------------------------------------------- G6 over G7: the verdict once retries count
+def _retry_verdict_oracle() -> str:
+    """The merged rows recomputed: a passed retry has every score 1, no flag and no failure."""
+    price_in, price_out = O.price("ra.model", 0), O.price("ra.model", 1)
+    hit = "coalesce(c.change = 'newly broken', false)"
+    ok = f"({hit} AND s.k % 3 <> 0 AND s.k % 2 = 0)"
+    return O.with_ctes(O.SCORED_FIXTURES, [O.SCORED_CTES, O.SUMMARY_CTE, O.GATE_CTES, f"""
+o_merged AS (
+  SELECT p.pair_id, s.file, CASE WHEN {ok} THEN 1.0 ELSE s.overall END AS overall, NOT {ok} AND s.is_flagged AS is_flagged,
+         NOT {ok} AND s.is_failed AS is_failed, s.cost_usd, s.seconds, {hit} AS asked, {ok} AS passed, {hit} AND s.k % 3 = 0 AS retry_failed,
+         CASE WHEN {hit} AND s.k % 3 <> 0 THEN CAST(1800 + s.k % 700 AS DOUBLE) / 1000000.0 * {price_in}
+              + CAST(150 + 40 * s.n_true AS DOUBLE) / 1000000.0 * {price_out} ELSE 0.0 END AS retry_cost,
+         c.change = 'fixed' AS is_fixed
+  FROM o_pairs p JOIN runs ra ON ra.run_id = p.after_run_id JOIN o_scored s ON s.run_id = p.after_run_id
+  LEFT JOIN o_changes c ON c.pair_id = p.pair_id AND c.file = s.file),
+o_after AS (
+  SELECT pair_id, avg(overall) AS accuracy, count(*) FILTER (WHERE overall = 1.0) AS perfect, count(*) FILTER (WHERE overall < 1.0 AND NOT is_flagged AND NOT is_failed) AS silent,
+         count(*) FILTER (WHERE is_flagged) AS flagged, count(*) FILTER (WHERE is_flagged AND overall = 1.0) AS false_alarms, avg(cost_usd) AS cost,
+         sum(cost_usd) AS total_cost, avg(seconds) AS seconds, count(*) FILTER (WHERE is_failed) AS failed, count(*) FILTER (WHERE asked) AS retried,
+         count(*) FILTER (WHERE passed) AS passed_on_retry, count(*) FILTER (WHERE retry_failed) AS retry_errors, sum(retry_cost) AS retry_cost,
+         count(*) FILTER (WHERE is_fixed) AS fixed, count(*) FILTER (WHERE asked AND NOT passed) AS newly_broken
+  FROM o_merged GROUP BY pair_id),
+o_final AS (
+  SELECT m.pair_id, m.before_run_id, m.after_run_id, a.*EXCLUDE (pair_id), m.b_total_cost, m.before_run_id IN (SELECT after_run_id FROM o_pairs) AS before_cached,
+    list_filter([CASE WHEN a.accuracy < m.b_accuracy - 0.005 THEN 'field accuracy went down' END, CASE WHEN a.perfect < m.b_perfect THEN 'fewer perfect invoices' END,
+      CASE WHEN a.silent > m.b_silent THEN 'more silent errors' END, CASE WHEN a.failed > m.b_failed THEN 'more failed requests' END,
+      CASE WHEN a.newly_broken > 0 THEN 'an invoice that used to be fully correct now has a mistake' END], lambda x: x IS NOT NULL) AS fails,
+    list_filter([CASE WHEN a.flagged > m.b_flagged THEN 'flagged for review went up' END, CASE WHEN a.false_alarms > m.b_false_alarms THEN 'false alarms went up' END,
+      CASE WHEN m.b_cost <> 0 AND (a.cost - m.b_cost) / m.b_cost > 0.2 THEN 'cost per invoice up ' || {O.fixed('(a.cost - m.b_cost) / m.b_cost * 100', 0)} || '%' END,
+      CASE WHEN m.b_seconds <> 0 AND (a.seconds - m.b_seconds) / m.b_seconds > 0.3 THEN 'avg seconds per invoice up ' || {O.fixed('(a.seconds - m.b_seconds) / m.b_seconds * 100', 0)} || '%' END],
+      lambda x: x IS NOT NULL) AS warns
+  FROM o_pm m JOIN o_after a ON a.pair_id = m.pair_id)"""], f"""
+SELECT pair_id, before_run_id, after_run_id, CAST(fixed AS BIGINT) AS fixed, CAST(newly_broken AS BIGINT) AS newly_broken,
+  CASE WHEN len(fails) > 0 THEN 'failed' WHEN len(warns) > 0 THEN 'passed with warnings' ELSE 'passed' END AS verdict,
+  array_to_string(CASE WHEN len(fails) > 0 THEN fails ELSE warns END, '; ') AS reasons, len(fails) > 0 AS gate_failed,
+  {O.r9('total_cost + retry_cost + CASE WHEN before_cached THEN 0.0 ELSE b_total_cost END')} AS run_cost,
+  CAST(retried AS BIGINT) AS retried, CAST(passed_on_retry AS BIGINT) AS passed_on_retry, CAST(retry_errors AS BIGINT) AS retry_errors,
+  {O.r9('retry_cost')} AS retry_cost, before_cached FROM o_final""")
+
+
+@register("g6_verdict_after_retry", _retry_verdict_oracle())
+def g6_verdict_after_retry(fx: Fixtures) -> DataFrame:
+    """G6 + A9 over G7: newly broken documents asked once more through the call ledger, passed retries merged,
+    then metrics, changed documents, verdict and run cost (retries included, cached before runs free)."""
+    return MR.verdict_after_retry(fx)
+
+
+@register("g7_passed_on_retry", O.gate_query(
+    "SELECT c.pair_id, c.file, s.k FROM o_changes c JOIN o_pairs p ON p.pair_id = c.pair_id JOIN o_scored s ON s.run_id = p.after_run_id AND s.file = c.file "
+    "WHERE c.change = 'newly broken' AND s.k % 3 <> 0 AND s.k % 2 = 0"))
+def g7_passed_on_retry(fx: Fixtures) -> DataFrame:
+    """The documents that passed on retry (missed on the first run, right on the second), by pair."""
+    return MR.retried_after_runs(fx).where("retried").select("pair_id", "file", "k")
+
+
+# ---------------------------------------------------------------- E11, E12 over replies with items
+from .operators.extract_model import CUT_OFF, parse_replies, reply_violations  # noqa: E402
+
+_REPLY_ERROR = ("CASE WHEN stop_reason = 'max_tokens' THEN " + O.q(CUT_OFF) + " WHEN reply = '' THEN NULL WHEN NOT json_valid(reply) THEN "
+                "'Reply is not valid JSON: ' || substr(reply, 1, 80) WHEN json_type(reply) <> 'OBJECT' THEN 'Reply is not a JSON object' END")
+
+
+def _parsed_oracle() -> str:
+    def text(path: str) -> str:
+        return f"json_extract_string(j, '{path}')"
+    flag = "j->'needs_review'"
+    kind = "json_type(j, '$.needs_review')"
+    return O.with_ctes(["item_replies"], [], f"""
+SELECT run_id, file, error, reply, {text('$.vendor_name')} AS vendor_name, {O.r9(f"TRY_CAST({text('$.tax')} AS DOUBLE)")} AS tax, {O.r9(f"TRY_CAST({text('$.total')} AS DOUBLE)")} AS total,
+  CASE WHEN j IS NULL OR {kind} IS NULL THEN NULL ELSE CAST({flag} AS VARCHAR) NOT IN ('false', 'null', '""', '0', '[]', '{{}}') END AS needs_review,
+  CASE WHEN json_type(j, '$.line_items') = 'ARRAY' THEN CAST(json_array_length(j, '$.line_items') AS INTEGER) END AS n_items,
+  {text('$.line_items[0].unit_price')} IS NOT NULL AS first_has_price, {O.r9(f"TRY_CAST({text('$.line_items[1].amount')} AS DOUBLE)")} AS second_amount,
+  CASE WHEN error IS NULL THEN input_tokens ELSE 0 END AS input_tokens, CASE WHEN error IS NULL THEN output_tokens ELSE 0 END AS output_tokens
+FROM (SELECT *, CASE WHEN error IS NULL AND reply <> '' THEN reply::JSON END AS j FROM (SELECT *, {_REPLY_ERROR} AS error FROM item_replies) a) b""")
+
+
+@register("e11_parsed_replies", _parsed_oracle())
+def e11_parsed_replies(fx: Fixtures) -> DataFrame:
+    """Replies parsed property by property; odd ones keep their record and tokens, unusable ones their text."""
+    calls = fx["item_replies"].select("run_id", "file", "reply", "stop_reason", "input_tokens", "output_tokens", F.lit(1.0).alias("seconds"),
+                                      F.lit(MR.STUB_MODEL).alias("model"), F.lit(None).cast("string").alias("error"))
+    p, items = parse_replies(calls), F.col("fields.line_items")
+    return p.select("run_id", "file", "error", "reply", "fields.vendor_name", F.col("fields.tax").try_cast("double").alias("tax"),
+                    F.col("fields.total").try_cast("double").alias("total"), "fields.needs_review", F.when(items.isNotNull(), F.size(items)).alias("n_items"),
+                    F.coalesce(F.get(items, 0)["unit_price"].isNotNull(), F.lit(False)).alias("first_has_price"),
+                    F.get(items, 1)["amount"].try_cast("double").alias("second_amount"), "input_tokens", "output_tokens")
+
+
+def _violations_oracle() -> str:
+    good = {"number": "('DOUBLE', 'BIGINT', 'UBIGINT')", "string": "('VARCHAR')", "boolean": "('BOOLEAN')", "list": "('ARRAY')", "object": "('OBJECT')"}
+    numbers, others = ["subtotal", "tax", "total"], [k for k in _REQ if k not in ("subtotal", "tax", "total", "line_items", "needs_review")]
+    kinds = {**{k: "number" for k in numbers}, **{k: "string" for k in others}, "line_items": "list", "needs_review": "boolean"}
+    item = {"description": "string", "quantity": "number", "unit_price": "number", "amount": "number"}
+    parts = ["SELECT run_id, file, '' AS path, 'not JSON' AS problem FROM r WHERE NOT ok",
+             "SELECT run_id, file, '' AS path, 'not a object' AS problem FROM r WHERE ok AND json_type(reply) <> 'OBJECT'"]
+
+    def typed(path: str, at: str, kind: str, where: str) -> None:
+        parts.append(f"SELECT run_id, file, '{path}' AS path, 'not a {kind}' AS problem FROM o WHERE {where} AND json_type(j, '{at}') IS NOT NULL AND json_type(j, '{at}') NOT IN {good[kind]}")
+
+    def named(path: str, at: str, names: list[str], where: str) -> None:
+        listed = "[" + ", ".join(O.q(n) for n in names) + "]"
+        parts.append(f"SELECT run_id, file, '{path}' || unnest(list_filter({listed}, lambda x: NOT list_contains(json_keys(j, '{at}'), x))) AS path, 'missing' AS problem FROM o WHERE {where}")
+        parts.append(f"SELECT run_id, file, '{path}' || unnest(list_filter(json_keys(j, '{at}'), lambda x: NOT list_contains({listed}, x))) AS path, 'extra' AS problem FROM o WHERE {where}")
+    named("", "$", list(kinds), "true")
+    for name, kind in kinds.items():
+        typed(name, f"$.{name}", kind, "true")
+    for i in range(2):
+        inside = f"json_type(j, '$.line_items') = 'ARRAY' AND json_type(j, '$.line_items[{i}]') IS NOT NULL"
+        typed(f"line_items[{i}]", f"$.line_items[{i}]", "object", inside)
+        whole = f"{inside} AND json_type(j, '$.line_items[{i}]') = 'OBJECT'"
+        named(f"line_items[{i}].", f"$.line_items[{i}]", list(item), whole)
+        for name, kind in item.items():
+            typed(f"line_items[{i}].{name}", f"$.line_items[{i}].{name}", kind, whole)
+    return O.with_ctes(["item_replies"], ["r AS (SELECT *, json_valid(reply) AS ok FROM item_replies)",
+                                          "o AS (SELECT *, reply::JSON AS j FROM r WHERE ok AND json_type(reply) = 'OBJECT')"], " UNION ALL ".join(parts))
+
+
+@register("e12_nested_violations", _violations_oracle())
+def e12_nested_violations(fx: Fixtures) -> DataFrame:
+    """Where each reply departs from the record's shape, line items included, as paths."""
+    return reply_violations(fx["item_replies"].select("run_id", "file", "reply"))

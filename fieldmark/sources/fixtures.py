@@ -300,3 +300,32 @@ SELECT run_id, file, k,
   || CASE WHEN k % 17 = 0 THEN ', "po_number": "PO-1"' ELSE '' END || '}}' AS reply
 FROM {run_calls_base} WHERE method = 'claude'
 """)
+
+# Replies with up to two line items (the first and the last of the document), damaged on some documents: an
+# amount as text, a price left out, an item that is a text, an unknown item property, items that are no list, a flag
+# as text or number, a number for a name, text behind the object, a list instead of an object, a cut-off reply.
+_fx("item_replies", ["run_calls_base", "inv_lines"], """
+SELECT run_id, file, k, input_tokens, output_tokens, stop_reason,
+  CASE WHEN k % 41 = 3 THEN body || ' Here you are.' WHEN k % 43 = 5 THEN '[' || body || ']' WHEN k % 47 = 6 THEN ''
+       WHEN stop_reason = 'max_tokens' THEN substr(body, 1, 40) ELSE body END AS reply
+FROM (
+  SELECT b.run_id, b.file, b.k, CAST(1800 + b.k % 700 AS BIGINT) AS input_tokens, CAST(150 + 40 * b.n_lines AS BIGINT) AS output_tokens,
+    CASE WHEN b.k % 37 = 2 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
+    '{{"vendor_name": ' || CASE WHEN b.k % 31 = 4 THEN '365' ELSE '"' || b.t_vendor_name || '"' END
+    || ', "invoice_number": "' || b.t_invoice_number || '", "invoice_date": "' || b.t_invoice_date || '", "due_date": "' || b.t_due_date
+    || '", "bill_to": "' || b.t_bill_to || '", "currency": "' || b.t_currency || '", "subtotal": ' || CAST(b.t_subtotal AS STRING)
+    || ', "tax": ' || CASE WHEN b.k % 29 = 1 THEN 'null' ELSE CAST(b.t_tax AS STRING) END || ', "total": "' || CAST(b.t_total AS STRING) || '"'
+    || ', "line_items": ' || CASE WHEN b.k % 23 = 5 THEN '"none"' ELSE '[' || coalesce(f.item, '') || coalesce(', ' || g.item, '') || ']' END
+    || ', "needs_review": ' || CASE b.k % 13 WHEN 5 THEN '"yes"' WHEN 6 THEN '""' WHEN 7 THEN '0' WHEN 8 THEN '2' WHEN 9 THEN 'true' ELSE 'false' END
+    || ', "review_reason": ""}}' AS body
+  FROM {run_calls_base} b
+  LEFT JOIN (SELECT k, CASE WHEN k % 11 = 3 THEN '"see attachment"' ELSE '{{"description": "' || description || '"'
+               || CASE WHEN k % 9 = 4 THEN ', "sku": "A-1"' ELSE '' END || ', "quantity": ' || CAST(quantity AS STRING)
+               || CASE WHEN k % 7 = 2 THEN '' ELSE ', "unit_price": ' || CAST(unit_price AS STRING) END
+               || ', "amount": ' || CAST(amount AS STRING) || '}}' END AS item FROM {inv_lines} WHERE line_no = 1) f ON f.k = b.k
+  LEFT JOIN (SELECT k, '{{"description": "' || description || '", "quantity": ' || CAST(quantity AS STRING) || ', "unit_price": ' || CAST(unit_price AS STRING)
+               || ', "amount": ' || CASE WHEN k % 5 = 1 THEN '"' || CAST(amount AS STRING) || '"' ELSE CAST(amount AS STRING) END || '}}' AS item
+             FROM {inv_lines} WHERE rev_no = 1 AND line_no > 1) g ON g.k = b.k
+  WHERE b.method = 'claude'
+) x
+""")
