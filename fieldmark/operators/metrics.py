@@ -70,13 +70,20 @@ def _per(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(0.0)) / F.greatest(F.col("documents"), F.lit(1))
 
 
-def summarize(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def summarize(scored: DataFrame, keys: list[str] | None = None, runs: DataFrame | None = None) -> DataFrame:
     """A1: documents, overall accuracy, perfect documents, accuracy per field, flagged, errors,
-    cost (total / average / max), average seconds and token totals; an empty run gives zeros."""
+    cost (total / average / max), average seconds and token totals. With ``runs`` (one row a run, carrying ``keys``) the
+    result has one row for each of them, its other columns included, and a run without rows has zeros; without
+    it, only what occurs in the rows is there."""
     keys = keys or ["run_id"]
     a = _run_aggregates(scored, keys)
+    others = []
+    if runs is not None:
+        others = [c for c in runs.columns if c not in keys]
+        counts = ["documents", "perfect_documents", "flagged_for_review", "errors", "silent", "false_alarms"]
+        a = runs.join(a, keys, "left").fillna(0, counts)
     return a.select(
-        *keys, "documents",
+        *keys, *others, "documents",
         _per("_sum_overall").alias("overall_accuracy"),
         "perfect_documents",
         *[_per(f"_sum_{f}").alias(f"acc_{f}") for f in SCORED_FIELDS],

@@ -159,14 +159,18 @@ def review_events(subs: DataFrame, rows: DataFrame) -> DataFrame:
                     F.when(~deleted, original).alias("original"))
 
 
-def latest_reviews(events: DataFrame) -> DataFrame:
-    """Latest decision per (run, file); a tombstone as the latest event means no review.
+def latest_events(events: DataFrame) -> DataFrame:
+    """The latest event per (run, file), by time, then sequence; tombstones included.
+
+    A struct value in ``max_by`` makes Spark aggregate by sorting, on both sides of the exchange, with the nested
+    records in it; ranking sorts the same rows but keeps only one per key before the exchange."""
+    order = Window.partitionBy("run_id", "file").orderBy(F.desc("reviewed_at"), F.desc("event_seq"))
+    return events.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
-    One aggregation with ``max_by`` (partial on the map side) instead of a sort per key."""
-    order_key = F.struct("reviewed_at", "event_seq")
-    cols = [c for c in events.columns if c not in ("run_id", "file")]
-    latest = events.groupBy("run_id", "file").agg(F.max_by(F.struct(*cols), order_key).alias("e"))
-    return latest.select("run_id", "file", "e.*").where(~F.col("deleted")).drop("deleted")
+
+def latest_reviews(events: DataFrame) -> DataFrame:
+    """Latest decision per (run, file); a tombstone as the latest event means no review."""
+    return latest_events(events).where(~F.col("deleted")).drop("deleted")
 
 
 # --- A4, A5, J6, J7, P12, P13, J5, W5 ---------------------------------------------------------------

@@ -300,12 +300,15 @@ def s6_latest_reviews(fx: Fixtures) -> DataFrame:
 
 @register("s5_review_store", ORACLES["s6_latest_reviews"])
 def s5_review_store(fx: Fixtures) -> DataFrame:
-    """The review events appended to the store in two writes, and the decisions loaded from it."""
-    from .sources.review_store import append_events, load_reviews
+    """The review events appended to the store in three writes, the second one compacted with the first, and the
+    decisions loaded from the snapshot and the events after it."""
+    from .sources.review_store import append_events, compact, load_reviews
     from .sources.tables import scratch_path
     events, path = R.review_events(RV.submissions(fx), EV.rows(fx)), scratch_path(fx.spark, "reviews")
+    append_events(events.where("event_seq = 3"), path)
     append_events(events.where("event_seq = 1"), path)
-    append_events(events.where("event_seq > 1"), path)
+    compact(fx.spark, path)
+    append_events(events.where("event_seq = 2"), path)
     r = load_reviews(fx.spark, path)
     return r.select("run_id", "file", "queue", "status", F.array_join("changed_fields", ",").alias("changed_fields"),
                     "note", R.run_at_text(F.col("reviewed_at")).alias("reviewed_at"),
@@ -408,6 +411,34 @@ def s3_run_store(fx: Fixtures) -> DataFrame:
         F.count(F.lit(1)).alias("documents"), F.sum("input_tokens").cast("long").alias("input_tokens"), F.count("fields").alias("with_fields"))
 
 
+@register("s4_stored_runs", O.summary_query(
+    "SELECT r.run_id, r.dataset, r.method, r.model, r.prompt_version, r.prompt, r.schema_hash, strftime(r.run_at, '%Y-%m-%dT%H:%M:%S') AS run_at, "
+    "CAST(s.documents AS BIGINT) AS documents, CAST(s.documents AS BIGINT) AS stored_rows, "
+    f"{O.r9('s.overall_accuracy')} AS overall_accuracy, {O.r9('s.total_cost_usd')} AS total_cost_usd, CAST(s.input_tokens AS BIGINT) AS input_tokens "
+    "FROM runs r JOIN o_summary s ON s.run_id = r.run_id "
+    "UNION ALL SELECT 'claude__none__v9', 'practice', 'claude', 'none', 'v9', NULL, NULL, '2026-03-07T10:00:00', 0, 0, 0.0, 0.0, 0"))
+def s4_stored_runs(fx: Fixtures) -> DataFrame:
+    """S3 + S4 + A1: runs published with header, summary and rows, one by an older writer without set and version, one
+    without rows, one broken off before it was published, two published again; all read back."""
+    from .sources.runs_store import load_run_rows, load_runs, publish_runs
+    from .sources.tables import scratch_path
+    runs, scored, store = fx["runs"], EV.scored(fx), scratch_path(fx.spark, "stored-runs")
+    old = (F.col("method") == "baseline") & (F.col("dataset") == "practice")
+    test = F.col("dataset") == "test"
+    none = fx.spark.sql("SELECT 'claude__none__v9' AS run_id, 'claude' AS method, 'none' AS model, 'practice' AS dataset, 'v9' AS prompt_version, "
+                        "TIMESTAMP'2026-03-07 10:00:00' AS run_at")
+    publish_runs(runs.where(old).select("run_id", "method", "model", "run_at"), scored, store)
+    publish_runs(runs.where(test), scored.where("k % 2 = 0"), store)  # replaced below
+    publish_runs(runs.where(~old), scored, store)
+    publish_runs(none, scored, store)
+    scored.where("k % 3 = 0").withColumn("write", F.lit("broken off")).write.mode("append").partitionBy("write", "run_id").parquet(f"{store}/rows")
+    back = load_runs(fx.spark, store)
+    rows = load_run_rows(fx.spark, store, back, scored.schema).groupBy("run_id").agg(F.count("scores.overall").alias("stored_rows"))
+    return back.join(rows, "run_id", "left").select(
+        "run_id", "dataset", "method", "model", "prompt_version", "prompt", "schema_hash", R.run_at_text(F.col("run_at")).alias("run_at"), "documents",
+        F.coalesce("stored_rows", F.lit(0)).alias("stored_rows"), "overall_accuracy", "total_cost_usd", "input_tokens")
+
+
 # ---------------------------------------------------------------- documents and rule-based extraction
 from .operators import documents as D  # noqa: E402
 from .plans import extraction as EX  # noqa: E402

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType,
                                TimestampType)
 
+from .constants import HEADER_FIELDS
+
 PRED_ITEM = StructType([StructField(n, StringType()) for n in ["description", "quantity", "unit_price", "amount"]])
 
 # Extraction record with money as text: a reply may say "1,234.50" or 1234.5; both are kept.
@@ -38,3 +40,20 @@ REVIEW_EVENT = StructType([
     StructField("final", FIELDS), StructField("deleted", BooleanType()),
     StructField("original", FIELDS),  # what the model had said; absent in older events
 ])
+
+# A published run: where its rows are, its header, its summary.
+RUN_MANIFEST = StructType([
+    StructField("run_id", StringType()), StructField("write", StringType()), StructField("published_at", LongType()),
+    *[f for f in RUN_HEADER.fields if f.name != "run_at"], StructField("run_at", TimestampType()),
+    StructField("documents", LongType()), StructField("overall_accuracy", DoubleType()), StructField("perfect_documents", LongType()),
+    *[StructField(f"acc_{n}", DoubleType()) for n in [*HEADER_FIELDS, "line_items"]],
+    *[StructField(n, LongType()) for n in ["flagged_for_review", "errors"]],
+    *[StructField(n, DoubleType()) for n in ["total_cost_usd", "avg_cost_usd", "max_cost_usd", "avg_seconds"]],
+    *[StructField(n, LongType()) for n in ["input_tokens", "output_tokens", "silent", "false_alarms"]],
+])
+
+# A published part of the review store: a batch of events, or a snapshot with the batches it covers.
+REVIEW_MANIFEST = StructType([
+    StructField("kind", StringType()), StructField("id", StringType()), StructField("published_at", LongType()),
+    StructField("covers", ArrayType(StringType())),
+])
