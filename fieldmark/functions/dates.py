@@ -41,6 +41,3 @@ def parse_reader_date(s: Column) -> Column:
 def iso(d: Column) -> Column:
     return F.date_format(d, "yyyy-MM-dd")
 
-
-def format_date(d: Column, style: str) -> Column:
-    return F.date_format(d, DATE_STYLES[style])

@@ -21,16 +21,6 @@ def field_label(field: Column) -> Column:
     return F.coalesce(map_literal(FIELD_LABELS)[field], field)
 
 
-def money_us(x: Column, symbol: str = "$") -> Column:
-    """1234.5 -> $1,234.50 (the value is already rounded to cents)."""
-    return F.concat(F.lit(symbol), F.format_number(x, 2))
-
-
-def money_eu(x: Column) -> Column:
-    """1234.5 -> 1.234,50 EUR"""
-    return F.concat(F.translate(F.format_number(x, 2), ",.", ".,"), F.lit(" EUR"))
-
-
 def pct(x: Column) -> Column:
     """Whole percent when within 0.05 of one, else one decimal: 0.5 -> 50%, 0.4467 -> 44.7%."""
     p = x * 100

@@ -33,7 +33,8 @@ def truth_items(inv_lines: DataFrame) -> DataFrame:
 
 
 def assemble_invoices(inv_lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """Amounts, subtotal, 5% discount, tax on the discounted base and total, per document.
+    """Amounts, subtotal, 5% discount, tax on the discounted base and total, per document (one without
+    lines has subtotal 0).
 
     ``headers`` carries k, discount flag (``has_discount``) and ``tax_rate``; decimals are
     rounded HALF_UP to cents, as money is."""
@@ -41,7 +42,7 @@ def assemble_invoices(inv_lines: DataFrame, headers: DataFrame) -> DataFrame:
         F.sum(F.round(F.col("unit_price").cast("decimal(18,2)") * F.col("quantity").cast("decimal(9,0)"), 2))
         .cast("decimal(18,2)").alias("subtotal"),
         F.count(F.lit(1)).alias("n_lines"))
-    d = sums.join(headers, "k")
+    d = headers.join(sums, "k", "left").withColumn("subtotal", F.coalesce("subtotal", F.lit(0).cast("decimal(18,2)"))).fillna(0, ["n_lines"])
     discount = F.when(F.col("has_discount"),
                       F.round(F.col("subtotal") * F.lit(0.05).cast("decimal(4,4)"), 2)) \
         .otherwise(F.lit(0).cast("decimal(18,2)")).cast("decimal(18,2)")

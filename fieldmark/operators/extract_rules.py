@@ -19,23 +19,10 @@ def vendor_line(text: Column) -> Column:
 
 def split_two_names(line: Column) -> Column:
     """Text up to a company suffix followed by a blank, else the whole line (case-sensitive)."""
-    pat = r"^(.+?(?:" + "|".join(K.COMPANY_SUFFIXES) + r"))\s"
-    cut = F.regexp_extract(line, "(?Ud)" + pat, 1)
+    cut = F.regexp_extract(line, "(?Ud)^" + K.PAT_LEFT_NAME, 1)
     return F.when(cut != "", cut).otherwise(line)
 
 
-def bill_to(text: Column) -> Column:
-    """Labelled recipient, else the left name of the line under a BILL TO / SHIP TO header."""
-    labelled = first_group(text, K.PAT_BILL_TO)
-    header = F.regexp_extract(text, "(?Ud)" + K.PAT_BILL_SHIP_HEADER, 1)
-    return F.coalesce(labelled, F.when(header != "", split_two_names(header)))
-
-
-def money_text(text: Column, pattern: str) -> Column:
-    """Labelled US amount with thousands separators removed (a number as text)."""
-    return F.regexp_replace(first_group(text, pattern), ",", "")
-
-
 # Raw captures, computed once per document (stage 1); everything else derives from them.
 _CAPTURES = {
     "_g_inv": K.PAT_INVOICE_DATE, "_g_due": K.PAT_DUE_DATE, "_g_net": K.PAT_NET_DAYS,
@@ -74,31 +61,6 @@ def _fields_from_captures() -> Column:
         F.lit(None).cast("string").alias("review_reason"))
 
 
-def extract_fields(text: Column) -> Column:
-    """E1 as a single expression (convenient on small frames; ``extract_documents`` stages the
-    same logic so every regular expression runs once per document)."""
-    inv = parse_reader_date(first_group(text, K.PAT_INVOICE_DATE))
-    due = parse_reader_date(first_group(text, K.PAT_DUE_DATE))
-    net = first_group(text, K.PAT_NET_DAYS).cast("int")
-    due_final = F.coalesce(due, F.when(net.isNotNull() & inv.isNotNull(), F.date_add(inv, net)))
-    tax = money_text(text, K.PAT_TAX)
-    tax_val = tax.try_cast("double")
-    return F.struct(
-        vendor_line(text).alias("vendor_name"),
-        first_group(text, K.PAT_INVOICE_NUMBER).alias("invoice_number"),
-        iso(inv).alias("invoice_date"),
-        iso(due_final).alias("due_date"),
-        bill_to(text).alias("bill_to"),
-        F.when(F.regexp_like(text, F.lit("(?U)" + K.PAT_EUR)), F.lit("EUR")).otherwise(F.lit("USD")).alias("currency"),
-        money_text(text, K.PAT_SUBTOTAL).alias("subtotal"),
-        F.when(tax_val.isNull() | (tax_val == 0), F.lit("0.0")).otherwise(tax).alias("tax"),
-        money_text(text, K.PAT_TOTAL).alias("total"),
-        F.array().cast("array<struct<description:string,quantity:string,unit_price:string,amount:string>>")
-        .alias("line_items"),
-        F.lit(None).cast("boolean").alias("needs_review"),
-        F.lit(None).cast("string").alias("review_reason"))
-
-
 def extract_documents(docs: DataFrame, run_id: Column | str = "rule-based") -> DataFrame:
     """E1 + E10 over a (file, text) table: readable PDFs get fields, anything else (no text layer,
     other suffix) gets no fields and the reader's note. Zero tokens and cost.

@@ -1,12 +1,11 @@
 """Row predicates (P1-P6), run summaries (A1, A2, A3, A8, A10) and reshapes."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FIELD_LABELS, MODEL_SHORT, SCORED_FIELDS
 from ..functions.formats import field_label, fixed, fmt_value, map_literal
-from ..functions.text import round_to
 
 
 # --- P1-P6: predicates over a scored row -------------------------------------------------------
@@ -204,11 +203,6 @@ def run_name(method: Column | None = None, model: Column | None = None,
         .otherwise(F.concat(short, F.lit(" · "), F.coalesce(version, F.lit("original"))))
 
 
-def run_label(run_at: Column | None = None) -> Column:
-    run_at = _c(run_at, "run_at")
-    return F.concat(run_name(), F.lit("  ·  "), F.date_format(run_at, "yyyy-MM-dd HH:mm"))
-
-
 def comparison_table(summary: DataFrame, runs: DataFrame) -> DataFrame:
     """A10: one row per run: method, instructions, accuracy %, perfect n/m, flagged, cost per
     document and per 1,000, seconds, run time (to be ordered by run_at)."""
@@ -227,14 +221,7 @@ def comparison_table(summary: DataFrame, runs: DataFrame) -> DataFrame:
         F.date_format("run_at", "yyyy-MM-dd HH:mm").alias("run_at_text"), "run_at")
 
 
-# --- A6 / A7: answer-key checks -----------------------------------------------------------------
-def key_integrity_violations(truth: DataFrame) -> DataFrame:
-    """Answer keys whose items (rounded to cents) do not add up to the subtotal."""
-    items_sum = F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["amount"])
-    return truth.select("dataset", "file", round_to(items_sum, 2).alias("items_total"), "subtotal") \
-        .where(~(F.abs(F.col("items_total") - F.col("subtotal")) < 0.011))
-
-
+# --- A7: answer-key checks -----------------------------------------------------------------
 def dataset_completeness(truth: DataFrame, document_files: DataFrame) -> DataFrame:
     """Per dataset: documents in the key, key entries without a document, entries missing a
     scored field."""
@@ -248,6 +235,28 @@ def dataset_completeness(truth: DataFrame, document_files: DataFrame) -> DataFra
                 "missing_fields")
 
 
+def latest_per_name(named: DataFrame) -> DataFrame:
+    """The latest run of each name within a dataset. Each task keeps one row a name before the exchange."""
+    w = Window.partitionBy("dataset", "run_name").orderBy(F.desc("run_at"), F.desc("run_id"))
+    return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def default_comparison(named: DataFrame, names: int = 3) -> DataFrame:
+    """The rule-based run and the last ``names`` model run names by first appearance (a name keeps its place
+    when it runs again): dataset, run_name, pos (0, or the place among all model names), latest_id. Ranking from the last
+    keeps a few rows a task before the exchange, however many names there are."""
+    per = named.groupBy("dataset", "run_name").agg(F.min("run_at").alias("first_at"), F.min("run_id").alias("first_id"),
+                                                   F.max_by("run_id", F.struct("run_at", "run_id")).alias("latest_id"))
+    base = F.col("run_name") == "Rule-based"
+    count = per.where(~base).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    last = Window.partitionBy("dataset").orderBy(F.desc("first_at"), F.desc("first_id"))
+    ranked = per.where(~base).withColumn("r", F.row_number().over(last)).where(F.col("r") <= names).join(count, "dataset") \
+        .withColumn("pos", F.col("n") - F.col("r") + 1)
+    both = ranked.select("dataset", "run_name", "pos", "latest_id") \
+        .unionByName(per.where(base).select("dataset", "run_name", F.lit(0).alias("pos"), "latest_id"))
+    return both.withColumn("pos", F.col("pos").cast("int"))
+
+
 def model_runs(runs: DataFrame) -> DataFrame:
     """Runs made by a model (not the rule-based reader)."""
     return runs.where(F.col("method") == "claude")

@@ -367,7 +367,7 @@ def _date(x: str) -> str:
 
 def _e1_ctes() -> str:
     from . import constants as K
-    split_pat = r"^(.+?(?:" + "|".join(K.COMPANY_SUFFIXES) + r"))\s"
+    split_pat = "^" + K.PAT_LEFT_NAME
     return f"""
 o_e1a AS (
   SELECT dataset, file, k, layout, format, text,

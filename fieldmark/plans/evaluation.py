@@ -1,7 +1,8 @@
 """Evaluation plans: fixture runs -> scored rows -> summaries.
 
 Answer keys, run rows and scored rows are stored once per process (see ``sources.tables``),
-as the reference persists a run and every report reads it back."""
+as the reference persists a run and every report reads it back. They are bucketed by file: scoring, comparing
+two runs, the review queue and the export join them on (run, file) or file without an exchange."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -12,16 +13,16 @@ from ..sources.tables import Fixtures
 
 
 def truth(fx: Fixtures) -> DataFrame:
-    return fx.derived("truth", lambda: truth_records(fx["inv_truth"], fx["inv_lines"]))
+    return fx.derived("truth", lambda: truth_records(fx["inv_truth"], fx["inv_lines"]), bucket_by="file")
 
 
 def rows(fx: Fixtures) -> DataFrame:
-    return fx.derived("run_rows", lambda: run_rows(fx["run_calls"], fx["run_items"]), ["run_id"])
+    return fx.derived("run_rows", lambda: run_rows(fx["run_calls"], fx["run_items"]), ["run_id"], "file")
 
 
 def scored(fx: Fixtures) -> DataFrame:
     """Every run of the fixture, every document of its dataset, scored (J1 + C6 + E13)."""
-    return fx.derived("scored", lambda: score_runs(truth(fx), fx["runs"], rows(fx)), ["run_id"])
+    return fx.derived("scored", lambda: score_runs(truth(fx), fx["runs"], rows(fx)), ["run_id"], "file")
 
 
 def summary(fx: Fixtures) -> DataFrame:

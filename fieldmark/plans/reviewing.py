@@ -19,7 +19,7 @@ def model_rows(fx: Fixtures) -> DataFrame:
 
 def queue(fx: Fixtures, pct: float = DEFAULT_SPOT_CHECK_PCT) -> DataFrame:
     """Review queue of every model run (stored once per spot-check percentage)."""
-    return fx.derived(f"queue_{pct:g}", lambda: R.build_queue(model_rows(fx), fx["runs"], pct))
+    return fx.derived(f"queue_{pct:g}", lambda: R.build_queue(model_rows(fx), fx["runs"], pct), bucket_by="file")
 
 
 def submissions(fx: Fixtures) -> DataFrame:
@@ -38,4 +38,4 @@ def submissions(fx: Fixtures) -> DataFrame:
 
 def reviews(fx: Fixtures) -> DataFrame:
     """Latest decision per (run, file) after tombstones (the review store, kept as a table)."""
-    return fx.derived("reviews", lambda: R.latest_reviews(R.review_events(submissions(fx), EV.rows(fx))))
+    return fx.derived("reviews", lambda: R.latest_reviews(R.review_events(submissions(fx), EV.rows(fx))), bucket_by="file")

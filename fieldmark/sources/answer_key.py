@@ -1,4 +1,4 @@
-"""S1 + F5: answer keys stored as one JSON object keyed by file name."""
+"""Answer keys as a table stored by dataset; S1 + F5: as one JSON object keyed by file name."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,6 +7,20 @@ from pyspark.sql.types import MapType, StringType
 
 from ..schemas import TRUTH_RECORD
 
+FILES_PER_DATASET = 32
+
+
+def write_answer_key_table(truth: DataFrame, path: str) -> None:
+    """The key of one or more datasets; writing a dataset again replaces its part, other datasets stay."""
+    truth.repartition("dataset", F.pmod(F.xxhash64("file"), F.lit(FILES_PER_DATASET))).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
+
+
+def read_answer_key_table(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """The stored key, of all datasets or of one: a filter on the dataset reads that part alone."""
+    df = spark.read.parquet(path)
+    return df if dataset is None else df.where(F.col("dataset") == dataset)
+
 
 def read_answer_key(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """One row per file: dataset, file, meta columns, header fields and nested line items.

@@ -31,10 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
-           partition_by: list[str] | None = None) -> DataFrame:
+           partition_by: list[str] | None = None, bucket_by: str | None = None) -> DataFrame:
     """``build()`` written once as parquet in the shared checkpoint folder, then read back.
     ``partition_by`` lays the table out by those columns, so readers that need a few runs prune
-    the rest (static or dynamic partition pruning)."""
+    the rest (static or dynamic partition pruning). ``bucket_by`` deals the rows by that column once, while they
+    are written: tables bucketed by the same column join and group on it without an exchange."""
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, name)
     with _LOCK:
@@ -44,17 +45,34 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
             tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
             path = f"{base}/fieldmark-{_RUN_TAG}/{tag}/{name}"
             df = build()
-            w = df.write.mode("overwrite")
-            if partition_by:
-                w = w.partitionBy(*partition_by)
-            w.parquet(path)
+            if bucket_by:
+                _write_bucketed(df, path, partition_by, bucket_by)
+            else:
+                w = df.write.mode("overwrite")
+                if partition_by:
+                    w = w.partitionBy(*partition_by)
+                w.parquet(path)
             _COLUMNS[key] = df.columns
             _WRITTEN[key] = path
-    back = spark.read.parquet(path)
+    back = spark.table(_table_name(path)) if bucket_by else spark.read.parquet(path)
     cols = _COLUMNS.get(key)
     return back.select(*cols) if cols and partition_by else back  # keep the original column order
 
 
+def _table_name(path: str) -> str:
+    return "fieldmark_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def _write_bucketed(df: DataFrame, path: str, partition_by: list[str] | None, bucket_by: str) -> None:
+    """A bucketed table (bucket numbers are kept in the catalog, so it has a name; the files lie at ``path``). Rows are
+    dealt as the buckets want them first: one file a bucket and partition, however many tasks write."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = df.repartition(n, bucket_by).write.mode("overwrite").format("parquet").option("path", path).bucketBy(n, bucket_by).sortBy(bucket_by)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.saveAsTable(_table_name(path))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder; its files go when the application ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/fieldmark-{_RUN_TAG}/{name}-{uuid.uuid4().hex[:8]}"
@@ -75,6 +93,9 @@ class Fixtures:
         # timestamps become dates and ISO text in UTC, whatever the caller's session zone
         if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # tables bucketed by file serve joins on (run, file) as they are; a property given twice counts as its last value
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
@@ -85,6 +106,5 @@ class Fixtures:
             return self.spark.sql(text, **{d: self[d] for d in deps})
         return build() if name in INLINED else stored(self.spark, self.sf_dir, name, build)
 
-    def derived(self, name: str, build: Callable[[], DataFrame], partition_by: list[str] | None = None
-                ) -> DataFrame:
-        return stored(self.spark, self.sf_dir, name, build, partition_by)
+    def derived(self, name: str, build: Callable[[], DataFrame], partition_by: list[str] | None = None, bucket_by: str | None = None) -> DataFrame:
+        return stored(self.spark, self.sf_dir, name, build, partition_by, bucket_by)
