@@ -33,6 +33,10 @@ def it(field, fmt="raw"):
     return ("i", field, fmt)
 
 
+def opt(when, *parts):
+    return ("opt", when, list(parts))
+
+
 ITEMS = "ITEMS"
 
 # Layout texts: labels, order and distractors (PO, customer id, ship-to, discount) as a text
@@ -112,7 +116,8 @@ LAYOUT_LINES = {
         L("For work completed this period we have billed the following:"),
         (ITEMS, [it("description", "prefix_dash"), ": ", it("quantity", "int"), " x ", it("unit_price", "us"), " = ",
                  it("amount", "us")]),
-        L("This comes to ", f("subtotal", "us"), "."),
+        L("This comes to ", f("subtotal", "us"), opt("discount", ", less a 5% loyalty discount of ", f("discount", "us")),
+          opt("tax", ", plus ", f("tax_rate", "rate"), "% sales tax of ", f("tax", "us")), "."),
         L("Please remit ", f("total", "us"), " within ", f("terms_days"), " days of the date above."),
         L("With thanks,"), L("Accounts Receivable"),
     ],
@@ -190,6 +195,8 @@ def _line(parts, item=None) -> Column:
     for p in parts:
         if isinstance(p, str):
             cols.append(F.lit(p))
+        elif p[0] == "opt":
+            cols.append(F.when(_cond(p[1]), _line(p[2], item)).otherwise(F.lit("")))
         elif p[0] == "f":
             cols.append(_fmt(F.col(p[1]), p[2]))
         else:
@@ -258,6 +265,8 @@ def _line_sql(parts, item_alias=None) -> str:
     for p in parts:
         if isinstance(p, str):
             out.append("'" + p.replace("'", "''") + "'")
+        elif p[0] == "opt":
+            out.append(f"CASE WHEN {_COND_SQL[p[1]]} THEN {_line_sql(p[2], item_alias)} ELSE '' END")
         elif p[0] == "f":
             out.append(_fmt_sql(f"t.{p[1]}", p[2]))
         else:
