@@ -23,7 +23,6 @@ rows; other columns are not looked at.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 
@@ -32,12 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, small_or_shuffled
+from .common import saved, small_or_shuffled
 
 LIMIT, END_ID = 4096, 1
 BUCKETS, REMEMBER, SEGMENT = 256, 1_200_000, 1 << 20
 TOKENIZER = "word_bpe_49k.json"
-_WORDS = re.compile(WORD)
 _LOADED: dict[str, "WordIds"] = {}
 
 
@@ -52,42 +50,55 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.units = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
+    def unit_count(self, word: str) -> int:
+        """Pretokens of a word: letters alone are one."""
+        if word.isascii() and word.isalpha():
+            return 1
+        normal = unicodedata.normalize("NFC", word).lower()
+        return 1 if normal.isalpha() else len(self.units.findall(normal))
+
+    def learn(self, unknown: set[bytes]) -> None:
         """Many words in one call; the tokens that end a unit show where each word's ids end. Where
         the ends do not add up, or a word may hold a special token, words are done one by one."""
+        new = [w.decode() for w in unknown]
         plain = [w for w in new if "<|" not in w]
-        self.known.update((w, self.one(w)) for w in new if "<|" in w)
-        for at in range(0, len(plain), 512):
-            chunk = plain[at:at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(chunk), add_special_tokens=False).ids, "<u4")
-            units = np.cumsum([1 if w.isascii() and w.isalpha() else len(self.units.findall(unicodedata.normalize("NFC", w).lower())) for w in chunk])
+        self.known.update((w.encode(), self.one(w)) for w in new if "<|" in w)
+        chunks = [plain[at:at + 512] for at in range(0, len(plain), 512)]
+        for chunk, told in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(told.ids, "<u4")
+            units = np.cumsum([self.unit_count(w) for w in chunk])
             ends = np.concatenate([[0], np.nonzero(self.ends[ids])[0] + 1])
             if len(ends) - 1 != units[-1]:
-                self.known.update((w, self.one(w)) for w in chunk)
+                self.known.update((w.encode(), self.one(w)) for w in chunk)
                 continue
             stops = ends[units] * 4
             raw, begin = ids.tobytes(), 0
             for w, stop in zip(chunk, stops.tolist()):
-                self.known[w] = raw[begin:stop]
+                self.known[w.encode()] = raw[begin:stop]
                 begin = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Texts are read in segments that end before white space, and about
-        ``SEGMENT`` characters' words are looked up together, so memory does not grow with a text."""
+        """The ids of each text."""
+        return self.encode_utf8([t.encode() for t in texts])
+
+    def encode_utf8(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text in UTF-8 (bytes split on the six ASCII white spaces, as words are defined). Texts are read in
+        segments that end before white space, and about ``SEGMENT`` bytes' words are looked up together, so
+        memory does not grow with a text."""
         out: list[list[bytes]] = [[] for _ in texts]
         waiting, size = [], 0
         for r, text in enumerate(texts):
             at = 0
             while at < len(text):
                 cut = at + SEGMENT
-                while cut < len(text) and text[cut] not in " \t\n\x0b\x0c\r":
+                while cut < len(text) and text[cut] not in b" \t\n\x0b\x0c\r":
                     cut += 1
-                waiting.append((r, _WORDS.findall(text, at, cut)))
+                waiting.append((r, text[at:cut].split()))
                 size, at = size + min(cut, len(text)) - at, cut
                 if size >= SEGMENT:
                     self._look_up(waiting, out)
@@ -95,12 +106,13 @@ class WordIds:
         self._look_up(waiting, out)
         return [b"".join(parts) for parts in out]
 
-    def _look_up(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+    def _look_up(self, waiting: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
         if len(self.known) > REMEMBER:
             self.known.clear()
-        self.learn(list(set().union(*[words for _, words in waiting]).difference(self.known)))
-        for r, words in waiting:
-            out[r].append(b"".join(map(self.known.__getitem__, words)))
+        found = [list(map(self.known.get, words)) for _, words in waiting]
+        self.learn({w for (_, words), ids in zip(waiting, found) if None in ids for w, x in zip(words, ids) if x is None})
+        for (r, words), ids in zip(waiting, found):
+            out[r].append(b"".join(ids if None not in ids else map(self.known.__getitem__, words)))
 
 
 def _word_ids(path: str | None) -> WordIds:
@@ -119,7 +131,7 @@ def _pieces(batches, path: str | None, limit: int, end_id: int, with_ids: bool):
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             rows, piece, start, length, crc, held = [], [], [], [], [], []
-            for r, ids in enumerate(words.encode([text or "" for text in part["text"].to_pylist()])):
+            for r, ids in enumerate(words.encode_utf8([text or b"" for text in part["text"].cast(pa.binary()).to_pylist()])):
                 ids += end
                 for k, begin in enumerate(range(0, len(ids), 4 * limit)):
                     cut = ids[begin:begin + 4 * limit]
