@@ -28,13 +28,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small_or_shuffled
 
 LIMIT, END_ID = 4096, 1
-BUCKETS, REMEMBER, SEGMENT = 256, 1_200_000, 1 << 20
+BUCKETS, REMEMBER, SEGMENT = 256, 1_200_000, 16 << 20
 TOKENIZER = "word_bpe_49k.json"
 _LOADED: dict[str, "WordIds"] = {}
 
@@ -51,6 +52,7 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.units = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -88,7 +90,7 @@ class WordIds:
 
     def encode_utf8(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text in UTF-8 (bytes split on the six ASCII white spaces, as words are defined). Texts are read in
-        segments that end before white space, and about ``SEGMENT`` bytes' words are looked up together, so
+        segments that end before white space, and the words of about ``SEGMENT`` bytes are looked up together, so
         memory does not grow with a text."""
         out: list[list[bytes]] = [[] for _ in texts]
         waiting, size = [], 0
@@ -98,7 +100,7 @@ class WordIds:
                 cut = at + SEGMENT
                 while cut < len(text) and text[cut] not in b" \t\n\x0b\x0c\r":
                     cut += 1
-                waiting.append((r, text[at:cut].split()))
+                waiting.append((r, text[at:cut]))
                 size, at = size + min(cut, len(text)) - at, cut
                 if size >= SEGMENT:
                     self._look_up(waiting, out)
@@ -106,13 +108,28 @@ class WordIds:
         self._look_up(waiting, out)
         return [b"".join(parts) for parts in out]
 
-    def _look_up(self, waiting: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        found = [list(map(self.known.get, words)) for _, words in waiting]
-        self.learn({w for (_, words), ids in zip(waiting, found) if None in ids for w, x in zip(words, ids) if x is None})
-        for (r, words), ids in zip(waiting, found):
-            out[r].append(b"".join(ids if None not in ids else map(self.known.__getitem__, words)))
+    def _look_up(self, waiting: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        """Split and number the words of all waiting segments, look up each distinct one, gather the ids by number."""
+        if not waiting:
+            return
+        if len(self.known) > REMEMBER // 2:  # words not met again since the last turn are forgotten
+            self.known, self.older = {}, self.known
+        lists = pc.ascii_split_whitespace(pa.array([s for _, s in waiting], pa.binary()).view(pa.string()))
+        words = lists.values.dictionary_encode()
+        distinct = words.dictionary.view(pa.binary()).to_pylist()
+        ids = list(map(self.known.get, distinct))
+        if None in ids:
+            unknown = {w for w, x in zip(distinct, ids) if x is None and w}
+            self.known.update((w, self.older[w]) for w in unknown.intersection(self.older))
+            self.learn(unknown.difference(self.known))
+            ids = [self.known[w] if w else b"" for w in distinct]  # a segment may begin or end with white space
+        sizes, number = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, words.indices.to_numpy()
+        tokens, starts, n = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes[number]
+        ends = np.cumsum(n)
+        told = tokens[np.repeat(starts[number] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        borders = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        for (r, _), begin, end in zip(waiting, borders[:-1].tolist(), borders[1:].tolist()):
+            out[r].append(told[begin:end].tobytes())
 
 
 def _word_ids(path: str | None) -> WordIds:
@@ -128,8 +145,8 @@ def _word_ids(path: str | None) -> WordIds:
 def _pieces(batches, path: str | None, limit: int, end_id: int, with_ids: bool):
     words, end = _word_ids(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
             rows, piece, start, length, crc, held = [], [], [], [], [], []
             for r, ids in enumerate(words.encode_utf8([text or b"" for text in part["text"].cast(pa.binary()).to_pylist()])):
                 ids += end
