@@ -14,12 +14,13 @@ is the log10 probability of its bytes and end mark.
 Beside it stands a word model with one added count (``base_score``). Words of frequency ``HEAVY``
 at least (at most 1 / HEAVY) are looked up in a broadcast; all other words go through a join.
 
-Counts cover all training texts: byte strings and words are counted inside tasks and summed by
+Counts cover all training texts: byte strings and words are counted inside tasks, in one reading, and summed by
 key. The tree is a table, made one level a step: a string of k + 1 bytes is joined with its value at the
 level below (by its last k bytes), and its context is kept or not by an aggregation of at most 256 rows.
 Byte strings of probability ``P_MIN`` at least (at most 1 / P_MIN of each length) are looked up in a
-broadcast; all others are joined with the tree, each distinct one once, longest suffix first. What
-the driver sees is bounded by that, and by 1 / HEAVY words; results do not depend on either.
+broadcast; all others leave the scoring tasks once for each document, with their number, and are joined with the
+tree, each distinct one once, longest suffix first. What the driver sees is bounded by that, and by
+1 / HEAVY words; results do not depend on either.
 
 Defined results: a null, empty or blank text is the end mark alone; documents are training text unless
 CRC-32 of the doc_id as text is 2 modulo 7 (a null id reads as an empty text); repeated rows are
@@ -29,16 +30,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, saved, small_or_shuffled, words
 
-DEPTH, P_MIN, GAIN, DISCOUNT = 5, 1e-6, 1.0, 0.5
+DEPTH, P_MIN, GAIN, DISCOUNT = 5, 2.5e-7, 1.0, 0.5
 LEAST = 2
-HEAVY = 1e-5
+HEAVY = 5e-7
 MARK = 10  # a line feed: never part of a word
-COUNT_SLICE, SCORE_SLICE = 8 << 20, 1 << 20
+COUNT_SLICE, SCORE_SLICE = 16 << 20, 1 << 20
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+STRING, WORD, DOCUMENT = 0, 1, 2  # kinds of counts
 
 
 class Table:
@@ -86,12 +90,27 @@ def stream(text: Column) -> Column:
     return F.concat(F.lit("\n"), F.replace(joined, F.lit("\x00"), F.lit("\x01")), F.lit("\n"))
 
 
-def _windows(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(for each byte, it and up to ``depth`` bytes before it in its text as one number, the byte itself
-    lowest and absent bytes 0; offset of each text)."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
+class Texts:
+    """Some texts as words, hashed and numbered, and as one run of bytes with each text's offset."""
+
+    def __init__(self, texts: list[bytes | None]):
+        split = [t.translate(LOWER).split() if t else [] for t in texts]  # bytes split on the six ASCII white spaces
+        sizes = np.array([len(w) for w in split], np.int64)
+        self.word_offsets = np.concatenate([[0], np.cumsum(sizes)])
+        numbered = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
+        self.number = numbered.indices.to_numpy()
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbered.dictionary.to_pylist()], np.uint64).view(np.int64)
+        streams = [b"\n" + b" ".join(w) + b"\n" for w in split]
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in streams])]).astype(np.int64)
+        self.data = np.frombuffer(b"".join(streams).replace(b"\x00", b"\x01"), np.uint8)
+
+    def windows(self, depth: int) -> np.ndarray:
+        """For each byte, it and up to ``depth`` bytes before it in its text as one number, the byte itself
+        lowest and absent bytes 0."""
+        return _windows(self.data, self.offsets, depth)
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     out = data.astype(np.int64)
     for k in range(1, depth + 1):
         before = np.zeros(len(data), np.int64)
@@ -100,7 +119,7 @@ def _windows(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
             at = offsets[:-1] + j
             before[at[at < offsets[1:]]] = 0
         out |= before << (8 * k)
-    return out, offsets
+    return out
 
 
 def _slices(batch: pa.RecordBatch, column: str, size: int):
@@ -113,19 +132,27 @@ def _slices(batch: pa.RecordBatch, column: str, size: int):
         at = to
 
 
-def string_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """(length, string, n) for all byte strings of 1 to depth + 1 bytes in the streams of ``texts``."""
+def occurrences(texts: DataFrame, depth: int) -> DataFrame:
+    """(kind, key, n), stored by kind: byte strings of depth + 1 bytes (0 in front where the text begins), hashed
+    words, and the number of documents, of the column ``text``."""
     def count(batches):
         for batch in batches:
-            for part in _slices(batch, "stream", COUNT_SLICE):
-                keys, offsets = _windows(part["stream"], depth)
-                keep = np.ones(len(keys), bool)
-                keep[offsets[:-1]] = False
-                key, n = np.unique(keys[keep], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["string", "n"])
-
-    longest = saved(texts.select("stream").mapInArrow(count, "string long, n long").groupBy("string").agg(F.sum("n").alias("n")), "strings")
-    ends = [F.struct(F.lit(k).alias("length"), F.col("string").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("string")) for k in range(1, depth + 2)]
+            for part in _slices(batch, "text", COUNT_SLICE):
+                read = Texts(part["text"].to_pylist())
+                keep = np.ones(len(read.data), bool)
+                keep[read.offsets[:-1]] = False
+                string, n = np.unique(read.windows(depth)[keep], return_counts=True)
+                parts = [(STRING, string, n), (WORD, read.hashes, np.bincount(read.number, minlength=len(read.hashes))), (DOCUMENT, [0], [part.num_rows])]
+                for kind, keys, times in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["kind", "key", "n"])
+
+    told = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "kind int, key long, n long")
+    return saved(told.groupBy("kind", "key").agg(F.sum("n").alias("n")), "occurrences", ["kind"])
+
+
+def string_counts(longest: DataFrame, depth: int) -> DataFrame:
+    """(length, string, n) for all byte strings of 1 to depth + 1 bytes, from the longest (key, n)."""
+    ends = [F.struct(F.lit(k).alias("length"), F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("string")) for k in range(1, depth + 2)]
     told = longest.select(F.explode(F.array(*ends)).alias("s"), "n").select("s.length", "s.string", "n")
     real = F.shiftrightunsigned("string", 0) >= F.element_at(F.array(*[F.lit(1 << 8 * (k - 1)) for k in range(1, depth + 2)]).cast("array<bigint>"), F.col("length"))
     return told.where(real).groupBy("length", "string").agg(F.sum("n").alias("n"))  # a 0 in front: shorter than that
@@ -175,15 +202,16 @@ class Tree:
         return out
 
 
-def _told(texts: DataFrame, depth: int) -> tuple[DataFrame, int]:
+def _told(counted: DataFrame, depth: int) -> tuple[DataFrame, int]:
     """(length, string, n) of the strings that the tree is made of, stored by length; symbols in all."""
-    counts = saved(string_counts(texts, depth).where((F.col("n") >= LEAST) | (F.col("length") == 1)), "string_counts", ["length"])
+    longest = counted.where(F.col("kind") == STRING).select("key", "n")
+    counts = saved(string_counts(longest, depth).where((F.col("n") >= LEAST) | (F.col("length") == 1)), "string_counts", ["length"])
     return counts, counts.where("length = 1").agg(F.sum("n")).first()[0] or 0
 
 
 def fit(texts: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of the streams in ``texts``, in memory."""
-    counts, symbols = _told(texts, depth)
+    """The tree of the texts whose streams are in ``texts``, in memory."""
+    counts, symbols = _told(occurrences(texts.select(F.col("stream").alias("text")), depth), depth)
     got = counts.toArrow()
     return Tree(*(got[c].to_numpy().astype(np.int64) for c in ("length", "string", "n")), symbols=symbols, depth=depth)
 
@@ -196,9 +224,9 @@ class Levels:
     """The tree as tables: ``values[k]`` (string, n, log: of its last byte after the k before it) and
     ``shares[k]`` (context of k bytes, share: log10 of what is left to the level below)."""
 
-    def __init__(self, texts: DataFrame, depth: int = DEPTH, gain: float = GAIN, discount: float = DISCOUNT):
+    def __init__(self, counted: DataFrame, depth: int = DEPTH, gain: float = GAIN, discount: float = DISCOUNT):
         self.depth = depth
-        counts, self.symbols = _told(texts, depth)
+        counts, self.symbols = _told(counted, depth)
 
         def of(k: int) -> DataFrame:
             return counts.where(F.col("length") == k).select("string", "n")
@@ -255,36 +283,34 @@ class Levels:
 def score(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, heavy: float = HEAVY) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    told = docs.select("doc_id", "text").withColumn("held_out", held_out)
-    hashed = F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w))
-    train = told.where("NOT held_out")
-    counts = saved(train.select(F.explode(hashed).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "words")
-    texts = train.count()
+    told = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
+    counted = occurrences(told.where("NOT held_out"), depth)
+    counts = counted.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
+    texts = counted.where(F.col("kind") == DOCUMENT).agg(F.sum("n")).first()[0] or 0
     seen = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     n, v = (seen["n"] or 0) + texts, seen["v"] + (texts > 0)
     often = counts.where(F.col("c") >= max(1, heavy * n)).toArrow()  # at most 1 / heavy words
     base = Table(often["word"].to_numpy(), np.log10((often["c"].to_numpy() + 1) / (n + v + 1)))
     end = float(np.log10((texts + 1) / (n + v + 1)))
-    tree = Levels(train.select(stream(F.col("text")).alias("stream")), depth)
+    tree = Levels(counted, depth)
     hot = tree.hot(p_min)
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, "stream", SCORE_SLICE):
+            for part in _slices(batch, "text", SCORE_SLICE):
                 yield _score_part(part, depth, hot, base, end, texts > 0)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = saved(told.select("doc_id", "held_out", hashed.alias("words"), stream(F.col("text")).alias("stream"))
-                   .mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, open array<long>")
+    kind, pairs = docs.schema["doc_id"].dataType.simpleString(), "array<struct<w:bigint,times:int>>"
+    scored = saved(told.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare {pairs}, open {pairs}")
                    .withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count(F.lit(1)).alias("times"))
+    rare = scored.select("row", F.inline("rare"))
     c = F.coalesce("c", F.lit(0))
     sums = rare.join(counts, F.col("w") == F.col("word"), "left").groupBy(F.col("row").alias("r")).agg(
         F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("rare_base"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    opened = scored.select("row", F.explode("open").alias("w"))
+    opened = scored.select("row", F.inline("open"))
     resolved = saved(tree.resolve(saved(opened.select("w").distinct(), "windows")), "open")
-    logs = opened.join(small_or_shuffled(resolved, 16), "w").groupBy(F.col("row").alias("o")).agg(F.sum("log").alias("open_log"))
+    logs = opened.join(small_or_shuffled(resolved, 16), "w").groupBy(F.col("row").alias("o")).agg(F.sum(F.col("times") * F.col("log")).alias("open_log"))
     return scored.drop("rare", "open").join(sums, F.col("row") == F.col("r"), "left").join(logs, F.col("row") == F.col("o"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
@@ -299,23 +325,27 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _left(found: np.ndarray, known: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> pa.ListArray:
-    """The keys of each text that were not found."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - known)]).astype(np.int32)), pa.array(keys[~found]))
+def _left(found: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> pa.ListArray:
+    """The keys of each text that were not found, each once, with the number of times."""
+    at = np.nonzero(~found)[0]
+    row, key = np.searchsorted(offsets, at, side="right") - 1, keys[at]
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    begin = np.nonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])]))[0] if len(row) else np.zeros(0, np.int64)
+    times = np.diff(np.append(begin, len(row)))
+    pairs = pa.StructArray.from_arrays([pa.array(key[begin], pa.int64()), pa.array(times, pa.int32())], names=["w", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[begin], np.arange(len(offsets))), pa.int32()), pairs)
 
 
 def _score_part(part: pa.RecordBatch, depth: int, hot: Table, base: Table, end: float, end_known: bool) -> pa.RecordBatch:
-    windows, offsets = _windows(part["stream"], depth)
+    read = Texts(part["text"].to_pylist())
+    windows = read.windows(depth)
     seen, log = hot.find(windows)
-    seen[offsets[:-1]], log[offsets[:-1]] = True, 0  # the mark at the start is given
-    lists = part["words"]
-    at = lists.offsets.to_numpy().astype(np.int64)
-    hashes = lists.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]] if at[-1] > at[0] else np.zeros(0, np.int64)
-    at = at - at[0]
-    found, value = base.find(hashes)
-    known = _sums(found.astype(np.int64), at)
+    seen[read.offsets[:-1]], log[read.offsets[:-1]] = True, 0  # the mark at the start is given
+    at = read.word_offsets
+    found, value = (x[read.number] for x in base.find(read.hashes))
     return pa.RecordBatch.from_arrays(
-        [part["doc_id"], part["held_out"], pa.array(np.diff(at) + 1), pa.array(known + int(end_known)),
-         pa.array(_sums(value, at) + end), pa.array(_sums(log, offsets)), _left(found, known, np.diff(at), hashes),
-         _left(seen, _sums(seen.astype(np.int64), offsets), np.diff(offsets), windows)],
+        [part["doc_id"], part["held_out"], pa.array(np.diff(at) + 1), pa.array(_sums(found.astype(np.int64), at) + int(end_known)),
+         pa.array(_sums(value, at) + end), pa.array(_sums(log, read.offsets)), _left(found, at, read.hashes[read.number]),
+         _left(seen, read.offsets, windows)],
         names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "open"])
