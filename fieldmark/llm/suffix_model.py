@@ -40,7 +40,7 @@ DEPTH, P_MIN, GAIN, DISCOUNT = 5, 2.5e-7, 1.0, 0.5
 LEAST = 2
 HEAVY = 5e-7
 MARK = 10  # a line feed: never part of a word
-COUNT_SLICE, SCORE_SLICE = 16 << 20, 1 << 20
+COUNT_SLICE, SCORE_SLICE = 4 << 20, 1 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 STRING, WORD, DOCUMENT = 0, 1, 2  # kinds of counts
 
