@@ -96,8 +96,8 @@ p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 q AS (SELECT p.doc_id, p.i, h.crc, lead(h.crc) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS following FROM p JOIN h USING (word)),
 g AS (SELECT doc_id, crc % 65536 AS bucket FROM q UNION ALL SELECT doc_id, (crc * 1000003 + following) % 65536 FROM q WHERE following IS NOT NULL),
 c AS (SELECT bucket, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM g GROUP BY bucket),
-k AS (SELECT bucket, round(ln((good + 10.0::DOUBLE) / ((sum(good) OVER ())::DOUBLE + 655360.0::DOUBLE))
-                           - ln((raw + 10.0::DOUBLE) / ((sum(raw) OVER ())::DOUBLE + 655360.0::DOUBLE)), 9) AS weight FROM c),
+z AS (SELECT bucket, raw, good, (sum(raw) OVER ())::BIGINT AS raw_all, (sum(good) OVER ())::BIGINT AS good_all FROM c),
+k AS (SELECT bucket, round(ln((good + 10.0::DOUBLE) / ((good_all * raw)::DOUBLE / greatest(raw_all, 1) + 10.0::DOUBLE)), 9) AS weight FROM z),
 s AS (SELECT doc_id, round(sum(weight) / count(*), 9) AS score FROM g JOIN k USING (bucket) GROUP BY doc_id),
 f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM (
         SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS five FROM d)),
@@ -107,9 +107,16 @@ l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, u
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
         coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(s.score, 0.0)::DOUBLE AS score
-      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id))
-SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND score >= -0.2 AS kept FROM m
+      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)),
+-- the threshold: each trusted document that passes the base rules against the others' counts
+own AS (SELECT doc_id, bucket, count(*) AS m FROM g WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+alone AS (SELECT own.doc_id, round(sum(ln((good - own.m + 10.0::DOUBLE) / (((good_all - n) * (raw - own.m))::DOUBLE / greatest(raw_all - n, 1) + 10.0::DOUBLE)) * own.m) / max(n), 9) AS score
+          FROM own JOIN z USING (bucket) JOIN (SELECT doc_id, sum(m)::BIGINT AS n FROM own GROUP BY doc_id) s USING (doc_id) JOIN m ON m.doc_id = own.doc_id
+          WHERE NOT (m.n_words < 10 OR 100 * m.n_repeat_words > 20 * m.n_words) GROUP BY own.doc_id),
+steps AS (SELECT floor(score * 1000) AS step, sum(count(*)) OVER (ORDER BY floor(score * 1000)) AS upto, sum(count(*)) OVER () AS total FROM alone GROUP BY 1),
+level AS (SELECT least(0.0::DOUBLE, coalesce(min(step) FILTER (upto > 0.001 * total), 0) / 1000.0::DOUBLE) AS threshold FROM steps)
+SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND score >= threshold AS kept FROM m, level
 """
 
 # Every document that shares a term with an item, scored in full.

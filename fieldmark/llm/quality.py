@@ -5,10 +5,12 @@ over the buckets are counted: one from the trusted documents, one from all docum
 score is the mean over its n-grams of ``log p_trusted - log p_raw`` (nats, so long and short texts
 compare); documents below ``threshold`` are rejected, as are those that fail the base rules.
 
-``accept_by_evidence`` (the pipeline's stage) holds the verdict apart from the size of the trusted set:
-a bucket weighs ``log (good + s) / (expected + s)``, where expected is what the trusted text would hold if
-it were raw text, so that a bucket without evidence weighs 0; the threshold is the ``LOWEST`` quantile of
-the trusted documents' scores, each against the others' counts (its own are taken out).
+``score_by_evidence`` (the query) and ``accept_by_evidence`` (the pipeline's stage) hold the verdict apart from the
+size of the trusted set: both multinomials are brought to the size of the trusted text and smoothed there with
+the same count, so a bucket weighs ``log (good + s) / (expected + s)``, where expected is what the trusted text
+would hold if it were raw text (the sums of both are equal and cancel); a bucket without evidence weighs 0. The
+threshold is the ``LOWEST`` quantile of the trusted documents' scores, each against the others' counts (its own
+are taken out).
 
 Plan: one scan explodes bucket numbers into an aggregation with at most ``buckets`` groups a task;
 a second scan joins the bucket weights (a broadcast of ``buckets`` rows, a fixed size) and sums them
@@ -177,12 +179,17 @@ def accept(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshol
     return _without_rejected(docs, score(docs, trusted, buckets, threshold))
 
 
-def accept_by_evidence(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """As ``accept``, with a verdict that does not follow the size of the trusted set."""
+def score_by_evidence(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """As ``score``, with weights and a threshold that do not follow the size of the trusted set."""
     counts = saved(_bucket_counts(docs, trusted, buckets), "evidence")
     weights = counts.select("bucket", F.round(_evidence(F.col("good"), F.col("good_all"), F.col("raw"), F.col("raw_all")), 9).alias("weight"))
     threshold = trusted_threshold(docs, trusted, counts, buckets)
-    return _without_rejected(docs, _sums(features(docs).withColumn("row", F.monotonically_increasing_id()), weights, buckets, threshold))
+    return _sums(features(docs).withColumn("row", F.monotonically_increasing_id()), weights, buckets, threshold)
+
+
+def accept_by_evidence(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs`` that ``score_by_evidence`` keeps, unchanged."""
+    return _without_rejected(docs, score_by_evidence(docs, trusted, buckets))
 
 
 def _without_rejected(docs: DataFrame, scored: DataFrame) -> DataFrame:

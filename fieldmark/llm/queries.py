@@ -14,7 +14,7 @@ def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality.score(table(spark, sf_dir, "documents"), trusted).drop("th")
+    return quality.score_by_evidence(table(spark, sf_dir, "documents"), trusted).drop("th")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,18 @@ def test_verdicts_do_not_follow_the_size_of_the_trusted_set(spark):
         assert len(clean - kept) <= 0.02 * len(clean) and not kept - clean, size
 
 
+@pytest.mark.parametrize("size", [30, 100, 300, None])
+def test_the_query_keeps_clean_documents_with_any_trusted_set(spark, size):
+    """The query's verdict on the given tables with the first 30, 100, 300 and with all trusted documents."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    good = labels.where("quality = 1").select("doc_id").orderBy("doc_id")
+    got = quality.score_by_evidence(docs, good.limit(size) if size else good).join(labels, "doc_id").where("NOT base_failed").collect()
+    clean, junk = [r["kept"] for r in got if r["quality"] == 1], [r["kept"] for r in got if r["quality"] == 0]
+    assert len(clean) > 300 and sum(clean) >= 0.99 * len(clean)
+    assert sum(junk) <= (0.5 if size is None else 0.6) * len(junk)  # few trusted documents tell less
+
+
 def test_threshold_is_of_scores_without_own_counts(spark, docs):
     rows, buckets, s = corpus(), 128, quality.SMOOTHING
     good = {0, 3, 7, 8, 20}
