@@ -144,13 +144,22 @@ def find(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE)
     out = set()
     for t, hits in index.hits(ids).items():
         size = len(index.words[t])
-        reach = min(band, max(1, size // 2))  # narrower than the template, so that a neighbouring copy is out of it
+        # narrower than the template, so that a neighbouring copy is out of it; wide enough for words put in at several places
+        reach = max(min(band, max(1, size // 2)), size // 3)
         for low, high in candidates(hits, band):
-            for d in sorted({i - p for i, p in hits if low <= i - p <= high}):  # copies may follow each other closely
+            by_diagonal: dict[int, list[int]] = {}
+            for i, p in hits:
+                if low <= i - p <= high:
+                    by_diagonal.setdefault(i - p, []).append(i)
+            told: list[tuple[int, int]] = []
+            for d, places in sorted(by_diagonal.items(), key=lambda x: (-len(x[1]), x[0])):  # copies may follow each other closely
+                if all(any(a <= i < b for a, b in told) for i in places):
+                    continue  # hits of a passage that is found
                 first = max(0, d - reach)
                 part = ids[first:max(0, d + size + reach)]
                 matched, a, b = align(part, index.words[t], d - first, d - first, reach)
                 if matched >= coverage * size:
+                    told.append((first + a, first + b))
                     out.add((index.names[t], first + a, first + b, spans[first + a][0], spans[first + b - 1][1], matched, size, matched / size))
     return _separate(sorted(out, key=lambda r: (r[0], -r[5], r[1], r[2])))
 

@@ -134,6 +134,11 @@ def chunk_keys(sig: np.ndarray, chunks: list[np.ndarray], errors: int = ERRORS)
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: doc_id, th (hash of its text), n_shingles, component_id, kept."""
+    return _grouped(docs, size, percent).drop("first")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``near_duplicates`` and the first row of each one's component (doc_id, th; null without words)."""
     bound = distance_bound(percent)
     chunks = chunks_for(bound)
     th = F.xxhash64("text").alias("th")
@@ -141,7 +146,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = saved(docs.select("doc_id", th, shingles(F.col("text"), size).alias("sh"))
                  .mapInArrow(_sign, f"doc_id {kind}, th long, n_shingles long, f1 long, f2 long, sig binary"), "signatures")
     classes = saved(rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles")
-                    .agg(F.min(F.struct("doc_id", "th")).alias("doc"), F.min("doc_id").alias("root"), F.min("sig").alias("sig"))
+                    .agg(F.min(F.struct("doc_id", "th")).alias("doc"), F.min("doc_id").alias("root"), F.min("sig").alias("sig"),
+                         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
                     .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def keys_of(batches):
@@ -169,12 +175,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = _across(docs, _open(group, links), classes, within, size, percent)
 
     final = components(links.unionByName(rest)).withColumnRenamed("id", "g")
-    named = classes.select("f1", "f2", "n_shingles", "cid", "root").join(final, F.col("cid") == F.col("g"), "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy(F.col("component").alias("c")).agg(F.min("root").alias("component_id"))
-    told = named.join(least, F.col("component") == F.col("c")).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"), "component_id")
+    named = classes.select("f1", "f2", "n_shingles", "cid", "root", "first").join(final, F.col("cid") == F.col("g"), "left").withColumn("component", F.coalesce("component", "cid"))
+    least = named.groupBy(F.col("component").alias("c")).agg(F.min("root").alias("component_id"), F.min("first").alias("best"))
+    told = named.join(least, F.col("component") == F.col("c")).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"), "component_id",
+                                                                      F.col("best").alias("first"))
     out = rows.drop("sig").join(told, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("gn")), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "first")
 
 
 def _open(group: DataFrame, links: DataFrame) -> DataFrame:
@@ -271,24 +278,18 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, unchanged: one document of each component; of repeated rows
-    with a doc_id and a set, one."""
-    found = saved(near_duplicates(docs, size, percent), "found")
-    d, t, th = F.col("__own_d"), F.col("__own_t"), F.col("__own_th")
-
-    def named(rows: DataFrame) -> DataFrame:
-        return saved(rows.select(F.col("doc_id").alias("__own_d"), F.col("th").alias("__own_t")).distinct(), "named")
-
-    same_row = d.eqNullSafe(F.col("doc_id")) & (t == th)
-    rest = docs.withColumn("__own_th", F.xxhash64("text")).join(small_or_shuffled(named(found.where("NOT kept")), 32), same_row, "left_anti")
-    # rows that kept the component's own id more than once: the same text again, or another text under the same id
-    kept = found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL")
-    again = saved(kept.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")).where("n > 1").select(F.col("component_id").alias("doc_id"), "th"), "again")
+    """The rows of ``docs`` that stay, unchanged: of each component the row with the smallest doc_id (null ids
+    last), then text hash, once; a component is named by its sets, not by a doc_id, so two texts under one id
+    are two rows. Texts without words are in no component and all stay."""
+    found = saved(_grouped(docs, size, percent).select("doc_id", "th", (F.col("first").isNull() | F.struct("doc_id", "th").eqNullSafe(
+        F.struct("first.doc_id", "first.th"))).alias("stays"), F.col("first").isNotNull().alias("told")), "found")
+    mine = F.col("__own_d").eqNullSafe(F.col("doc_id")) & (F.col("__own_t") == F.col("__own_th"))
+    named = [F.col("doc_id").alias("__own_d"), F.col("th").alias("__own_t")]
+    gone = saved(found.where("NOT stays").select(*named).distinct(), "gone")
+    rest = docs.withColumn("__own_th", F.xxhash64("text")).join(small_or_shuffled(gone, 32), mine, "left_anti")
+    again = saved(found.where("stays AND told").groupBy("doc_id", "th").count().where("count > 1").select(*named), "again")
     if again.isEmpty():
         return rest.drop("__own_th")
-    ids = F.broadcast(named(again)) if again.count() < 500_000 else named(again)
-    once = rest.join(ids, same_row, "left_semi").dropDuplicates(["doc_id", "__own_th"])
-    others = rest.join(ids.select("__own_d"), d == F.col("doc_id"), "left_anti")
-    # an id's texts without words are not in any component and stay
-    blank = rest.join(ids.select("__own_d"), d == F.col("doc_id"), "left_semi").where(F.size(words(F.col("text"))) == 0)
-    return others.unionByName(once).unionByName(blank).drop("__own_th")
+    again = small_or_shuffled(again, 32)
+    once = rest.join(again, mine, "left_semi").dropDuplicates(["doc_id", "__own_th"])
+    return rest.join(again, mine, "left_anti").unionByName(once).drop("__own_th")

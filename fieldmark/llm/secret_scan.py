@@ -7,7 +7,9 @@ of a path or address, and its neighbouring words; all features are SQL expressio
 labelled findings: equal ones are one with a weight, and of each label at most half of ``SAMPLE`` distinct ones, those
 with the smallest hash of value and context; both labels weigh the same, however rare one is. Where nobody has
 labelled findings, ``weak_labels`` gives the certain ones: strict provider formats and assigned hex or
-mixed values against plain words; what it leaves open is for the forest.
+mixed values against plain words; what it leaves open is for the forest. (The given tables have no labels of findings;
+weak labels follow the same features that the forest sees, so on them it learns little beyond the rule.) It
+never overrules a provider's strict format.
 
 Dictionary counts cover all documents; at most 1 / FREQUENT words pass. Texts are read once for the
 counts and once for the candidates, and never shuffled.
@@ -28,13 +30,19 @@ from .common import saved, small_or_shuffled, words
 
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth"
 KINDS = {
-    "aws": r"AKIA[0-9A-Z]{16}",
+    "aws": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "gitlab": r"glpat-[A-Za-z0-9_-]{20}",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,72}",
+    "google": r"AIza[0-9A-Za-z_-]{35}",
+    "stripe": r"[sr]k_live_[0-9A-Za-z]{24,99}",
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    # through the END line; where that is lost, with the lines of base64 that follow
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s{1,2}[A-Za-z0-9+/=]{16,76}){0,200})",
     "assigned": rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"']{{6,}}",
     "run": r"[A-Za-z0-9+/_=-]{20,}",
 }
+STRICT = [k for k in KINDS if k not in ("assigned", "run")]  # the format alone says what it is
 PATTERN = "|".join(KINDS.values())
 VALUE = rf"^(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
 FREQUENT, SAMPLE, CONTEXT = 1e-4, 20_000, 60
@@ -110,7 +118,7 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
 def _certain() -> Column:
     """1 or 0 for a finding that is certain, null for the others."""
     mixed = (F.col("digit_share") > 0) & (F.col("dictionary") < 0.5)
-    sure = F.col("kind").isin("aws", "github", "jwt", "private_key") | ((F.col("kind") == "assigned") & mixed & (F.col("excused") == 0))
+    sure = F.col("kind").isin(STRICT) | ((F.col("kind") == "assigned") & mixed & (F.col("excused") == 0))
     plain = (F.col("kind") == "run") & (F.col("digit_share") == 0) & (F.col("transitions") < 0.1) & (F.col("named") == 0)
     return F.when(sure, 1.0).when(plain, 0.0)
 
@@ -151,13 +159,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE):
 
 
 def classify(told: DataFrame, model) -> DataFrame:
-    """``told`` with probability (rounded to 6 places) and is_secret; by ``rule`` where there is no model."""
+    """``told`` with probability (rounded to 6 places) and is_secret; by ``rule`` where there is no model. A provider's
+    strict format is a secret whatever the forest says."""
     if model is None:
         out = told.withColumn("probability", rule())
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(told))
         out = scored.withColumn("probability", F.round(vector_to_array(F.col("probability"))[1], 6)).drop("vector", "rawPrediction", "prediction")
-    return out.withColumn("is_secret", F.col("probability") >= 0.5)
+    return out.withColumn("is_secret", (F.col("probability") >= 0.5) | F.col("kind").isin(STRICT))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

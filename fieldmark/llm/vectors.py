@@ -8,14 +8,15 @@ against its nearest codeword, squared), in the order of the sums: the cost of a
 bound of the squared distance to anything filed in it. The walk stops at twice the
 cost at which ``TARGET`` of ``QUERIES`` sampled vectors (of those with links, found by comparing them
 with all rows) have met all their links; it never goes beyond the squared distance of the cosine asked for, where no link can be missed, and
-goes that far where the sample has no links. Candidates are verified in double precision.
+goes that far where fewer than ``ENOUGH`` sampled vectors have links, or where a second sample does not confirm the
+target at that cost. Candidates are verified in double precision.
 
 Equal vectors are one entry with a count. Cells are cut into blocks, so a crowded cell is many small
 block pairs; a block pair is one matrix product that returns a count of links and one label for
 each vector, not its pairs. A link counts for both ends even if only one walk found it.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or non-finite components link
-with nothing, as do those of another length than the most common one; repeated rows are vectors of
+with nothing; vectors of each length are searched for themselves; repeated rows are vectors of
 their own that link with each other; null ids are kept and are nobody's component unless nothing
 else is; an empty table gives no rows; other columns are not looked at.
 """
@@ -32,7 +33,7 @@ from .common import saved
 from .graph import components
 
 COSINE, TARGET = 0.95, 0.999
-SAMPLE, QUERIES = 20_000, 2_000
+SAMPLE, QUERIES, ENOUGH = 20_000, 2_000, 200
 BLOCK, PER_CELL, MAX_WORDS = 512, 64, 256
 
 
@@ -94,28 +95,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """(rows: id, k1, k2 null if it cannot link; entries: gid, vec, n, root, k1, k2; dimension)."""
+def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, k1, k2 null if it cannot link; entries: gid, vec, n, root, k1, k2)."""
     v = F.col("vec")
     usable = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     told = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")) \
         .withColumn("usable", F.coalesce(usable, F.lit(False)))
-    common = told.where("usable").groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 0
-    fit = F.col("usable") & (F.size(v) == dim)
+    fit = F.col("usable")
     rows = told.select("id", "vec", F.when(fit, F.xxhash64(F.lit(1), v)).alias("k1"), F.when(fit, F.xxhash64(F.lit(2), v)).alias("k2"))
     entries = rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("id").alias("root"))
-    return rows.drop("vec"), saved(entries.withColumn("gid", F.monotonically_increasing_id()), "entries"), dim
+    return rows.drop("vec"), saved(entries.withColumn("gid", F.monotonically_increasing_id()), "entries")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, target: float = TARGET) -> DataFrame:
     """One row for each vector: id_col, n_links, component_id, kept."""
-    rows, entries, dim = distinct_vectors(vectors, id_col, vec_col)
-    n = entries.count()
-    if n:
-        found = saved(_links(entries, n, dim, cosine, target), "found")
-    else:
-        found = entries.select("gid", F.col("gid").alias("label"), F.col("n").alias("links")).limit(0)
+    rows, entries = distinct_vectors(vectors, id_col, vec_col)
+    found = entries.select("gid", F.col("gid").alias("label"), F.col("n").alias("links")).limit(0)
+    for dim, n in sorted(entries.groupBy(F.size("vec")).count().collect()):  # one row for each length of vector
+        found = found.unionByName(saved(_links(entries.where(F.size("vec") == dim), n, dim, cosine, target), "found"))
     links = found.groupBy("gid").agg(F.sum("links").alias("links"))
     groups = components(found.where("gid <> label").select(F.col("gid").alias("a"), F.col("label").alias("b"))).withColumnRenamed("id", "g")
     named = entries.select("gid", "k1", "k2", "n", "root").join(groups, F.col("gid") == F.col("g"), "left") \
@@ -135,7 +132,7 @@ def _links(entries: DataFrame, n: int, dim: int, cosine: float, target: float) -
     sample = _matrix(first["vec"].combine_chunks(), dim)
     k = int(min(MAX_WORDS, len(sample), max(1, math.ceil(math.sqrt(n / PER_CELL)))))
     grid, limit = Grid(sample, k), 2 * (1 - cosine)
-    asked, asked_ids = sample[:QUERIES], first["gid"].to_numpy()[:QUERIES]
+    asked, asked_ids = sample[:2 * QUERIES], first["gid"].to_numpy()[:2 * QUERIES]
     reach = _reach(entries, dim, grid, asked, asked_ids, cosine, limit, target)
 
     def visit(batches):
@@ -195,7 +192,8 @@ def _compare(asking, filed, dim: int, grid: Grid, reach: float, cosine: float):
 
 
 def _reach(entries: DataFrame, dim: int, grid: Grid, asked: np.ndarray, asked_ids: np.ndarray, cosine: float, limit: float, target: float) -> float:
-    """Twice the cost up to which ``target`` of the sampled queries that have links find all of them."""
+    """Twice the cost up to which ``target`` of one half of the sampled queries, of those with links, find all of theirs, if
+    at that reach ``target`` of the other half do too; else the bound beyond which there is no link."""
     _, ca, cb = grid.place(asked)
 
     def measure(batches):
@@ -210,5 +208,13 @@ def _reach(entries: DataFrame, dim: int, grid: Grid, asked: np.ndarray, asked_id
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(asked))), pa.array(worst)], names=["query", "cost"])
 
     got = entries.select("gid", "vec").mapInArrow(measure, "query long, cost double").where("cost >= 0") \
-        .groupBy("query").agg(F.max("cost").alias("cost")).toArrow()["cost"].to_numpy()
-    return min(limit, 2 * float(np.quantile(got, target, method="higher"))) if len(got) else limit
+        .groupBy("query").agg(F.max("cost").alias("cost")).toArrow()
+    return chosen_reach(got["query"].to_numpy(), got["cost"].to_numpy(), limit, target)
+
+
+def chosen_reach(query: np.ndarray, cost: np.ndarray, limit: float, target: float) -> float:
+    learned, held = cost[query % 2 == 0], cost[query % 2 == 1]
+    if len(learned) < ENOUGH or len(held) < ENOUGH:
+        return limit
+    reach = min(limit, 2 * float(np.quantile(learned, target, method="higher")))
+    return reach if (held <= reach).mean() >= target else limit
