@@ -33,7 +33,8 @@ from .common import saved
 from .graph import components
 
 COSINE, TARGET = 0.95, 0.999
-SAMPLE, QUERIES, ENOUGH = 20_000, 2_000, 200
+SAMPLE, QUERIES, ENOUGH = 20_000, 2_000, 100
+VISITS = 20_000  # visits that leave a task at a time
 BLOCK, PER_CELL, MAX_WORDS = 512, 64, 256
 
 
@@ -142,10 +143,11 @@ def _links(entries: DataFrame, n: int, dim: int, cosine: float, target: float) -
                 unit = _matrix(part["vec"], dim)
                 home, ca, cb = grid.place(unit)
                 row, cell = grid.walk(ca, cb, reach)
-                ids, counts = part["gid"].to_numpy()[row], part["n"].to_numpy()[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int64()), pa.array(home[row] == cell), pa.array(ids), pa.array(counts), part["vec"].take(pa.array(row))],
-                    names=["cell", "at_home", "gid", "n", "vec"])
+                for begin in range(0, len(row), VISITS):
+                    r, c = row[begin:begin + VISITS], cell[begin:begin + VISITS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int64()), pa.array(home[r] == c), part["gid"].take(pa.array(r)), part["n"].take(pa.array(r)), part["vec"].take(pa.array(r))],
+                        names=["cell", "at_home", "gid", "n", "vec"])
 
     kind = entries.schema["vec"].dataType.simpleString()
     visits = saved(entries.select("gid", "n", "vec").mapInArrow(visit, f"cell long, at_home boolean, gid long, n long, vec {kind}"), "visits")
