@@ -14,7 +14,8 @@ are taken out).
 
 Plan: one scan explodes bucket numbers into an aggregation with at most ``buckets`` groups a task;
 a second scan joins the bucket weights (a broadcast of ``buckets`` rows, a fixed size) and sums them
-by row inside the scanning task. Texts are shuffled only if there are too many trusted doc_ids for a
+by row inside the scanning task, for trusted texts also without their own counts; the sums, one row a
+document, are stored and give threshold and verdicts. Texts are shuffled only if there are too many trusted doc_ids for a
 checked broadcast.
 
 Defined results: a null or empty text has no words, no n-grams, score 0 and fails the base rules;
@@ -34,6 +35,7 @@ THRESHOLD = -0.2
 SMOOTHING = 10.0
 LOWEST, STEPS = 0.001, 1000
 SYMBOLS = "#*$%&|<>"
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _symbols(text: Column) -> Column:
@@ -90,21 +92,20 @@ def covered(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(F.get(bound, 0))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), the base figures and the n-grams of each row."""
+def features(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, th (hash of the text), the base figures, the words' hashes h and the columns ``more`` of each row."""
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text")) \
+    step = docs.select("doc_id", *more, F.xxhash64("text").alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text")) \
         .withColumns({"w": words(F.col("text")), "lines": lines}) \
         .withColumn("h", hashes(F.col("w"))) \
         .withColumn("windows", repeated_words(F.col("h")))
     n_words, n_repeat = F.size("w").cast("long"), covered(F.col("windows")).cast("long")
     return step.select(
-        "doc_id", "th", n_words.alias("n_words"),
+        "doc_id", *more, "th", n_words.alias("n_words"),
         _word_chars(F.col("text")).cast("long").alias("word_chars"),
         _symbols(F.col("text")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        n_repeat.alias("n_repeat_words"),
-        grams_of(F.col("h")).alias("grams"))
+        n_repeat.alias("n_repeat_words"), "h")
 
 
 def _bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
@@ -133,31 +134,56 @@ def _evidence(good: Column, good_all: Column, raw: Column, raw_all: Column) -> C
     return F.log((good + SMOOTHING) / (expected + SMOOTHING))
 
 
+def buckets_of(h: Column, buckets: int) -> Column:
+    """Buckets of a text's words and word pairs, as ``bucket_pair`` has them, in one array."""
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")),
+                    F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.pmod(a * F.lit(1000003) + b, F.lit(buckets)).cast("int")))
+
+
 def _runs(values: Column) -> Column:
-    """(bucket, m) of each distinct value and how often it occurs; sorted within the row."""
+    """(a, null, m) of each distinct value a of a nonempty list and how often it occurs; sorted within the row."""
     def starts(p: Column) -> Column:
-        return F.filter(F.transform(p, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: (e["i"] == 0) | (F.get(p, e["i"] - 1) != e["x"]))
+        return F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i - 1) != F.get(p, i)))
 
     def told(p: Column) -> Column:
-        return F.get(F.transform(F.array(starts(p)), lambda s: F.transform(s, lambda e, k: F.struct(
-            e["x"].alias("bucket"), (F.coalesce(F.get(s, k + 1)["i"], F.size(p)) - e["i"]).alias("m")))), 0)
+        return F.get(F.transform(F.array(starts(p)), lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(p, i).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), (F.coalesce(F.get(s, k + 1), F.size(p)) - i).alias("m")))), 0)
 
     # one-element arrays bind the sorted lists to a name, so that they are made once
     return F.get(F.transform(F.array(F.sort_array(values)), told), 0)
 
 
-def trusted_threshold(docs: DataFrame, trusted: DataFrame, counts: DataFrame, buckets: int = BUCKETS) -> float:
-    """The ``LOWEST`` quantile, in steps of 1 / STEPS, of the scores of all trusted documents that pass the
-    base rules, each scored without its own counts; at most 0, and 0 if there are none."""
+def _evidence_scores(docs: DataFrame, trusted: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """One row for each document, from one scan: doc_id, th, the base figures, score, and for trusted ones
+    also own, the score without their own counts. Only trusted texts have their buckets counted in the row."""
     ids = trusted.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
-    own = features(docs.join(small_or_shuffled(ids, 32), F.col("doc_id") == F.col("id"), "left_semi")).withColumn("row", F.monotonically_increasing_id())
-    all_buckets = F.filter(F.flatten(F.transform("grams", lambda g: bucket_pair(g["a"], g["b"], buckets))), lambda x: x.isNotNull())
-    rows = own.select("row", "n_words", "n_repeat_words", F.inline(_runs(all_buckets)).alias("bucket", "m")).withColumn("n", 2 * F.col("n_words") - 1)
-    weight = _evidence(F.col("good") - F.col("m"), F.col("good_all") - F.col("n"), F.col("raw") - F.col("m"), F.col("raw_all") - F.col("n"))
-    scores = rows.join(F.broadcast(counts), "bucket").groupBy("row").agg(
-        F.max("n_words").alias("n_words"), F.max("n_repeat_words").alias("n_repeat_words"), (F.sum(weight * F.col("m")) / F.max("n")).alias("score")).where(~_failed())
-    # a mean of logs of counts: the steps are a bounded list, whatever the corpus
-    steps = sorted(scores.groupBy(F.floor(F.round(F.col("score"), 9) * STEPS).alias("step")).count().collect())
+    marked = docs.select("doc_id", "text").join(small_or_shuffled(ids, 32), F.col("doc_id") == F.col("id"), "left") \
+        .select("doc_id", "text", F.col("id").isNotNull().alias("known"))
+    h, carried = F.col("h"), ["row", "known", "doc_id", "th", *BASE]
+    # a trusted text gives (bucket, null, m), any other its words' hashes, whose buckets come after the generator
+    once = F.arrays_zip(h.alias("a"), F.slice(h, 2, F.greatest(F.size(h), F.lit(1))).alias("b"), F.array_repeat(F.lit(None).cast("int"), F.size(h)).alias("m"))
+    counted = F.when(F.col("known") & (F.size(h) > 0), _runs(buckets_of(h, buckets))).otherwise(once)
+    told, pair = F.col("m").isNotNull(), bucket_pair(F.col("a"), F.col("b"), buckets)
+    rows = features(marked, "known").withColumn("row", F.monotonically_increasing_id()) \
+        .select(*carried, F.inline_outer(counted).alias("a", "b", "m")) \
+        .select(*carried, F.explode(F.array(F.when(told, F.col("a")).otherwise(pair[0]), F.when(~told, pair[1]))).alias("bucket"), F.coalesce("m", F.lit(1)).alias("m"))
+    n = 2 * F.col("n_words") - 1
+    others = _evidence(F.col("good") - F.col("m"), F.col("good_all") - n, F.col("raw") - F.col("m"), F.col("raw_all") - n)
+    weights = counts.withColumn("weight", F.round(_evidence(F.col("good"), F.col("good_all"), F.col("raw"), F.col("raw_all")), 9))
+    # the sum is by row within the task that read it: partial sums leave one row a document
+    total = rows.join(F.broadcast(weights), "bucket", "left").groupBy("row").agg(
+        F.max("known").alias("known"), F.max("doc_id").alias("doc_id"), F.max("th").alias("th"), *[F.max(c).alias(c) for c in BASE],
+        F.sum(F.col("weight") * F.col("m")).alias("total"), F.sum(F.when(F.col("bucket").isNotNull(), F.col("m"))).alias("n_grams"),
+        F.sum(F.when(F.col("known"), others * F.col("m"))).alias("own"))
+    mean = F.when(F.col("n_grams") > 0, F.round(F.col("total") / F.col("n_grams"), 9)).otherwise(0.0)
+    return total.select("doc_id", "th", *BASE, mean.alias("score"), F.when(F.col("known"), F.col("own") / F.col("n_grams")).alias("own"))
+
+
+def _lowest(scores: DataFrame) -> float:
+    """The ``LOWEST`` quantile of ``own``, in steps of 1 / STEPS, where the base rules pass; at most 0, and 0
+    if there are none. The steps of a mean of logs of counts are a bounded list, whatever the corpus."""
+    steps = sorted(scores.where(F.col("own").isNotNull() & ~_failed()).groupBy(F.floor(F.round(F.col("own"), 9) * STEPS).alias("step")).count().collect())
     left = LOWEST * sum(r["count"] for r in steps)
     for r in steps:
         if r["count"] > left:
@@ -166,6 +192,12 @@ def trusted_threshold(docs: DataFrame, trusted: DataFrame, counts: DataFrame, bu
     return 0.0
 
 
+def trusted_threshold(docs: DataFrame, trusted: DataFrame, counts: DataFrame, buckets: int = BUCKETS) -> float:
+    """The ``LOWEST`` quantile of the scores of all trusted documents that pass the base rules, each scored
+    without its own counts."""
+    return _lowest(_evidence_scores(docs, trusted, counts, buckets))
+
+
 def score(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, th, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score, kept."""
@@ -182,9 +214,9 @@ def accept(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshol
 def score_by_evidence(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """As ``score``, with weights and a threshold that do not follow the size of the trusted set."""
     counts = saved(_bucket_counts(docs, trusted, buckets), "evidence")
-    weights = counts.select("bucket", F.round(_evidence(F.col("good"), F.col("good_all"), F.col("raw"), F.col("raw_all")), 9).alias("weight"))
-    threshold = trusted_threshold(docs, trusted, counts, buckets)
-    return _sums(features(docs).withColumn("row", F.monotonically_increasing_id()), weights, buckets, threshold)
+    scores = saved(_evidence_scores(docs, trusted, counts, buckets), "scores")
+    return scores.select("doc_id", "th", *BASE, _failed().alias("base_failed"), "score",
+                         (~_failed() & (F.col("score") >= _lowest(scores))).alias("kept"))
 
 
 def accept_by_evidence(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -203,13 +235,12 @@ def _failed() -> Column:
 
 
 def _sums(rows: DataFrame, weights: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = rows.select("row", "doc_id", "th", *base, F.inline_outer("grams").alias("a", "b")) \
-        .select("row", "doc_id", "th", *base, F.explode(bucket_pair(F.col("a"), F.col("b"), buckets)).alias("bucket"))
+    grams = rows.select("row", "doc_id", "th", *BASE, F.inline_outer(grams_of(F.col("h"))).alias("a", "b")) \
+        .select("row", "doc_id", "th", *BASE, F.explode(bucket_pair(F.col("a"), F.col("b"), buckets)).alias("bucket"))
     # the sum is by row within the task that read it: partial sums leave one row a document
     total = grams.join(F.broadcast(weights), "bucket", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("th").alias("th"), *[F.max(c).alias(c) for c in base],
+        F.max("doc_id").alias("doc_id"), F.max("th").alias("th"), *[F.max(c).alias(c) for c in BASE],
         F.sum("weight").alias("total"), F.count("bucket").alias("n_grams"))
     mean = F.when(F.col("n_grams") > 0, F.round(F.col("total") / F.col("n_grams"), 9)).otherwise(0.0)
-    return total.select("doc_id", "th", *base, _failed().alias("base_failed"), mean.alias("score"),
+    return total.select("doc_id", "th", *BASE, _failed().alias("base_failed"), mean.alias("score"),
                         (~_failed() & (mean >= threshold)).alias("kept"))
