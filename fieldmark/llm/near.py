@@ -14,8 +14,10 @@ Equal sets are one class with a member list. A key's members are not all paired
 first each is paired with the key's most central class (the one that shares most keys), links are
 confirmed and components taken; then the classes that share such a hub's keys and lie in different
 components are compared in blocks, by signature and, if that is close, on the full sets. A pair inside a
-component is connected already, so no link can change the result. Sums by key are pre-aggregated,
-joins on keys can be split where a key is hot. Only texts of candidate classes are moved.
+component is connected already, so no link can change the result: blocks of a hub's largest component
+do not meet each other. Blocks are bounded by members and by shingles, and each pair of blocks is dealt
+for itself. Joins on a hub are dealt by hub and salt, a salt for every ``SALTED`` rows; sums by key are
+pre-aggregated, joins on keys can be split where a key is hot. Only texts of candidate classes are moved.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and are
 their own component; a text with fewer words than a shingle is one shingle of all its words;
@@ -36,7 +38,8 @@ from .common import lower_ascii, saved, small_or_shuffled, words
 from .graph import components
 
 SYMBOLS, MORE, ERRORS, MISS = 64, 192, 1, 1e-6
-SLICE, BLOCK = 1 << 18, 512
+SLICE, BLOCK, BLOCK_SHINGLES = 1 << 18, 512, 1 << 19
+SALTED, HOT_KEYS = 256, 1 << 20
 
 
 def shingles(text: Column, size: int) -> Column:
@@ -166,9 +169,9 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # a class that shares its keys with many others is central: each key's most central class is its
     # hub, and the classes that share a hub's keys are its group
     degree = saved(members.groupBy(F.col("cid").alias("v")).agg(F.sum("c").alias("degree")), "degrees")
-    placed = saved(members.join(degree, F.col("cid") == F.col("v")).select("key", "cid", "degree"), "placed")
+    placed = saved(members.join(degree, F.col("cid") == F.col("v")).select("key", "cid", "n", "degree"), "placed")
     hubs = placed.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("degree", "cid")).alias("top"))
-    group = saved(placed.join(hubs, F.col("key") == F.col("k")).select(F.col("top.cid").alias("hub"), "cid").distinct(), "groups")
+    group = saved(placed.join(hubs, F.col("key") == F.col("k")).select(F.col("top.cid").alias("hub"), "cid", "n").distinct(), "groups")
     within = distance_bound(percent, SYMBOLS + MORE)
     stars = group.where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     links = _confirmed(docs, _close(stars, classes, within, percent), classes, size, percent)
@@ -184,12 +187,37 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "first")
 
 
+def _spread(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``side`` (one row a key) on ``key``. The rows of a key that has over ``SALTED`` are dealt
+    by a salt from ``by``, and only its side is repeated, once for so many rows. At most ``HOT_KEYS`` keys are
+    hot (the floor rises with the rows for that), so their list can be broadcast."""
+    most = max(SALTED, rows.count() // HOT_KEYS)
+    hot = saved(rows.groupBy(F.col(key).alias("__hot")).agg(F.ceil(F.count(F.lit(1)) / most).alias("__salts")).where("__salts > 1"), "hot")
+    if hot.isEmpty():
+        return rows.join(side, key)
+    hot = F.broadcast(hot)
+    dealt = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1)))).drop("__hot", "__salts")
+    repeated = side.join(hot, F.col(key) == F.col("__hot"), "left") \
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))).drop("__hot", "__salts")
+    return dealt.join(repeated, [key, "__salt"]).drop("__salt")
+
+
 def _open(group: DataFrame, links: DataFrame) -> DataFrame:
-    """The groups that lie in different components yet: hub, cid, part (the component)."""
+    """The groups that lie in different components yet: hub, cid, part (the component), block and, for each
+    hub, at (number of blocks of its largest part, which come first) and blocks (of all)."""
     label = components(links)
-    now = saved(group.join(label, F.col("cid") == F.col("id"), "left").select("hub", "cid", F.coalesce("component", "cid").alias("part")), "placed")
-    split = now.groupBy(F.col("hub").alias("h")).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("h")
-    return saved(now.join(split, F.col("hub") == F.col("h")).drop("h"), "open")
+    now = saved(group.join(label, F.col("cid") == F.col("id"), "left").select("hub", "cid", "n", F.coalesce("component", "cid").alias("part")), "placed")
+    parts = now.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    top = F.max(F.struct("c", "part", "s"))
+    split = parts.groupBy("hub").agg(top.alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("parts > 1")
+
+    def needed(members: Column, shingles_: Column) -> Column:
+        return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles_ / BLOCK_SHINGLES))
+
+    numbered = saved(split.select("hub", F.col("top.part").alias("main"), needed(F.col("top.c"), F.col("top.s")).alias("at"),
+                                  needed(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("others")), "split")
+    block = F.when(F.col("part") == F.col("main"), F.pmod(F.xxhash64("cid"), F.col("at"))).otherwise(F.col("at") + F.pmod(F.xxhash64("cid"), F.col("others")))
+    return saved(_spread(now, numbered, "hub", "cid").select("hub", "cid", "part", block.alias("block"), "at", (F.col("at") + F.col("others")).alias("blocks")), "open")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, bound: int, percent: int) -> DataFrame:
@@ -206,13 +234,13 @@ def _close(pairs: DataFrame, classes: DataFrame, bound: int, percent: int) -> Da
     left = side.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     right = side.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return saved(pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long"), "close")
+    return saved(_spread(pairs, left, "a", "b").join(right, "b").where(fits).select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long"), "close")
 
 
 def _across(docs: DataFrame, group: DataFrame, classes: DataFrame, within: int, size: int, percent: int) -> DataFrame:
     """Links (a, b) between members of one group that lie in different parts, stored. A group is cut
-    into blocks that hold its members' signatures and full sets; each pair of blocks is one row and
-    is compared as a whole."""
+    into blocks that hold its members' signatures and full sets; each pair of blocks, but for those within the
+    largest part, is one row, dealt by hub and both numbers, and is compared as a whole."""
     def compare(batches):
         for batch in batches:
             for r in range(batch.num_rows):
@@ -222,13 +250,12 @@ def _across(docs: DataFrame, group: DataFrame, classes: DataFrame, within: int,
 
     texts = _texts(docs, group.select(F.col("cid").alias("i")), classes)
     sets = texts.select(F.col("cid").alias("t"), F.array_sort(shingles(F.col("text"), size)).alias("sh"))
-    count = group.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    told = group.join(count, F.col("hub") == F.col("h")).join(classes.select(F.col("cid").alias("v"), "sig"), F.col("cid") == F.col("v")) \
+    told = group.join(classes.select(F.col("cid").alias("v"), "sig"), F.col("cid") == F.col("v")) \
         .join(sets, F.col("cid") == F.col("t"))
-    blocks = saved(told.groupBy("hub", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("i"))
-                   .agg(F.collect_list(F.struct("cid", "part", "sig", "sh")).alias("xs")), "blocks")
-    other = blocks.select(F.col("hub").alias("h"), F.col("i").alias("j"), F.col("xs").alias("ys"))
-    pairs = blocks.join(other, (F.col("hub") == F.col("h")) & (F.col("i") <= F.col("j"))).select("i", "j", "xs", "ys")
+    blocks = saved(told.groupBy("hub", "block", "at", "blocks").agg(F.collect_list(F.struct("cid", "part", "sig", "sh")).alias("xs")), "blocks")
+    one = blocks.select("hub", F.col("block").alias("i"), F.explode(F.sequence(F.greatest("block", "at"), F.col("blocks") - 1)).alias("j"), "xs")
+    other = blocks.where("block >= at").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("xs").alias("ys"))
+    pairs = one.join(other, ["hub", "i", "j"]).select("i", "j", "xs", "ys")
     return saved(pairs.mapInArrow(compare, "a long, b long").distinct(), "across")
 
 
@@ -271,7 +298,7 @@ def _texts(docs: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold, stored. Only texts of classes in pairs move."""
     texts = _texts(docs, pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))), classes)
-    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    both = _spread(pairs, texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a", "b").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
     sets = both.select("a", "b", shingles(F.col("ta"), size).alias("sa"), shingles(F.col("tb"), size).alias("sb"))
     counted = sets.withColumn("common", F.size(F.array_intersect("sa", "sb"))).withColumn("either", F.size("sa") + F.size("sb") - F.col("common"))
     return saved(counted.where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b"), "links")

@@ -79,6 +79,36 @@ def test_multi_index_finds_all_pairs_within_the_bound():
     assert not (near.chunk_keys(a[:-1], chunks) == near.chunk_keys(a[1:], chunks)).any()
 
 
+def test_hot_keys_are_dealt_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(near, "SALTED", 16)
+    rows = spark.createDataFrame([(1, i) for i in range(1000)] + [(i, i) for i in range(2, 40)] + [(99, 5), (None, 6)], "k long, v long")
+    side = spark.createDataFrame([(i, f"s{i}") for i in range(60)] + [(None, "none")], "k long, w string")
+    got = near._spread(rows, side, "k", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(side, "k").collect()))
+    empty = near._spread(rows.limit(0), side, "k", "v")
+    assert empty.count() == 0 and empty.columns == got.columns == ["k", "v", "w"]
+
+
+def test_near_duplicates_of_hot_hubs_in_small_blocks(spark, monkeypatch):
+    """Several large families around shared passages: hubs with many parts, dealt by salt and in small blocks."""
+    import random
+    monkeypatch.setattr(near, "SALTED", 4)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 600)
+    rng = random.Random(5)
+    common, texts = [f"c{i}" for i in range(60)], []
+    for family in range(4):
+        own = [f"f{family}w{i}" for i in range(10)]
+        for _ in range(30):
+            words = common + own
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(1000)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows, 3, 85))
+
+
 def test_near_duplicates_without_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near.near_duplicates(none).count() == 0 and near.one_of_each(none).count() == 0
