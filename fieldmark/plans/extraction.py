@@ -14,7 +14,8 @@ from . import evaluation as EV
 
 def doc_records(fx: Fixtures) -> DataFrame:
     """Answer-key header with the print-only attributes and nested line items."""
-    return fx["inv_truth"].join(truth_items(fx["inv_lines"]), "k", "left")
+    header = fx["inv_truth"]
+    return header.join(truth_items(fx["inv_lines"]), ["file", "k"], "left").select(*header.columns, "line_items")
 
 
 def doc_text(fx: Fixtures) -> DataFrame:
