@@ -22,12 +22,13 @@ RUN_PARTITIONS = ["dataset", "method", "model", "prompt_version"]
 FILES_PER_RUN = 32
 
 
-def write_run_rows(rows: DataFrame, path: str) -> None:
+def write_run_rows(rows: DataFrame, path: str, bucketed: bool = False) -> None:
     """S3: one stored output per (dataset, method, model, version); writing a run again replaces
-    exactly its partition (dynamic partition overwrite), other runs stay."""
+    exactly its partition (dynamic partition overwrite), other runs stay. ``bucketed`` rows come from a table bucketed by
+    file: they are written as they lie, a file a bucket and run."""
     # rows of a run meet by run and hash of the file, so a run is a bounded number of files
-    rows.repartition(*RUN_PARTITIONS, F.pmod(F.xxhash64("file"), F.lit(FILES_PER_RUN))) \
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_PARTITIONS).parquet(path)
+    dealt = rows if bucketed else rows.repartition(*RUN_PARTITIONS, F.pmod(F.xxhash64("file"), F.lit(FILES_PER_RUN)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_PARTITIONS).parquet(path)
 
 
 def run_id_of() -> Column:
@@ -36,13 +37,15 @@ def run_id_of() -> Column:
                     F.when(F.col("method") == "claude", F.concat(F.lit("__"), "prompt_version")).otherwise(F.lit("")))
 
 
-def publish_runs(headers: DataFrame, scored: DataFrame, store: str) -> None:
+def publish_runs(headers: DataFrame, scored: DataFrame, store: str, bucketed: bool = False) -> None:
     """S3: store the runs of ``headers`` (one row a run: run_id and header columns) with their scored rows. Summaries
-    are taken from the rows as stored; a run without rows has zeros. Columns that a header lacks stay null."""
+    are taken from the rows as stored; a run without rows has zeros. Columns that a header lacks stay null. ``bucketed``
+    as in ``write_run_rows``."""
     spark, write = headers.sparkSession, uuid.uuid4().hex
     staged = f"{store.rstrip('/')}/rows"
     mine = scored.join(dimension(headers.select("run_id")), "run_id", "left_semi").withColumn("write", F.lit(write))
-    mine.repartition("run_id", F.pmod(F.xxhash64("file"), F.lit(FILES_PER_RUN))).write.mode("append").partitionBy("write", "run_id").parquet(staged)
+    dealt = mine if bucketed else mine.repartition("run_id", F.pmod(F.xxhash64("file"), F.lit(FILES_PER_RUN)))
+    dealt.write.mode("append").partitionBy("write", "run_id").parquet(staged)
     back = spark.read.schema(mine.schema).parquet(staged).where(F.col("write") == write)
     known = headers.select(*[c for c in headers.columns if c in RUN_MANIFEST.names]) \
         .withColumns({"write": F.lit(write), "published_at": F.lit(time.time_ns())})

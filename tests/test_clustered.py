@@ -3,7 +3,9 @@ import datetime as dt
 
 import pytest
 
+from fieldmark import registry
 from fieldmark.operators.assembly import run_rows
+from fieldmark.plans import evaluation as EV
 from fieldmark.sources import clustered, tables
 from fieldmark.sources.fixtures import FIXTURES
 from fieldmark.sources.tables import Fixtures
@@ -73,3 +75,15 @@ def test_more_documents_make_more_buckets(spark, folder, monkeypatch):
     monkeypatch.setattr(tables, "DOCUMENTS_PER_BUCKET", 10)
     monkeypatch.setattr(tables, "_BUCKETS", {})
     assert tables._buckets(spark, folder) == 41  # 402 orders
+
+
+def test_stored_runs_are_written_as_they_lie(spark, folder, monkeypatch):
+    """The run store writes bucketed rows without dealing them again, with the counts of the rows."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    fx, dealt, was = Fixtures(spark, folder), [], DataFrame.repartition
+    of_run = [{r.run_id: r["count"] for r in t.groupBy("run_id").count().collect()} for t in (EV.rows(fx), EV.scored(fx))]
+    EV.summary(fx)
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: dealt.append(a) or was(self, *a))
+    rows = {r.run_id: r.documents for r in registry.QUERIES["s3_run_store"](spark, folder).collect()}
+    scored = {r.run_id: r.stored_rows for r in registry.QUERIES["s4_stored_runs"](spark, folder).collect()}
+    assert rows == of_run[0] and {k: n for k, n in scored.items() if n} == of_run[1] and not dealt
