@@ -1,9 +1,12 @@
 """Scoring semantics: hand cases, identity, greedy line-item matching, normalisation edges."""
+import random
+
 from pyspark.sql import functions as F
 
-from fieldmark.functions.matching import line_items_score
-from fieldmark.functions.text import norm_text, review_norm, score_number
-from fieldmark.operators.scoring import field_score, scores
+from fieldmark.constants import MONEY_TOLERANCE
+from fieldmark.functions.matching import line_items_score, matched_items
+from fieldmark.functions.text import money_input_invalid, norm_text, parse_money_input, review_norm, score_number
+from fieldmark.operators.scoring import field_score, score_rows, scores
 
 
 def _one(spark, col, data, schema):
@@ -91,3 +94,50 @@ def test_rule_based_reader_canary(spark):
     assert rows["rules__practice"].overall_accuracy >= 0.35
     assert rows["rules__test"].overall_accuracy < rows["rules__practice"].overall_accuracy
     assert rows["rules__practice"].perfect_documents == 0 and rows["rules__practice"].acc_line_items == round(empty / n, 9)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numbers_with_any_white_space_and_no_suffix(spark):
+    texts = [" 12 ", "12\n", "1.", ".5", "+1e3", "-.5E-1", "1e", ".", "1 2", "Infinity", "NaN", "0x1p3", "1f", "١", "$,", " \t", "1e999"]
+    rows = spark.createDataFrame([(x,) for x in texts], "s string").select(score_number(F.col("s"))).collect()
+    assert [r[0] for r in rows] == [12.0, 12.0, 1.0, 0.5, 1000.0, -0.05] + [None] * 10 + [float("inf")]
+    money = spark.createDataFrame([(x,) for x in [" $1,200.5 ", " ", "", "€", "twelve", None]], "s string") \
+        .select(parse_money_input(F.col("s")), money_input_invalid(F.col("s"))).collect()
+    assert [tuple(r) for r in money] == [(1200.5, False), (0.0, False), (0.0, False), (0.0, False), (None, True), (None, None)]
+
+
+def test_items_that_begin_alike_match_as_the_fold_does(spark):
+    """Lists alike at first, then dropped, added, shifted or reversed: the greedy match by hand."""
+    rng = random.Random(5)
+
+    def greedy(t, p):
+        left, n = list(p), 0
+        for q, a in t:
+            i = next((i for i, (x, y) in enumerate(left) if x == q and abs(y - a) < MONEY_TOLERANCE), None)
+            if i is not None:
+                n, _ = n + 1, left.pop(i)
+        return n
+    lists = []
+    for _ in range(400):
+        t = [(float(rng.randint(1, 2)), rng.randint(100, 103) / 100) for _ in range(rng.randint(1, 6))]
+        p = list(t)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(p))
+            p = rng.choice([p[:at] + p[at + 1:], p[:at] + [(1.0, 1.02)] + p[at:], p[:at] + p[at:][::-1], [(q, round(a + 0.01, 2)) for q, a in p]])
+        lists.append((t, p))
+    df = spark.createDataFrame([([("", q, 0.0, a) for q, a in t], [("", str(q), "", str(a)) for q, a in p]) for t, p in lists],
+                               "t array<struct<description:string,quantity:double,unit_price:double,amount:double>>, "
+                               "p array<struct<description:string,quantity:string,unit_price:string,amount:string>>")
+    assert [r[0] for r in df.select(matched_items(F.col("t"), F.col("p"))).collect()] == [greedy(t, p) for t, p in lists]
+
+
+def test_items_are_matched_once_a_row(spark):
+    """The item score also counts in the mean, but is computed once."""
+    from fieldmark.plans import evaluation as EV
+    from fieldmark.sources.tables import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    j = EV.truth(fx).join(EV.rows(fx).select("run_id", "file", "fields", "input_tokens", "output_tokens", "seconds", "model", "note", "error"), "file")
+    assert plan_of(score_rows(j)).count("zip_with(") == 1
