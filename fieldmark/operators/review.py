@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (EXPORT_AUTO, EXPORT_NEEDS_REVIEW, HEADER_FIELDS, MONEY_FIELDS, QUEUE_FLAGGED, QUEUE_SPOT,
                          STATUS_APPROVED, STATUS_CORRECTED)
+from ..functions.matching import let
 from ..functions.text import money_input_invalid, parse_money_input, parse_number, review_norm, round_to, strip
 from .dims import dimension
 from .metrics import to_human
@@ -70,19 +71,20 @@ def _item_key(i) -> Column:
     """R4 key of one item: trimmed description, quantity, unit price and amount rounded to 2 (a
     missing or empty number is 0); items with an unparsable number compare by raw text."""
     def num(x):
-        s = x.cast("string")
-        return F.when(s.isNull() | (s == ""), F.lit(0.0)).otherwise(parse_number(s))
-    q, u, a = num(i["quantity"]), num(i["unit_price"]), num(i["amount"])
-    bad = q.isNull() | u.isNull() | a.isNull()
+        return let(x.cast("string"), lambda s: F.when(s.isNull() | (s == ""), F.lit(0.0)).otherwise(parse_number(s)))
     raw = F.array(i["description"].cast("string"), i["quantity"].cast("string"), i["unit_price"].cast("string"),
                   i["amount"].cast("string"))
-    return F.when(bad, F.struct(F.lit(None).cast("string").alias("d"), F.lit(None).cast("double").alias("q"),
-                                F.lit(None).cast("double").alias("u"), F.lit(None).cast("double").alias("a"),
-                                raw.alias("raw"))) \
-        .otherwise(F.struct(strip(F.coalesce(i["description"].cast("string"), F.lit(""))).alias("d"),
-                            (q + F.lit(0.0)).alias("q"), (round_to(u, 2) + F.lit(0.0)).alias("u"),
-                            (round_to(a, 2) + F.lit(0.0)).alias("a"),
-                            F.lit(None).cast("array<string>").alias("raw")))
+
+    def key(n):
+        bad = n["q"].isNull() | n["u"].isNull() | n["a"].isNull()
+        return F.when(bad, F.struct(F.lit(None).cast("string").alias("d"), F.lit(None).cast("double").alias("q"),
+                                    F.lit(None).cast("double").alias("u"), F.lit(None).cast("double").alias("a"),
+                                    raw.alias("raw"))) \
+            .otherwise(F.struct(strip(F.coalesce(i["description"].cast("string"), F.lit(""))).alias("d"),
+                                (n["q"] + F.lit(0.0)).alias("q"), (round_to(n["u"], 2) + F.lit(0.0)).alias("u"),
+                                (round_to(n["a"], 2) + F.lit(0.0)).alias("a"),
+                                F.lit(None).cast("array<string>").alias("raw")))
+    return let(F.struct(num(i["quantity"]).alias("q"), num(i["unit_price"]).alias("u"), num(i["amount"]).alias("a")), key)
 
 
 def items_key(items: Column) -> Column:
@@ -148,7 +150,9 @@ def review_events(subs: DataFrame, rows: DataFrame) -> DataFrame:
     # the original record as the form saw it: missing fields are ''
     original = F.struct(*[F.coalesce(F.col("original")[f].cast("string"), F.lit("")).alias(f) for f in HEADER_FIELDS],
                         F.col("original")["line_items"].alias("line_items"))
-    changed = changed_fields(original, F.col("final"))
+    # compared in a projection of its own: the status and the list would each compare all fields again
+    e = e.withColumn("original", original).withColumn("_changed", changed_fields(F.col("original"), F.col("final")))
+    changed = F.col("_changed")
     status = F.when(F.size(changed) > 0, F.lit(STATUS_CORRECTED)).otherwise(F.lit(STATUS_APPROVED))
     deleted = F.col("action") == "clear"
     return e.select("run_id", "file", "event_seq", "reviewed_at", "queue", "note",
@@ -156,7 +160,7 @@ def review_events(subs: DataFrame, rows: DataFrame) -> DataFrame:
                     F.when(~deleted, changed).alias("changed_fields"),
                     F.when(~deleted, F.col("final")).alias("final"),
                     deleted.alias("deleted"),
-                    F.when(~deleted, original).alias("original"))
+                    F.when(~deleted, F.col("original")).alias("original"))
 
 
 def latest_events(events: DataFrame) -> DataFrame:

@@ -128,3 +128,19 @@ def test_item_rows_reject_submission(spark):
     got = df.select(R.items_invalid(F.col("items")).alias("bad"), R.reviewer_items(F.col("items")).alias("it")).collect()
     assert [g.bad for g in got] == [False, True, False]
     assert len(got[0].it) == 1 and got[2].it[0].quantity == 0.0 and got[2].it[0].unit_price == 89.5
+
+
+def test_decisions_compare_a_record_once_and_do_not_deal_the_answer_key_again(spark):
+    from fieldmark.operators.review import review_events
+    from fieldmark.plans import evaluation as EV, reviewing as RV
+    from fieldmark.sources.tables import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        subs = RV.submissions(fx)
+        plan = subs._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(k" not in plan, plan
+        assert review_events(subs, EV.rows(fx))._jdf.queryExecution().optimizedPlan().toString().count("THEN bill_to") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
