@@ -87,3 +87,17 @@ def test_stored_runs_are_written_as_they_lie(spark, folder, monkeypatch):
     rows = {r.run_id: r.documents for r in registry.QUERIES["s3_run_store"](spark, folder).collect()}
     scored = {r.run_id: r.stored_rows for r in registry.QUERIES["s4_stored_runs"](spark, folder).collect()}
     assert rows == of_run[0] and {k: n for k, n in scored.items() if n} == of_run[1] and not dealt
+
+
+def test_calls_are_not_stored_and_settings_of_a_write_do_not_stay(spark, folder, monkeypatch):
+    """Run rows are made from the calls as they come, items nested from rows sorted once; the session is left as it was."""
+    monkeypatch.setattr(tables, "_WRITTEN", {})
+    monkeypatch.setattr(tables, "_RUN_TAG", "calls")
+    names = [*tables.NESTING, "spark.sql.maxConcurrentOutputFileWriters"]
+    was, fx = [spark.conf.get(c, None) for c in names], Fixtures(spark, folder)
+    with tables._settings(spark, tables.NESTING):
+        plan = run_rows(fx["run_calls"], fx["run_items"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan
+    want = rows_of(run_rows(by_sql(fx, "run_calls"), by_sql(fx, "run_items")))
+    assert rows_of(EV.rows(fx)) == want and len(want) > 1000
+    assert "run_calls" not in {name for _, _, name in tables._WRITTEN} and [spark.conf.get(c, None) for c in names] == was
