@@ -141,3 +141,21 @@ def test_items_are_matched_once_a_row(spark):
     fx = Fixtures(spark, "/root/testdata/sf0.001")
     j = EV.truth(fx).join(EV.rows(fx).select("run_id", "file", "fields", "input_tokens", "output_tokens", "seconds", "model", "note", "error"), "file")
     assert plan_of(score_rows(j)).count("zip_with(") == 1
+
+
+def test_shortcuts_score_as_the_whole_forms_do(spark):
+    """Equal texts, plain numbers and lists alike in place take shortcuts with the results of the normalised forms."""
+    from fieldmark.functions.matching import _all_alike, _comparable, _fold
+    from fieldmark.functions.text import norm_text, parse_number, same_text, without
+    texts = [None, "", " ", ".", "A", "a", "Straße", "STRASSE", "Ünal", "A-B", "a b", "12", "012", "1.50", "1.5", "$1,200.5", "12\n", "1.", "-1", "1e3", "1f", "n/a"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    assert pairs.where(~same_text(F.col("a"), F.col("b")).eqNullSafe(norm_text(F.col("a")) == norm_text(F.col("b")))).count() == 0
+    assert pairs.where(~score_number(F.col("a")).eqNullSafe(parse_number(without(F.col("a"), ",$")))).count() == 0
+    truths = [[], [(2.0, 5.0)], [(2.0, 5.0), (1.0, 5.0)], [(None, 5.0)], [(2.0, None)], [(0.0, -1.0)], [(2.0, 5.0)] * 20]
+    preds = [[], [("2", "5")], [("2.0", "$5.00"), ("1", "5")], [("1", "5"), ("2", "5")], [(None, "5")], [("2", "n/a")], [("-0", "-1")], [("2", "5.009")] * 20,
+             [None], [("2", "5"), None]]
+    lists = spark.createDataFrame([(t, p) for t in [*truths, None] for p in [*preds, None]],
+                                  "t array<struct<quantity:double,amount:double>>, p array<struct<quantity:string,amount:string>>")
+    t, p = F.col("t"), F.col("p")
+    got = lists.select(matched_items(t, p).alias("got"), _fold(*_comparable(t, p)).alias("want"), _all_alike(t, p).alias("alike")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and sum(bool(r.alike) for r in got) == 5
