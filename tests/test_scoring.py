@@ -159,3 +159,15 @@ def test_shortcuts_score_as_the_whole_forms_do(spark):
     t, p = F.col("t"), F.col("p")
     got = lists.select(matched_items(t, p).alias("got"), _fold(*_comparable(t, p)).alias("want"), _all_alike(t, p).alias("alike")).collect()
     assert [r.got for r in got] == [r.want for r in got] and sum(bool(r.alike) for r in got) == 5
+
+
+def test_mistakes_leave_out_documents_without_one_before_the_answer_key(spark):
+    from fieldmark.operators.metrics import _field_rows, failed, mistakes, with_truth
+    from fieldmark.plans import evaluation as EV
+    from fieldmark.sources.tables import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    scored, truth = EV.scored(fx), EV.truth(fx)
+    found = mistakes(scored, truth)
+    plan = plan_of(found)
+    assert "scores#" in plan[plan.index("Join Inner"):].split("Filter", 1)[1].split("\n")[0]
+    assert found.count() == _field_rows(with_truth(scored, truth)).where("score < 1.0").count() + scored.where(failed()).count() > 0
