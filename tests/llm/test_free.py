@@ -1,11 +1,14 @@
 """Near-duplicates, vectors, packing, suffix tree, licenses and fixity against plain Python."""
 import hashlib
 import math
+import subprocess
 import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
@@ -200,6 +203,41 @@ def test_word_ids_do_not_depend_on_what_is_remembered(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_word_ids_take_little_memory():
+    """1.2 million different words, each met twice, in a process of its own."""
+    code = """if True:
+        import resource
+        from fieldmark.llm import packing
+        words, mb = packing._word_ids(None), lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+        letters, before, n = "abcdefghijklmnopqrst", mb(), 0
+        for at in range(0, 1_200_000, 100_000):
+            text = " ".join(letters[k % 20] + letters[k // 20 % 20] + letters[k // 400 % 20] + letters[k // 8000 % 20] + letters[k // 160000] for k in range(at, at + 100_000))
+            n += sum(len(ids) // 4 for ids in words.encode([text, text]))
+        print(n, mb() - before)
+    """
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=300)
+    n, grown = out.stdout.split()
+    assert int(n) >= 2_400_000 and float(grown) < 170
+
+
+def test_packing_hands_out_small_batches(spark, monkeypatch):
+    key, seen, stored = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.saved
+    table = spark.createDataFrame([(k, "word " * 100) for k in range(60)], "doc_id long, text string").coalesce(1)
+
+    def recorded(df, name, *more):
+        if name == "pieces":  # what a worker gets at this time
+            sizes = table.mapInArrow(lambda got: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in got), "n long")
+            seen.append(max(r["n"] for r in sizes.collect()))
+        return stored(df, name, *more)
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(packing, "saved", recorded)
+    monkeypatch.setattr(packing, "SEGMENT", 2000)
+    assert packing.pack(table).count() == 60 and seen and seen[0] < 20
+    assert spark.conf.get(key) == before
+
+
+
 def brute_tree(streams, depth, gain, discount, least):
     """Log10 probability of a byte after a context, from the definitions, with dictionaries."""
     counts = Counter(s[i - k:i + 1] for s in streams for i in range(1, len(s)) for k in range(min(depth, i) + 1))
