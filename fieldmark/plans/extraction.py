@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.assembly import truth_items
+from ..operators.assembly import items_of_lines
 from ..operators.documents import render_text
 from ..operators.extract_rules import extract_documents
 from ..operators.scoring import score_runs
@@ -14,8 +14,8 @@ from . import evaluation as EV
 
 def doc_records(fx: Fixtures) -> DataFrame:
     """Answer-key header with the print-only attributes and nested line items."""
-    header = fx["inv_truth"]
-    return header.join(truth_items(fx["inv_lines"]), ["file", "k"], "left").select(*header.columns, "line_items")
+    docs = fx["inv_docs"]
+    return docs.select(*fx["inv_truth"].columns, F.when(F.size("lines") > 0, items_of_lines()).alias("line_items"))
 
 
 def doc_text(fx: Fixtures) -> DataFrame:

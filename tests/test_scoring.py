@@ -171,3 +171,14 @@ def test_mistakes_leave_out_documents_without_one_before_the_answer_key(spark):
     plan = plan_of(found)
     assert "scores#" in plan[plan.index("Join Inner"):].split("Filter", 1)[1].split("\n")[0]
     assert found.count() == _field_rows(with_truth(scored, truth)).where("score < 1.0").count() + scored.where(failed()).count() > 0
+
+
+def test_summary_of_runs_stores_neither_run_rows_nor_scored_rows(spark, monkeypatch):
+    """Reports that read the scored rows once (comparison table, gate's checks, default comparison) score them as they are read."""
+    from fieldmark import registry
+    from fieldmark.sources import tables
+    monkeypatch.setattr(tables, "_WRITTEN", {})
+    monkeypatch.setattr(tables, "_RUN_TAG", "summary")
+    for name in ("a10_comparison_table", "g2_checks_table", "w3_default_comparison"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert {name for _, _, name in tables._WRITTEN} == {"inv_docs", "runs", "summary"}
