@@ -2,19 +2,23 @@
 (R1-R6, W4, W5, J4-J7, S6, S7, A4, A5, P12, P13, T3)."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (EXPORT_AUTO, EXPORT_NEEDS_REVIEW, HEADER_FIELDS, MONEY_FIELDS, QUEUE_FLAGGED, QUEUE_SPOT,
                          STATUS_APPROVED, STATUS_CORRECTED)
 from ..functions.matching import let
-from ..functions.text import money_input_invalid, parse_money_input, parse_number, review_norm, round_to, strip
+from ..functions.text import money_input_invalid, parse_money_input, parse_number, plain_numbers, review_norm, round_to, strip
 from .dims import dimension
 from .metrics import to_human
 
 # FIXED VALUES: queue status labels.
 STATUS_LABELS = {"approved": "✅ Approved", "corrected": "✏️ Corrected", None: "⏳ To review"}
 NO_REASON = "—"
+ITEM_NUMBERS = ("quantity", "unit_price", "amount")
 HASH_BUCKET_HEX = 4  # spot-check sample is cut by 16^4 hash buckets, then ranked inside one
 
 
@@ -37,11 +41,13 @@ def spot_check_sample(rows: DataFrame, runs: DataFrame, pct: float) -> DataFrame
     Deterministic per run and independent of partitioning. Scales without sorting a run in one
     task: count per (run, hash bucket), find the bucket where the running count passes n (a
     window over at most 65,536 bucket counts per run), and keep every bucket before it. Rows are read
-    twice, for the counts and for the sample; only the sample's buckets are shuffled and ranked."""
-    un = rows.where(~to_human()).join(dimension(runs.select("run_id", run_at_text(F.col("run_at")).alias("_ts"))),
-                                      "run_id") \
+    twice, for the counts and for the sample; only the sample's buckets are shuffled and ranked. Buckets are named by the
+    hash's first digits, whose order as text is that of the numbers."""
+    headers = runs.select("run_id", run_at_text(F.col("run_at")).alias("_ts"))
+    few = dimension(headers)
+    un = rows.where(~to_human()).join(few, "run_id") \
         .select("run_id", "file", F.md5(F.concat("_ts", F.lit("|"), "file")).alias("h"))
-    un = un.withColumn("bucket", F.conv(F.substring("h", 1, HASH_BUCKET_HEX), 16, 10).cast("int"))
+    un = un.withColumn("bucket", F.substring("h", 1, HASH_BUCKET_HEX))
     buckets = un.groupBy("run_id", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
     per_run = Window.partitionBy("run_id")
     upto = per_run.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -49,9 +55,9 @@ def spot_check_sample(rows: DataFrame, runs: DataFrame, pct: float) -> DataFrame
         .withColumn("n", sample_size(F.sum("cnt").over(per_run), pct)) \
         .withColumn("before", F.col("cum") - F.col("cnt")) \
         .where(F.col("before") < F.col("n"))
-    # one row a run: the bucket in which its sample ends
+    # one row a run: the bucket in which its sample ends (no more rows than runs, so these are not counted again)
     ends = buckets.groupBy("run_id").agg(F.max(F.struct("bucket", "before", "n")).alias("end"))
-    cand = un.join(dimension(ends), "run_id").where(F.col("bucket") <= F.col("end.bucket"))
+    cand = un.join(ends if few is headers else F.broadcast(ends), "run_id").where(F.col("bucket") <= F.col("end.bucket"))
     rank = F.row_number().over(Window.partitionBy("run_id", "bucket").orderBy("h", "file"))
     return cand.withColumn("r", rank) \
         .where((F.col("bucket") < F.col("end.bucket")) | (F.col("r") <= F.col("end.n") - F.col("end.before"))) \
@@ -91,13 +97,21 @@ def items_key(items: Column) -> Column:
     return F.transform(F.coalesce(items, F.array()), _item_key)
 
 
+def _items_kept(original: Column, final_: Column) -> Column:
+    """Both lists have the same descriptions and plainly written numbers: then their keys are equal."""
+    sides = [_plain_items(items) for items in (original, final_)]
+    same = [a == b for a, b in zip(*[numbers for _, numbers in sides], strict=True)]
+    return reduce(and_, [plain for plain, _ in sides] + same, original["description"].cast("array<string>") == final_["description"].cast("array<string>"))
+
+
 def changed_fields(original: Column, final_: Column) -> Column:
     """R2: header fields whose review-normal forms differ, in field order, then line_items when
-    the item keys differ."""
-    names = [F.when(review_norm(original[f].cast("string")) != review_norm(final_[f].cast("string")), F.lit(f))
-             for f in HEADER_FIELDS]
-    names.append(F.when(~(items_key(original["line_items"]) == items_key(final_["line_items"])),
-                        F.lit("line_items")))
+    the item keys differ. Equal texts have equal forms, and are not normalised."""
+    def differ(a: Column, b: Column) -> Column:
+        return ~a.eqNullSafe(b) & (review_norm(a) != review_norm(b))
+    names = [F.when(differ(original[f].cast("string"), final_[f].cast("string")), F.lit(f)) for f in HEADER_FIELDS]
+    before, after = original["line_items"], final_["line_items"]
+    names.append(F.when(F.when(_items_kept(before, after), F.lit(False)).otherwise(~(items_key(before) == items_key(after))), F.lit("line_items")))
     return F.filter(F.array(*names), lambda x: x.isNotNull())
 
 
@@ -121,22 +135,30 @@ def _blank_item(it) -> Column:
             & (F.coalesce(it["amount"].cast("string"), F.lit("")) == ""))
 
 
+def _plain_items(items: Column) -> tuple[Column, list[Column]]:
+    return plain_numbers(*[items[c].cast("array<string>") for c in ITEM_NUMBERS])
+
+
 def items_invalid(items: Column) -> Column:
     """Some non-blank item row has a quantity, unit price or amount that does not parse."""
-    return F.exists(F.coalesce(items, F.array()), lambda it: ~_blank_item(it) & (
-        money_input_invalid(F.coalesce(it["quantity"].cast("string"), F.lit("")))
-        | money_input_invalid(F.coalesce(it["unit_price"].cast("string"), F.lit("")))
-        | money_input_invalid(F.coalesce(it["amount"].cast("string"), F.lit("")))))
+    def invalid(it: Column) -> Column:
+        return ~_blank_item(it) & reduce(or_, [money_input_invalid(F.coalesce(it[c].cast("string"), F.lit(""))) for c in ITEM_NUMBERS])
+    return let(items, lambda items: ~_plain_items(items)[0] & F.exists(F.coalesce(items, F.array()), invalid))
 
 
 def reviewer_items(items: Column) -> Column:
     """Reviewer item rows: blank rows dropped, numbers parsed like money input."""
-    kept = F.filter(F.coalesce(items, F.array()), lambda it: ~_blank_item(it))
-    return F.transform(kept, lambda it: F.struct(
-        F.coalesce(it["description"].cast("string"), F.lit("")).alias("description"),
-        parse_money_input(F.coalesce(it["quantity"].cast("string"), F.lit(""))).alias("quantity"),
-        parse_money_input(F.coalesce(it["unit_price"].cast("string"), F.lit(""))).alias("unit_price"),
-        parse_money_input(F.coalesce(it["amount"].cast("string"), F.lit(""))).alias("amount")))
+    def as_numbers(it: Column) -> Column:
+        return F.struct(F.coalesce(it["description"].cast("string"), F.lit("")).alias("description"),
+                        *[parse_money_input(F.coalesce(it[c].cast("string"), F.lit(""))).alias(c) for c in ITEM_NUMBERS])
+
+    def rows(items: Column) -> Column:
+        plain, numbers = _plain_items(items)
+        texts = items["description"].cast("array<string>")
+        known = F.coalesce(~F.array_contains(texts, F.lit("\0")), F.lit(False))  # null if a description is
+        plainly = F.arrays_zip(texts, *numbers).cast("array<struct<description:string,quantity:double,unit_price:double,amount:double>>")
+        return F.when(plain & known, plainly).otherwise(F.transform(F.filter(F.coalesce(items, F.array()), lambda it: ~_blank_item(it)), as_numbers))
+    return let(items, rows)
 
 
 def review_events(subs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldmark import registry
 from fieldmark.operators.assembly import run_rows
@@ -50,6 +51,39 @@ def test_rows_are_those_of_the_sql(spark, folder):
     assert items.where("item_no = 1000000").count() and rows_of(fx["run_items"].select(items.columns)) == rows_of(items)
 
 
+def test_submissions_from_nested_documents_are_those_of_the_sql(spark, folder, tmp_path):
+    """Each call is looked at once, without an exchange; several rows of one order key still meet each other."""
+    for name in ("orders", "lineitem", "part", "customer", "supplier"):
+        t = spark.read.parquet(f"{folder}/{name}.parquet")
+        if name in ("orders", "supplier"):  # some keys twice
+            key = t.columns[0]
+            t = t.unionByName(t.where(f"{key} % 5 = 1").withColumn("o_custkey", F.lit(2).cast("long")) if name == "orders" else t.where(f"{key} = 1"))
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fx = Fixtures(spark, str(tmp_path))
+        want = by_sql(fx, "review_submissions", run_calls=by_sql(fx, "run_calls"))
+        got = fx["review_submissions"].select(want.columns)
+        n, plan = exchanges(got)
+        assert n == 0 and plan.count("Bucketed: true") + plan.count("Bucketed: false") == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert rows_of(got) == rows_of(want) and want.where("k % 5 = 1").count() > 50
+    assert rows_of(EV.rows(fx)) == rows_of(run_rows(by_sql(fx, "run_calls"), by_sql(fx, "run_items")))
+
+
+def test_next_document_makes_no_records(spark, folder, monkeypatch):
+    """What asks only whether there is a decision stores neither run rows nor decisions, and does not compare fields."""
+    from fieldmark.plans import reviewing as RV
+    monkeypatch.setattr(tables, "_WRITTEN", {})
+    monkeypatch.setattr(tables, "_RUN_TAG", "next")
+    fx = Fixtures(spark, folder)
+    assert registry.QUERIES["w5_next_unreviewed"](spark, folder).count()
+    assert {name for _, _, name in tables._WRITTEN} == {"inv_docs", "runs", "queue_10"}
+    assert "THEN bill_to" not in RV.reviews(fx).select("run_id", "file")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_file_of_a_key_is_that_of_the_answer_key(spark, folder):
     t = Fixtures(spark, folder)["inv_truth"].select("file", clustered.file_of("k").alias("want"))
     assert t.count() == 401 and t.where("file <> want").count() == 0
