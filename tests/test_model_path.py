@@ -204,3 +204,18 @@ def test_a_retry_that_passes_turns_failed_into_passed(spark):
     assert still["verdict"] == "failed" and still["newly_broken"] == 1 and still["run_cost"] == pytest.approx(0.4 + 0.01)
     broke = gate(retried(1.0, "timeout"), False)
     assert broke["verdict"] == "failed" and broke["run_cost"] == pytest.approx(0.4)
+
+
+def test_retries_do_not_sort_scored_rows_nor_write_them_all_as_json(spark, monkeypatch):
+    """The newly broken are hashed and joined before their records become JSON; a report read once does not store the merged rows."""
+    from fieldmark import registry
+    from fieldmark.plans import model_runs as MR
+    from fieldmark.sources import tables
+    from fieldmark.sources.tables import Fixtures
+    monkeypatch.setattr(tables, "_WRITTEN", {})
+    monkeypatch.setattr(tables, "_RUN_TAG", "retries")
+    folder = "/root/testdata/sf0.001"
+    plan = MR.newly_broken(Fixtures(spark, folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("leftHint=(strategy=shuffle_hash)") == 2 and "json" not in plan[plan.rindex("leftHint="):].lower(), plan
+    assert registry.QUERIES["g7_passed_on_retry"](spark, folder).count() and registry.QUERIES["g7_retry_newly_broken"](spark, folder).count()
+    assert "retried_after" not in {name for _, _, name in tables._WRITTEN}
