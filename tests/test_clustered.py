@@ -73,6 +73,15 @@ def test_submissions_from_nested_documents_are_those_of_the_sql(spark, folder, t
     assert rows_of(EV.rows(fx)) == rows_of(run_rows(by_sql(fx, "run_calls"), by_sql(fx, "run_items")))
 
 
+def test_replies_from_nested_documents_are_those_of_the_sql(spark, folder):
+    """The first and last line come from the nested lines, without a join by key."""
+    fx = Fixtures(spark, folder)
+    made = clustered.item_replies(fx["runs"], fx["inv_docs"])
+    want = by_sql(fx, "item_replies")
+    assert exchanges(made)[0] == 0 and rows_of(made.select(want.columns)) == rows_of(want) and want.where("reply LIKE '%}, {%'").count() > 50
+    assert fx["item_replies"].count() == want.count()
+
+
 def test_next_document_makes_no_records(spark, folder, monkeypatch):
     """What asks only whether there is a decision stores neither run rows nor decisions, and does not compare fields."""
     from fieldmark.plans import reviewing as RV
